@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import jaccard_components
+from .span_dedup import repeated_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,16 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(_table(spark, sf_dir, "documents"), length=400, gram=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard}
+    return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op5_span_dedup": op5_span_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
