@@ -4,8 +4,10 @@
     fixed size. Texts with equal sets are one class from here on, so copies are never paired.
 2.  All sets are ordered alike: by counted frequency, then by hash. Of a set of n shingles only the first
     n - ceil(t * n) + 1 are sent out; two sets that link share one of them at least.
-3.  Shingles that only one class has go. Within each shingle's classes, neighbours by size are verified first,
-    which joins large groups of near copies by a number of pairs linear in their rows.
+3.  Shingles that only one class has go; a set's shingles before a shared one then count only if they are shared
+    themselves, which bounds overlaps tightly. Within each shingle's classes, neighbours by size and every class
+    with the one that lost fewest shingles are verified first: large groups of near copies join by a number of pairs
+    linear in their rows.
 4.  What still lies in different components is put into prefix trees, one for each hash range of shingles.
     Paths share overlaps; a pair of subtrees is dropped when no two sets in it can reach the threshold with
     the shingles that remain. Pairs that pass are verified as well.
@@ -132,32 +134,33 @@ class _Node:
         self.near, self.rest = 0, 0  # most shingles up to and behind this one, in any set of the subtree
 
 
-def tree_pairs(rows: list[tuple[int, int, int, int, int]], num: int, den: int) -> set[tuple[int, int]]:
+def tree_pairs(rows: list[tuple[int, int, int, int, int, int]], num: int, den: int) -> set[tuple[int, int]]:
     """Pairs of classes of different components that share a token and can reach num / den.
 
-    rows: (token, class, size, position, component). Each class's tokens, by position, are a path of the tree; a
-    token's nodes are chained. For two nodes of a token (or one with itself) all sets below both share it:
-    they hold at most ``near`` common shingles up to it and ``rest`` behind it, which drops whole subtrees.
+    rows: (token, class, size, position, shared shingles before it, component). Each class's tokens, by position,
+    are a path of the tree; a token's nodes are chained. For two nodes of a token (or one with itself) all sets
+    below both share it: they hold at most ``near`` common shingles up to it and ``rest`` behind it, which drops
+    whole subtrees.
     """
     paths = defaultdict(list)
     size, part = {}, {}
-    for token, key, n, place, component in rows:
-        paths[key].append((place, token))
+    for token, key, n, place, before, component in rows:
+        paths[key].append((place, token, before))
         size[key], part[key] = n, component
     root, chain = _Node(None), defaultdict(list)
     for key, path in paths.items():
         node, n = root, size[key]
-        for place, token in sorted(path):
+        for place, token, before in sorted(path):
             step = node.children.get(token)
             if step is None:
                 step = node.children[token] = _Node(node)
                 chain[token].append(step)
             step.low, step.high = min(step.low, n), max(step.high, n)
-            step.near, step.rest = max(step.near, place + 1), max(step.rest, n - place - 1)
+            step.near, step.rest = max(step.near, before + 1), max(step.rest, n - place - 1)
             node = step
         node.ends.append(key)
 
-    place_of = {(key, token): place for key, path in paths.items() for place, token in path}
+    place_of = {(key, token): (before, place) for key, path in paths.items() for place, token, before in path}
 
     def below(node: _Node) -> list[int]:
         out, stack = [], [node]
@@ -184,8 +187,8 @@ def tree_pairs(rows: list[tuple[int, int, int, int, int]], num: int, den: int) -
                     for b in members[j]:
                         if part[a] == part[b] or (i == j and a >= b) or (min(a, b), max(a, b)) in found:
                             continue
-                        p, q, m, n = place_of[a, token], place_of[b, token], size[a], size[b]
-                        if can(min(p, q) + 1, min(m - p, n - q) - 1, min(m, n), max(m, n)):
+                        (s, p), (t, q), m, n = place_of[a, token], place_of[b, token], size[a], size[b]
+                        if can(min(s, t) + 1, min(m - p, n - q) - 1, min(m, n), max(m, n)):
                             found.add((min(a, b), max(a, b)))
     return found
 
@@ -194,8 +197,7 @@ def _trees(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            token, key, place, component = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            rows += zip(token.tolist(), key.tolist(), (place >> 32).tolist(), (place & 0xFFFFFFFF).tolist(), component.tolist(), strict=True)
+            rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
         found = tree_pairs(rows, num, den)
         if found:
             a, b = np.array(sorted(found), dtype=np.int64).T
@@ -284,21 +286,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent = texts.select("__text").mapInArrow(_prefixes(width, num, den, table), "token long, class long, place long")
     shared = cut(sent.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_shared, "token long, class long, place long"))
 
-    size, at = F.expr("place >> 32"), F.expr("place & 4294967295")
+    shared = shared.select("token", "class", F.expr("place >> 32").alias("n"), F.expr("place & 4294967295").alias("p"))
+    before = F.row_number().over(Window.partitionBy("class").orderBy("p")) - 1
+    shared = cut(shared.withColumn("s", before.cast("long")))
+
     near = Window.partitionBy("token").orderBy("n", "class")
-    chained = shared.select("token", "class", size.alias("n"), at.alias("p"))
-    for column in ("class", "n", "p"):
-        chained = chained.withColumn(f"other_{column}", F.lag(column).over(near))
-    reach = (F.least("p", "other_p") + F.least(F.col("n") - F.col("p"), F.col("other_n") - F.col("other_p"))) * (num + den)
-    chained = chained.where((F.col("other_n") * den >= F.col("n") * num) & (reach >= (F.col("n") + F.col("other_n")) * num))
-    pairs = cut(chained.select(F.least("class", "other_class").alias("a"), F.greatest("class", "other_class").alias("b")).distinct())
+    whole = Window.partitionBy("token")
+    one = F.struct("n", "p", "s", "class")
+    sided = shared.withColumn("hub", F.min(F.struct(F.col("p") - F.col("s"), one)).over(whole).getField("col2")).withColumn("next", F.lag(one).over(near))
+    tried = sided.select("n", "p", "s", "class", F.explode(F.array("hub", "next")).alias("o")).where("o IS NOT NULL AND o.class <> class")
+    reach = (F.least("s", "o.s") + F.least(F.expr("n - p"), F.expr("o.n - o.p"))) * (num + den)
+    tried = tried.where((F.least("n", "o.n") * den >= F.greatest("n", "o.n") * num) & (reach >= (F.col("n") + F.col("o.n")) * num))
+    pairs = cut(tried.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
     links = cut(_verify(texts, reps, pairs, width, num, den))
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     known = shared.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     known = cut(known)
     mixed = known.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rest = cut(known.join(mixed, "token", "left_semi").select("token", "class", "place", "component"))
+    rest = cut(known.join(mixed, "token", "left_semi").select("token", "class", "n", "p", "s", "component"))
     trees = max(1, -(-rest.count() // TREE_ROWS))
     more = rest.repartition(trees, "token").mapInArrow(_trees(num, den), "a long, b long").distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
