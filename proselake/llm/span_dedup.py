@@ -4,7 +4,7 @@
     equal windows name equal anchors at equal offsets. About two anchors fall into each length - gram + 1 bytes.
 2.  Anchors are counted by their gram. Only texts that hold a gram of two places or more go on, with the bytes
     around these anchors: all windows that name one, and no others.
-3.  Within each gram's contexts, buckets are refined: the first are those of equal grams; sorting on (bucket here,
+3.  Equal contexts are compared once. Within each gram's contexts, buckets are refined: the first are those of equal grams; sorting on (bucket here,
     bucket one gram later) gives buckets of two grams, and the same step on these gives four, reused until
     ``length`` bytes are told apart. A window whose last bucket holds two or more is repeated.
 4.  A gram of very many places is dealt out in parts. Each part settles what repeats inside it and passes on the
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from ._common import blocks, cut, powers, prefix_hash, splitmix, utf8
 
 #: Contexts of one gram that one part holds on average.
-PART_CONTEXTS = 2000
+PART_CONTEXTS = 1000
 #: Bytes of contexts that one refinement works on, grams kept whole.
-REFINE_BYTES = 4 << 20
+REFINE_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
-_SLICE = 8 << 20
+_SLICE = 1 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -155,34 +155,36 @@ def _settle(length: int, gram: int, pass_on: bool):
 
     def work(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
-        data, at = utf8(table.column("held"))
-        base, data = at[0], data[at[0] : at[-1]]
-        at = at - base
+        one = {k: table.column(k).combine_chunks() for k in table.column_names}
+        data, at = utf8(one["held"])
+        size, data = np.diff(at), data[at[0] : at[-1]]
+        c, (_, inverse), at = prefix_hash(data), powers(len(data) + 1), at - at[0]
+        digest = splitmix((c[at[1:]] - c[at[:-1]]) * inverse[at[:-1]] + size.astype(np.uint64))
+        _, rep, same, copies = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
+        data, at = utf8(one["held"].take(pa.array(rep)))
         repeated, number = refine(data, at, length, gram)
-        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        of = np.repeat(np.arange(len(rep)), np.diff(at))
+        window = np.repeat(at[1:], np.diff(at)) - np.arange(len(data)) >= length
+        repeated |= window & (copies[of] > 1)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], repeated.view(np.int8), [0]))))
-        begin = table.column("begin").to_numpy()
-        first, last = edge[::2], edge[1::2] - 1
-        cross = of[first] != of[last] if len(first) else np.zeros(0, bool)
-        assert not cross.any()  # the last length - 1 bytes of a context start no window
-        c = of[first]
-        start, end = begin[c] + first - at[c], begin[c] + last - at[c] + length
-        spans = [table.column("key").combine_chunks().take(pa.array(c)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
-        none = [pa.nulls(len(c), t) for t in (pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*spans, *none], names=["key", "start", "end", "gram", "held"])
+        first, last = edge[::2], edge[1::2] - 1  # a run ends inside its context, whose last bytes start no window
+        runs = np.bincount(of[first], minlength=len(rep))
+        n = runs[same]
+        ctx = np.repeat(np.arange(len(same)), n)
+        k = np.arange(len(ctx)) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(runs) - runs)[same], n)
+        begin = one["begin"].to_numpy()[ctx] - at[same[ctx]]
+        none = [pa.nulls(len(ctx), t) for t in (pa.int64(), pa.binary())]
+        spans = [pa.array((begin + x).astype(np.int32)) for x in (first[k], last[k] + length)]
+        yield pa.RecordBatch.from_arrays([one["key"].take(pa.array(ctx)), *spans, *none], names=["key", "start", "end", "gram", "held"])
         if pass_on:
-            salt = table.column("salt").to_numpy()
-            keep = np.zeros(len(at) - 1, bool)
+            keep = np.zeros(len(rep), bool)
             keep[of[_firsts(number)]] = True
-            window = np.repeat(at[1:], np.diff(at)) - np.arange(len(data)) >= length
-            keep[of[window & ~repeated]] = True
-            keep &= salt >= 0
-            kept = table.filter(pa.array(keep))
+            keep[of[window & ((number < 0) | ~repeated)]] = True
+            kept = rep[keep & (one["salt"].to_numpy()[rep] >= 0)]
             if len(kept):
-                kept = kept.combine_chunks()
-                one = lambda k: kept.column(k).combine_chunks()
+                take = {k: one[k].take(pa.array(kept)) for k in ("key", "begin", "gram", "held")}
                 yield pa.RecordBatch.from_arrays(
-                    [one("key"), one("begin"), pa.nulls(len(kept), pa.int32()), one("gram"), one("held")], names=["key", "start", "end", "gram", "held"]
+                    [take["key"], take["begin"], pa.nulls(len(kept), pa.int32()), take["gram"], take["held"]], names=["key", "start", "end", "gram", "held"]
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +264,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = profile.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
 
     found = cut(long_ones.select("__text").mapInArrow(_anchor_rows(length, gram), "gram long, key binary, place int, left int, right int"))
-    often = cut(found.groupBy("gram").count().where("count > 1"))
+    place = F.xxhash64("key", "place")
+    often = found.groupBy("gram").agg(F.count("*").alias("count"), F.min(place).alias("a"), F.max(place).alias("b"))
+    often = cut(often.where("a <> b").select("gram", "count"))
     parts = F.ceil(F.col("count") / PART_CONTEXTS).cast("int")
     salt = F.when(parts > 1, F.pmod(F.xxhash64("key", "place"), parts).cast("int")).otherwise(F.lit(-1))
     lists = found.join(often, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "place", "left", "right", salt.alias("salt"))).alias("places"))
