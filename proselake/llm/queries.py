@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import jaccard_components
 from .span_dedup import repeated_spans
+from .toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,15 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op5_span_dedup": op5_span_dedup,
+        "op6_toxicity": op6_toxicity,
     }
 
 
