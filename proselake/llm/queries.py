@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contained_items
+from .mixing import mix_documents
 from .ngram_join import jaccard_components
+from .sharding import shard_documents
 from .span_dedup import repeated_spans
 from .toxicity import toxicity_scores
+from .url_filter import judge_urls
+from .url_seeds import seeds
+
+#: The rules of op10, by host and path.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +40,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(seeds(), "url string, blocked int")
+    return judge_urls(_table(spark, sf_dir, "pages"), labelled, URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op5_span_dedup": op5_span_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
+        "op8_sharding": op8_sharding,
+        "op9_mixing": op9_mixing,
+        "op10_url_filter": op10_url_filter,
     }
 
 
