@@ -11,6 +11,8 @@ from .mixing import mix_documents
 from .ngram_join import jaccard_components
 from .sharding import shard_documents
 from .span_dedup import repeated_spans
+from .token_counts import VOCABULARY, token_counts
+from .topk import top_k
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls
 from .url_seeds import seeds
@@ -27,6 +29,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(_table(spark, sf_dir, "documents"), length=400, gram=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -56,6 +67,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_token_counts": op2_token_counts,
+        "op3_exact_topk": op3_exact_topk,
         "op5_span_dedup": op5_span_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
