@@ -8,8 +8,8 @@
     themselves, which bounds overlaps tightly. Within each shingle's classes, neighbours by size and every class
     with the one that lost fewest shingles are verified first: large groups of near copies join by a number of pairs
     linear in their rows.
-4.  What still lies in different components is put into prefix trees, one for each hash range of shingles.
-    Paths share overlaps; a pair of subtrees is dropped when no two sets in it can reach the threshold with
+4.  What still lies in different components is put into prefix trees, one for each family of sets that shared
+    shingles connect; only a family of very many rows is dealt out by shingle. Paths share overlaps; a pair of subtrees is dropped when no two sets in it can reach the threshold with
     the shingles that remain. Pairs that pass are verified as well.
 
 Every verification counts the exact intersection of both texts' shingles, so no approximate step decides a link.
@@ -305,8 +305,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = cut(known)
     mixed = known.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     rest = cut(known.join(mixed, "token", "left_semi").select("token", "class", "n", "p", "s", "component"))
+    hubs = rest.groupBy("token").agg(F.min("class").alias("v"))
+    families = connected_components(rest.join(hubs, "token").select(F.col("class").alias("u"), "v").distinct())
+    rest = cut(rest.join(families.select(F.col("node").alias("class"), F.col("component").alias("family")), "class"))
+    parts_of = rest.groupBy("family").agg(F.ceil(F.count("*") / TREE_ROWS).alias("parts"))
+    dealt = rest.join(parts_of, "family").withColumn("part", F.pmod(F.xxhash64("token"), F.col("parts")))
     trees = max(1, -(-rest.count() // TREE_ROWS))
-    more = rest.repartition(trees, "token").mapInArrow(_trees(num, den), "a long, b long").distinct()
+    dealt = dealt.repartition(trees, "family", "part").select("token", "class", "n", "p", "s", "component")
+    more = dealt.mapInArrow(_trees(num, den), "a long, b long").distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     edges = links.unionByName(_verify(texts, reps, more, width, num, den))
 
