@@ -38,7 +38,7 @@ BROADCAST_ROWS = 1 << 20
 TREE_ROWS = 50_000
 
 
-def _profiles(width: int):
+def _profiles(width: int, keyed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
@@ -46,17 +46,18 @@ def _profiles(width: int):
                 hi, lo = signature(sets, edge)
                 n = len(edge) - 1
                 counts += np.bincount((sets & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-                none = pa.nulls(n, pa.int32())
+                digest = batch.column(2).slice(a, n) if keyed else pa.nulls(n, pa.binary())
+                none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(np.diff(edge)), pa.array(hi), pa.array(lo), none, pa.nulls(n, pa.binary())],
-                    names=["doc_id", "n", "hi", "lo", "part", "counts"],
+                    [batch.column(0).slice(a, n), pa.array(np.diff(edge)), pa.array(hi), pa.array(lo), digest, *none],
+                    names=["doc_id", "n", "hi", "lo", "text_key", "part", "counts"],
                 )
         if counts.any():
             parts = [p.astype(np.uint32).tobytes() for p in counts.reshape(-1, _PART)]
             none = pa.nulls(len(parts), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())],
-                names=["doc_id", "n", "hi", "lo", "part", "counts"],
+                [none, none, none, none, pa.nulls(len(parts), pa.binary()), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())],
+                names=["doc_id", "n", "hi", "lo", "text_key", "part", "counts"],
             )
 
     return run
@@ -263,19 +264,20 @@ def _verify(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num
     return both.mapInArrow(_verified(width, num, den), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, keyed: bool = False) -> DataFrame:
     """``doc_id, n_shingles long, component_id``: each row's set size and the smallest id that links reach.
 
     Words are lower-cased (A-Z) runs of anything but the six ASCII white-space characters. A set holds the distinct
     ``width``-word shingles, or the whole sequence if there are fewer words. Two rows link when
     den * intersection >= num * union. Null, empty and wordless texts have size 0 and link with nothing; equal
-    texts always link otherwise. A row whose id is null keeps its place but names no component by itself.
+    texts always link otherwise. ``keyed`` adds ``text_key``, the text's md5. A row whose id is null keeps its place but names no component by itself.
     Repeated rows give repeated rows. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    made = cut(texts.mapInArrow(_profiles(width), "doc_id long, n long, hi long, lo long, part int, counts binary"))
-    profiles = made.where("part IS NULL").select("doc_id", "n", "hi", "lo")
+    key = [F.unhex(F.md5(F.col("__text").cast("binary")))] if keyed else []
+    made = cut(texts.select("*", *key).mapInArrow(_profiles(width, keyed), "doc_id long, n long, hi long, lo long, text_key binary, part int, counts binary"))
+    profiles = made.where("part IS NULL").select("doc_id", "n", "hi", "lo", "text_key")
     sums = made.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(_summed, "part int, counts binary")
     frequency = np.zeros(1 << SKETCH_BITS, np.uint32)
     for part, counts in sums.collect():  # 64 rows of 64 KB
@@ -321,5 +323,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = connected_components(edges.join(first, "a").join(second, "b").select("u", "v"))
     classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("found"))
     return profiles.join(classes, ["hi", "lo"], "left").select(
-        F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"), *(["text_key"] if keyed else [])
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Of every component the row with its smallest doc_id, all columns; see jaccard_components.
+
+    Rows without shingles stay. Repeated rows of one id and text are one row. Of rows without an id those stay whose
+    text no row with an id has.
+    """
+    kept = jaccard_components(docs, width=width, num=num, den=den, keyed=True)
+    kept = kept.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    kept = maybe_broadcast(cut(kept), BROADCAST_ROWS)
+    keyed = docs.withColumn("__own", F.unhex(F.md5(F.col("text").cast("binary"))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("__own").eqNullSafe(F.col("__key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__own"]).drop("__own")

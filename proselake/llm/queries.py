@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contained_items
+from .html_text import main_text
 from .mixing import mix_documents
 from .ngram_join import jaccard_components
 from .sharding import shard_documents
@@ -38,6 +39,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(_table(spark, sf_dir, "documents"), length=400, gram=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_token_counts": op2_token_counts,
         "op3_exact_topk": op3_exact_topk,
+        "op4_html_text": op4_html_text,
         "op5_span_dedup": op5_span_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
