@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import LOWER, blocks, splitmix, utf8, word_hashes
 
 #: Labelled texts that the fit takes at most, and the longest of them in bytes.
-MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1000, 2000, 16_384
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 700, 1400, 8192
 #: Gradient steps before and after the choice of windows is renewed, and windows in each.
 STEPS, BATCH = (100, 150), 384
 WINDOW, STRIDE = 24, 16
@@ -332,10 +332,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = [known.where(F.col("__y") == y).orderBy(*order).limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     short = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= MOST_BYTES)
     rows = short.join(F.broadcast(sample[0].unionByName(sample[1])), "__id").limit(2 * (MOST_TOXIC + MOST_CLEAN)).toArrow()
-    order = np.lexsort((rows.column("__text").to_numpy(zero_copy_only=False).astype(str), rows.column("__id").to_numpy()))
     data, at = utf8(rows.column("__text"))
-    texts = [data[at[i] : at[i + 1]].tobytes() for i in order]
-    return fit(texts, rows.column("__y").to_numpy()[order])
+    texts = [data[at[i] : at[i + 1]].tobytes() for i in range(len(rows))]
+    held = sorted(zip(rows.column("__id").to_pylist(), texts, rows.column("__y").to_pylist(), strict=True))
+    return fit([t for _, t, _ in held], np.array([y for _, _, y in held], dtype=np.int64))
 
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
