@@ -1,0 +1,68 @@
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from proselake.functions import transforms as T
+from proselake.operators import diagnose as D
+from proselake.sources import docx, pdf_lines, tables
+
+NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def word(*paras):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {NS}><w:body>" + "".join(f"<w:p>{p}</w:p>" for p in paras) + "</w:body></w:document>")
+        z.writestr("other.bin", b"kept")
+    return out.getvalue()
+
+
+def run(t):
+    return f"<w:r><w:t>{t}</w:t></w:r>"
+
+
+def test_docx_round_trip(spark, tmp_path):
+    made = word(run("Hello ") + run("world"), "", run("second"), "<w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r>")
+    text, places = docx.extract(made)
+    assert text == "Hello world\nsecond\na\tb" and places == [0, 2, 3]
+    new = docx.replace(made, {0: "Good evening moon", 2: "zweite"})
+    assert docx.extract(new)[0] == "Good evening moon\nzweite\na\tb" and zipfile.ZipFile(io.BytesIO(new)).read("other.bin") == b"kept"
+    with pytest.raises(ValueError):
+        docx.replace(made, {3: "x"})
+    (tmp_path / "a.docx").write_bytes(made)
+    (tmp_path / "b.docx").write_bytes(b"no archive")
+    got = {r.path[-6:]: r for r in docx.read_docx(spark, str(tmp_path)).collect()}
+    assert got["a.docx"].para_map == [0, 2, 3] and got["b.docx"].text is None and got["b.docx"].error
+
+
+def test_lines():
+    assert pdf_lines.merge_lines(["本文研究了一个重要的问题并且", "给出了方法。", "12", "1. 引言", "The method is de-", "scribed here"]) == ["本文研究了一个重要的问题并且给出了方法。", "1. 引言", "The method is described here"]
+    assert pdf_lines.merge_lines([]) == []
+
+
+def test_dirty_csv(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("﻿base,score\n﻿b1,91%\nb2,n/a\nb3,0\nb4,140\n", encoding="utf-8")
+    df = tables.read_dirty_csv(spark, str(tmp_path / "m.csv"), ["base", "score"], ["score"])
+    got = {r.base: r.score for r in df.collect()}
+    assert got == {"b1": 91.0, "b2": None, "b3": 0.0, "b4": 140.0}
+    assert {r.base for r in tables.usable_scores(df).collect()} == {"b1", "b3"}
+    assert tables.resume(df, df.where("base = 'b1'"), ["base"]).count() == 3
+
+
+SAMPLES = {
+    "zh:L01": "一句话总结：这个方案成本太高。", "zh:L05": "当所有人都在写作时，内容不同。", "zh:L07": "然而，研究不适用。", "zh:L09": "说白了，预算不足。", "zh:L11": "研究完成。然而，结果不适用。", "zh:F01": "答案——专注，研究。",
+    "zh:F02": "**重点**，研究。", "zh:F04": "他说\"好\"，研究。", "zh:S03": "他不仅提升了效率，更是改变了行业。", "zh:S04": "它扮演着重要的角色，研究。", "zh:S05": "结果上升，从而凸显了价值。", "zh:S06": "通过多模态融合实现了性能的提升。", "zh:S07": "研究表明，结果可靠。", "zh:P01": "基于社会资本理论，本文构建了方法。",
+    "en:S04": "It serves as a base.", "en:S05": "It grew, highlighting the need.", "en:S07": "Experts argue that it works.", "en:P02": "It works. Overall, it works.",
+}
+
+
+@pytest.mark.parametrize("name", sorted(SAMPLES))
+def test_a_transform_lowers_its_rule(spark, name):
+    text, rule = SAMPLES[name], name.split(":")[1]
+    df = spark.createDataFrame([(text,)], "text string")
+    new, n = T.transform(F.col("text"), T.REGISTRY[name])
+    got = df.select(T.tidy(new).alias("t"), n.alias("n")).first()
+    count = lambda t: sum(f[0] == rule for f in D.diagnose_text(t, D.toolkit()))
+    assert got.n >= 1 and count(got.t) < count(text)
