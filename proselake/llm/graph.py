@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 
+#: Edges that one task contracts on average (16 bytes each).
+TASK_EDGES = 250_000
+
+
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A union-find over what one task holds: (node, smallest node of its part); never more rows than came in."""
     parent: dict[int, int] = {}
@@ -37,14 +41,17 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node long, component long`` (the smallest node reachable) for every node of ``u long, v long``.
 
-    Each round first contracts what a task holds, then joins every node's neighbours to the smallest of
-    them (large star, then small star); hubs are never gathered, they are joined. Nulls take no part,
+    First every task contracts the edges it holds, TASK_EDGES of them on average; if one task held all, that is the
+    result. Else rounds join every node's neighbours to the smallest of them (large star, then small star) until
+    nothing changes; hubs are never gathered, they are joined. Nulls take no part,
     loops and repeated edges change nothing, an empty table gives an empty one.
     """
     e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v")
-    e = cut(e.repartition("u").mapInArrow(_local_stars, "u long, v long"))
+    e = cut(e)
+    tasks = -(-e.count() // TASK_EDGES) or 1
+    e = cut(e.coalesce(tasks).mapInArrow(_local_stars, "u long, v long"))
     last = None
-    while True:
+    while tasks > 1:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

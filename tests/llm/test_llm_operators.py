@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proselake.llm import decontamination, html_text, mixing, ngram_join, sharding, span_dedup, token_counts, topk, toxicity, url_filter, url_seeds
+from proselake.llm import decontamination, graph, html_text, mixing, ngram_join, sharding, span_dedup, token_counts, topk, toxicity, url_filter, url_seeds
 from proselake.llm.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, score string, size string, shard string, key string"
@@ -110,7 +110,9 @@ def test_one_of_each(spark, rows):
     assert {x for x in ids if x is not None} == want and ids.count(91) == (91 in want)
 
 
-def test_components_of_a_path_and_empty(spark):
+@pytest.mark.parametrize("held", [10, 250_000])
+def test_components_of_a_path_and_empty(spark, held, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", held)
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (5, 5), (None, 3)], "u long, v long").repartition(7)
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
