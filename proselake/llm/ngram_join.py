@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -163,11 +164,13 @@ def tree_pairs(rows: list[tuple[int, int, int, int, int, int]], num: int, den: i
 
     place_of = {(key, token): (before, place) for key, path in paths.items() for place, token, before in path}
 
-    def below(node: _Node) -> list[int]:
-        out, stack = [], [node]
+    def below(node: _Node) -> dict[int, list[int]]:
+        """The classes of a subtree by component: only pairs across components are looked at."""
+        out, stack = defaultdict(list), [node]
         while stack:
             x = stack.pop()
-            out += x.ends
+            for key in x.ends:
+                out[part[key]].append(key)
             stack += x.children.values()
         return out
 
@@ -184,13 +187,17 @@ def tree_pairs(rows: list[tuple[int, int, int, int, int, int]], num: int, den: i
                     continue
                 if (num + den) * (min(u.near, v.near) + min(u.rest, v.rest)) < num * (u.low + v.low):
                     continue
-                for a in members[i]:
-                    for b in members[j]:
-                        if part[a] == part[b] or (i == j and a >= b) or (min(a, b), max(a, b)) in found:
+                for x, first in members[i].items():
+                    for y, second in members[j].items():
+                        if x == y or (i == j and x > y):
                             continue
-                        (s, p), (t, q), m, n = place_of[a, token], place_of[b, token], size[a], size[b]
-                        if can(min(s, t) + 1, min(m - p, n - q) - 1, min(m, n), max(m, n)):
-                            found.add((min(a, b), max(a, b)))
+                        for a, b in product(first, second):
+                            pair = (a, b) if a < b else (b, a)
+                            if pair in found:
+                                continue
+                            (s, p), (t, q), m, n = place_of[a, token], place_of[b, token], size[a], size[b]
+                            if can(min(s, t) + 1, min(m - p, n - q) - 1, min(m, n), max(m, n)):
+                                found.add(pair)
     return found
 
 
