@@ -1,10 +1,10 @@
 """Sharding by best-fit-decreasing bin packing: groups of equal texts stay whole, shards get near-equal bytes.
 
-Groups of at least 1 / FINE of a shard are items of their own; there are at most shards * FINE of them. All others are
-dealt into a fixed number of bundles by hash, which are items too. The driver packs this bounded list: items by
-falling size, each into the bin with the tightest room that holds it, found in a balanced tree. The smallest capacity
-for which the bins suffice is searched, so every bin is near full. A group larger than a shard's share has a bin
-of its own size.
+A group above the even share of a shard has a shard of its own; that is repeated with the bytes and shards that are left
+until no group is above. Groups of at least 1 / FINE of what is left for a shard are items of their own; there are at most
+shards * (FINE + 1) of both. All others are dealt into a fixed number of bundles by hash, which are items too. The driver
+packs this bounded list: items by falling size, each into the bin with the tightest room that holds it, found in a balanced
+tree. The smallest capacity for which the bins suffice is searched from the even share on, so every bin is near full.
 """
 
 from __future__ import annotations
@@ -82,19 +82,34 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return bins
 
 
+def own_shards(falling: list[int], total: int, shards: int) -> tuple[int, int]:
+    """How many of some falling sizes are above the even share of what is left, one after the other, and the total without them."""
+    n = 0
+    while n < len(falling) and falling[n] * (shards - n) > total:
+        total -= falling[n]
+        n += 1
+    return n, total
+
+
 def pack(sizes: list[int], shards: int) -> list[int]:
-    """The bin of each item in 0 .. shards - 1, for the smallest capacity that best fit decreasing can keep."""
-    low = max(-(-sum(sizes) // shards), max(sizes, default=0))
-    high = max(low, 2 * low)
-    best = best_fit_decreasing(sizes, high)
+    """The bin of each item in 0 .. shards - 1: items above the even share alone, the others for the smallest capacity that best fit decreasing can keep."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    alone, left = own_shards([sizes[i] for i in order], sum(sizes), shards)
+    rest = [sizes[i] for i in order[alone:]]
+    low = -(-left // (shards - alone))
+    high = 2 * low
+    best = best_fit_decreasing(rest, high)
     while low < high:
         middle = (low + high) // 2
-        bins = best_fit_decreasing(sizes, middle)
-        if max(bins, default=0) < shards:
+        bins = best_fit_decreasing(rest, middle)
+        if max(bins, default=0) < shards - alone:
             best, high = bins, middle
         else:
             low = middle + 1
-    return best
+    out = [0] * len(sizes)
+    for place, i in enumerate(order):
+        out[i] = place if place < alone else alone + best[place - alone]
+    return out
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,8 +134,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     )
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    heavy_from = max(1, total // (shards * FINE))
-    heavy = groups.where(F.col("bytes") >= heavy_from).orderBy("key").collect()  # at most shards * FINE rows (and shards)
+    largest = [r["bytes"] for r in groups.select("bytes").orderBy(F.desc("bytes")).limit(shards).collect()]
+    alone, left = own_shards(largest, total, shards)
+    heavy_from = max(1, -(-left // ((shards - alone) * FINE)))
+    heavy = groups.where(F.col("bytes") >= heavy_from).orderBy("key").collect()  # at most shards * (FINE + 1) rows
     bundle = F.pmod(F.xxhash64("key"), F.lit(BUNDLES)).cast("int")
     light = groups.where(F.col("bytes") < heavy_from).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).orderBy("bundle").collect()
     bins = pack([r["bytes"] for r in heavy] + [r["bytes"] for r in light], shards)

@@ -330,6 +330,21 @@ def test_best_fit():
     assert max(load) - min(load) <= 10
 
 
+def test_hot_groups_leave_no_shard_empty(spark):
+    rng = random.Random(6)
+    sizes = [rng.randrange(1, 90) for _ in range(2000)]
+    for hot in ([sum(sizes) // 2], [sum(sizes) // 10], [sum(sizes), sum(sizes) // 2, sum(sizes) // 10]):
+        load = [0] * 16
+        for s, b in zip(hot + sizes, sharding.pack(hot + sizes, 16), strict=True):
+            load[b] += s
+        rest = sorted(load)[: 16 - len(hot)]
+        assert rest[-1] - rest[0] <= 90 and sorted(load)[16 - len(hot) :] == sorted(hot)
+    docs = [(i, "copy " * 400, "a") for i in range(100)] + [(1000 + i, prose(rng, rng.randrange(1, 60)), "a") for i in range(2000)]
+    load = {r.shard: r.n for r in sharding.shard_documents(table(spark, docs), 16).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    rest = sorted(load.values())[:-1]
+    assert len(load) == 16 and max(load.values()) == 100 * 2001 and rest[-1] <= 1.02 * rest[0]
+
+
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
