@@ -206,6 +206,16 @@ def test_html(spark):
     assert got[2] == ("Head 2\nBody 2 & more\nSecond 2", 29) and got[9] == ("", 0) and got[10][0].startswith("Head 7\nShare")
 
 
+def test_template_counts_every_page(spark):
+    page = "<body><article>{x}<h1>Head {n}</h1>" + "<p>Own {n} words</p>" * 2 + "{more}</article></body>"
+    notice, rare = "<p>Share this page</p>", "<p>Only some</p>"
+    rows = [(i, "http://copies.example/", page.format(n=i % 4, x=notice, more="")) for i in range(40)]  # each page ten times
+    rows += [(100 + i, "http://most.example/", page.format(n=i, x=notice if i % 8 else "", more="<p>Extra</p>" * (i % 3) + (rare if i % 9 < 4 else ""))) for i in range(72)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("Share this page" in t for t in got.values())
+    assert [("Only some" in got[100 + i]) for i in range(72)] == [i % 9 < 4 for i in range(72)]
+
+
 def test_simple_tree_matching():
     a, _ = html_text.parse("<div><p>1</p><ul><li>2</li></ul><p>3</p></div>")
     b, _ = html_text.parse("<div><ul><li>2</li><li>4</li></ul><p>3</p></div>")
