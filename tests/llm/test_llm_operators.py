@@ -216,6 +216,17 @@ def test_template_counts_every_page(spark):
     assert [("Only some" in got[100 + i]) for i in range(72)] == [i % 9 < 4 for i in range(72)]
 
 
+def test_template_is_dropped_where_it_stands(spark):
+    page = "<body><nav><ul><li>News</li></ul></nav><div><p>Licence</p></div><article><h1>{h}</h1><ul><li>{i}</li></ul><p>{p}</p></article></body>"
+    rows = [(i, "http://h.example/", page.format(h=f"Head {i}", i=f"Item {i}", p=f"Body {i}")) for i in range(8)]
+    rows += [(8, "http://h.example/", page.format(h="News", i="News", p="Licence"))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[8] == "News\nNews\nLicence" and got[3] == "Head 3\nItem 3\nBody 3"
+    assert html_text.extract("<body><div>Real text</div><aside><article>Teaser</article></aside></body>") == "Real text"
+    assert html_text.extract('<body><div>Real text</div><article class="comment byuser"><p>First!</p></article></body>') == "Real text"
+    assert html_text.extract('<body><div>Menu</div><article class="post comment-open has-sidebar"><p>Real text</p></article></body>') == "Real text"
+
+
 def test_simple_tree_matching():
     a, _ = html_text.parse("<div><p>1</p><ul><li>2</li></ul><p>3</p></div>")
     b, _ = html_text.parse("<div><ul><li>2</li><li>4</li></ul><p>3</p></div>")
