@@ -2,9 +2,9 @@
 
 A word is a run of ASCII letters, digits and non-ASCII bytes. Its inputs are learned from characters and from the
 word: how much likelier its 5-byte character grams (word edges count as a character) and the word itself are in texts
-labelled 1 than in others, and its length. Windows of ``WINDOW`` words start every ``STRIDE`` words, and one ends at
-the last word, so they overlap and cover the whole text; a text's score is that of its strongest window, through a
-logistic fit on the training texts.
+labelled 1 than in others, and its length. A window of ``WINDOW`` words starts at every word up to the last full one, so any
+span of that length lies whole in one; a text's score is that of its strongest window, through a logistic fit on the
+training texts. Gradient steps take windows that start every ``STRIDE`` words, and one that ends at the last word.
 
 The network is fitted on the driver on a bounded sample of labelled texts (``MOST_TOXIC``, ``MOST_CLEAN``, at most
 ``MOST_BYTES`` each); scoring runs where the texts are and adds no shuffle.
@@ -118,15 +118,24 @@ def tables(w: Words, labels: np.ndarray, rows: np.ndarray) -> Tables:
 
 
 def windows(edge: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of every window (rows of WINDOW; ``blank`` fills short texts) and its text."""
+    """Word numbers of a window every ``STRIDE`` words (rows of WINDOW; ``blank`` fills short texts) and its text."""
+    begin, of = _starts(edge, STRIDE)
+    return _places(edge, begin, of, blank), of
+
+
+def _starts(edge: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of every window and its text."""
     n = np.diff(edge)
-    count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(np.int64))
+    count = np.where(n > WINDOW, -(-(n - WINDOW) // stride) + 1, (n > 0).astype(np.int64))
     of = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    begin = edge[of] + np.minimum(k * STRIDE, np.maximum(0, n[of] - WINDOW))
+    return edge[of] + np.minimum(k * stride, np.maximum(0, n[of] - WINDOW)), of
+
+
+def _places(edge: np.ndarray, begin: np.ndarray, of: np.ndarray, blank: int) -> np.ndarray:
     index = begin[:, None] + np.arange(WINDOW)
     index[index >= edge[of + 1][:, None]] = blank
-    return index, of
+    return index
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -187,6 +196,15 @@ class Network:
         ]
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
+    def strongest(self, x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """The largest logit of all windows of each text, -inf without a word; ``x`` ends with the blank row."""
+        best = np.full(len(edge) - 1, -np.inf)
+        begin, of = _starts(edge, 1)
+        for k in range(0, len(of), 4096):
+            own = of[k : k + 4096]
+            np.maximum.at(best, own, self.logits(x, _places(edge, begin[k : k + 4096], own, len(x) - 1)).astype(np.float64))
+        return best
+
     def gradient(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """Of the weighted mean log loss."""
         kept = {"f": [], "b": []}
@@ -236,12 +254,9 @@ class Model:
         if self.network is None:
             return out
         w = read_words(data, at)
-        index, of = windows(w.edge, len(w.word))
-        if len(of):
-            best = np.full(len(out), -np.inf)
-            np.maximum.at(best, of, self.network.logits(features(w, self.tables), index).astype(np.float64))
-            some = np.isfinite(best)
-            out[some] = 1 / (1 + np.exp(-np.clip(self.slope * best[some] + self.offset, -50, 50)))
+        best = self.network.strongest(features(w, self.tables), w.edge)
+        some = np.isfinite(best)
+        out[some] = 1 / (1 + np.exp(-np.clip(self.slope * best[some] + self.offset, -50, 50)))
         return out
 
 
@@ -299,8 +314,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
         other = other[labels[of[other]] == 0]
         chosen = np.concatenate([top, other])
         descent.run(x, index[chosen], labels[of[chosen]].astype(np.float32), steps)
-    best = np.full(len(texts), -np.inf)
-    np.maximum.at(best, of, net.logits(x, index).astype(np.float64))
+    best = net.strongest(x, w.edge)
     some = np.isfinite(best)
     slope, offset = _logistic(best[some], labels[some])
     return Model(tables(w, labels, np.arange(len(texts))), net, slope, offset)
@@ -325,12 +339,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows that are not held out: the bounded sample with the smallest hashed ids."""
+    """Fit on labelled rows of texts up to ``MOST_BYTES`` that are not held out: the bounded sample with the smallest hashed ids."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
     known = known.where(~held_out("__id")).dropDuplicates(["__id"])
+    short = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= MOST_BYTES)
+    known = known.join(short.select("__id"), "__id", "left_semi")  # before the choice: long texts take no places
     order = (F.xxhash64("__id"), F.col("__id"))
     sample = [known.where(F.col("__y") == y).orderBy(*order).limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    short = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= MOST_BYTES)
     rows = short.join(F.broadcast(sample[0].unionByName(sample[1])), "__id").limit(2 * (MOST_TOXIC + MOST_CLEAN)).toArrow()
     data, at = utf8(rows.column("__text"))
     texts = [data[at[i] : at[i + 1]].tobytes() for i in range(len(rows))]

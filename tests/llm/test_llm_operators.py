@@ -250,6 +250,31 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(docs, labels.where("false")).agg(F.max("score")).first()[0] == 0
 
 
+def test_every_start_is_scored():
+    rng = random.Random(8)
+    plain = [prose(rng, 80).encode() for _ in range(60)]
+    toxic = [t + b" gruntmok gruntmak " + prose(rng, 20).encode() for t in plain[:20]]
+    model = toxicity.fit(plain[20:] + toxic, np.array([0] * 40 + [1] * 20))
+    text = prose(rng, 75).encode()
+    w = toxicity.read_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    index = np.arange(75 - toxicity.WINDOW + 1)[:, None] + np.arange(toxicity.WINDOW)
+    best = float(model.network.logits(toxicity.features(w, model.tables), index).astype(np.float64).max())
+    got = model.score(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert got[0] == pytest.approx(1 / (1 + np.exp(-np.clip(model.slope * best + model.offset, -50, 50))), rel=1e-4)
+
+
+def test_long_texts_take_no_places(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 20)
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 60) + (" gruntmok " if i % 4 == 0 else " ") * (3000 if i % 4 == 0 and i % 20 else 1), "a") for i in range(400)]
+    model = toxicity.train(table(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    assert model.network is not None
+    teach = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: teach.append(int(labels.sum())))
+    toxicity.train(table(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    assert teach == [min(20, sum(i % 20 == 0 and zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400)))]
+
+
 def test_gradient_is_the_slope():
     rng = np.random.default_rng(0)
     net = toxicity.Network.fresh(rng)
