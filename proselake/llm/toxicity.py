@@ -1,13 +1,14 @@
-"""Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
+"""Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, trained in numpy.
 
-A word is a run of ASCII letters, digits and non-ASCII bytes. Its inputs are learned from characters and from the
-word: how much likelier its 5-byte character grams (word edges count as a character) and the word itself are in texts
-labelled 1 than in others, and its length. A window of ``WINDOW`` words starts at every word up to the last full one, so any
-span of that length lies whole in one; a text's score is that of its strongest window, through a logistic fit on the
-training texts. Gradient steps take windows that start every ``STRIDE`` words, and one that ends at the last word.
+A word is a run of ASCII letters, digits and non-ASCII bytes. Its inputs are a learned vector of the word, the mean of
+learned vectors of its 5-byte character grams (word edges count as a character), and four numbers: how much likelier its grams
+(most and mean) and the word are in texts labelled 1 than in others, and its length. A window of ``WINDOW`` words starts at every
+word up to the last full one, so any span of that length lies whole in one; a text's score is that of its strongest window,
+through a logistic fit on the training texts. Gradient steps take windows that start every ``STRIDE`` words, and one that ends
+at the last word; they move the network and the vectors.
 
-The network is fitted on the driver on a bounded sample of labelled texts (``MOST_TOXIC``, ``MOST_CLEAN``, at most
-``MOST_BYTES`` each); scoring runs where the texts are and adds no shuffle.
+The network is fitted on the driver on a bounded sample of labelled texts (``MOST_TOXIC``, ``MOST_CLEAN`` rows, ``MOST_BYTES``
+in all of either label); scoring runs where the texts are and adds no shuffle.
 """
 
 from __future__ import annotations
@@ -17,18 +18,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import LOWER, blocks, splitmix, utf8, word_hashes
+from ._common import LOWER, blocks, cut, splitmix, utf8, word_hashes
 
-#: Labelled texts that the fit takes at most, and the longest of them in bytes.
-MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 700, 1400, 8192
+#: Labelled texts that the fit takes at most, and bytes of all texts of a label; the texts of the smallest hashed ids.
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 700, 1400, 3 << 20
+LOOKED_UP = 8
 #: Gradient steps before and after the choice of windows is renewed, and windows in each.
-STEPS, BATCH = (100, 150), 384
-WINDOW, STRIDE = 24, 16
-HIDDEN, INPUTS, POOL = 6, 4, 6
-TABLE = 1 << 20
+STEPS, BATCH = (150, 300), 384
+WINDOW, STRIDE = 12, 8
+#: Numbers of a word's log odds and length, of its own vector, and of its grams' vector.
+STATIC, LEARNED = 4, 6
+HIDDEN, INPUTS, POOL = 6, STATIC + 2 * LEARNED, 6
+TABLE, VECTORS = 1 << 20, 1 << 16
+#: Windows that one pass scores.
+PASS = 4096
 #: Strength of the prior that a gram says nothing.
 PRIOR = 4.0
 SEED = 7
@@ -39,21 +45,23 @@ _LETTER[48:58] = _LETTER[97:123] = _LETTER[128:] = True
 
 @dataclass
 class Tables:
-    """Log odds of a character gram and of a word, by hash."""
+    """Log odds of a character gram and of a word, and the learned vectors of both, by hash."""
 
     grams: np.ndarray
     words: np.ndarray
+    gram_vectors: np.ndarray
+    word_vectors: np.ndarray
 
 
 @dataclass
 class Words:
-    """The words of some texts: hashed grams and word, and where each text's words begin."""
+    """The words of some texts: the different ones by their hashed grams, hash and length, the number of each word, where each text's words begin."""
 
     gram: np.ndarray
-    gram_from: np.ndarray
-    gram_to: np.ndarray
+    gram_of: np.ndarray
     word: np.ndarray
     length: np.ndarray
+    number: np.ndarray
     edge: np.ndarray
 
 
@@ -68,43 +76,59 @@ def read_words(data: np.ndarray, at: np.ndarray) -> Words:
     inside = held != 32
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    wide = held.astype(np.uint64)
-    gram = wide[:-4].copy()
-    for k in range(1, 5):
-        gram |= wide[k : len(wide) - 4 + k] << np.uint64(8 * k)
+    key, first, number = np.unique(word_hashes(held, starts, ends), return_index=True, return_inverse=True)
+    length = (ends - starts)[first]
+    size = np.maximum(length - 2, 0)  # grams of five that begin at the blank before the word
+    gram_of = np.repeat(np.arange(len(key)), size)
+    place = np.arange(len(gram_of)) - np.repeat(np.cumsum(size) - size, size) + starts[first][gram_of] - 1
+    gram = np.zeros(len(place), np.uint64)
+    for k in range(5):
+        gram |= held[place + k].astype(np.uint64) << np.uint64(8 * k)
     gram = (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-    word = splitmix(word_hashes(held, starts, ends)) & np.uint64(TABLE - 1)
-    edge = np.searchsorted(starts, at)
-    return Words(gram.astype(np.int64), starts - 1, np.maximum(ends - 3, starts - 1), word.astype(np.int64), ends - starts, edge)
+    word = splitmix(key) & np.uint64(TABLE - 1)
+    return Words(gram.astype(np.int64), gram_of, word.astype(np.int64), length, number, np.searchsorted(starts, at))
 
 
-def features(w: Words, t: Tables) -> np.ndarray:
-    """A row of inputs for each word, and one of zeros."""
-    x = np.zeros((len(w.word) + 1, INPUTS), np.float32)
-    if not len(w.word):
+def word_inputs(w: Words, t: Tables) -> np.ndarray:
+    """A row of inputs for each different word, and one of zeros."""
+    n = len(w.word)
+    x = np.zeros((n + 1, INPUTS), np.float32)
+    if not n:
         return x
-    score = np.append(t.grams[w.gram], np.float32(0))
-    pairs = np.empty(2 * len(w.word), np.int64)
-    pairs[::2], pairs[1::2] = w.gram_from, w.gram_to
-    some = w.gram_to > w.gram_from
-    x[:-1, 0] = np.where(some, np.maximum.reduceat(score, pairs)[::2], 0)
-    x[:-1, 1] = np.where(some, np.add.reduceat(score, pairs)[::2] / np.maximum(1, w.gram_to - w.gram_from), 0)
+    if len(w.gram):
+        some, begin, count = np.unique(w.gram_of, return_index=True, return_counts=True)
+        x[some, 0] = np.maximum.reduceat(t.grams[w.gram], begin)
+        x[some, 1] = np.add.reduceat(t.grams[w.gram], begin) / count
+        x[some, STATIC + LEARNED :] = np.add.reduceat(t.gram_vectors[w.gram & VECTORS - 1], begin, axis=0) / count[:, None]
     x[:-1, 2] = t.words[w.word]
     x[:-1, 3] = np.minimum(w.length, 16) / 16
+    x[:-1, STATIC : STATIC + LEARNED] = t.word_vectors[w.word & VECTORS - 1]
     return x
 
 
-def tables(w: Words, labels: np.ndarray, rows: np.ndarray) -> Tables:
+def features(w: Words, t: Tables) -> np.ndarray:
+    """A row of inputs for each word of the texts, and one of zeros."""
+    return word_inputs(w, t)[np.append(w.number, len(w.word))]
+
+
+def fresh_vectors(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of grams and of words before any step: all but zero, so that a word never seen says little."""
+    return tuple((0.01 * rng.standard_normal((VECTORS, LEARNED))).astype(np.float32) for _ in range(2))
+
+
+def tables(w: Words, labels: np.ndarray, rows: np.ndarray, vectors: tuple[np.ndarray, np.ndarray]) -> Tables:
     """Log odds over the texts ``rows``: in how many of each label a gram or word is."""
     toxic, clean = float(labels[rows].sum()), float((1 - labels[rows]).sum())
     base = toxic / (toxic + clean)
     chosen = np.zeros(len(labels), bool)
     chosen[rows] = True
     text = np.repeat(np.arange(len(labels)), np.diff(w.edge))
+    n = max(1, len(w.word))
+    once = np.unique((text * n + w.number)[chosen[text]])  # a text's different words
+    text, number = once // n, once % n
 
     def odds(key: np.ndarray, of: np.ndarray) -> np.ndarray:
-        ok = chosen[of]
-        once = np.unique(of[ok] * TABLE + key[ok])
+        once = np.unique(of * TABLE + key)
         of, key = once // TABLE, once % TABLE
         n = np.bincount(key, minlength=TABLE)
         t = np.bincount(key, weights=labels[of], minlength=TABLE)
@@ -112,30 +136,22 @@ def tables(w: Words, labels: np.ndarray, rows: np.ndarray) -> Tables:
         out[n == 0] = 0
         return np.clip(out / 2, -3, 3).astype(np.float32)
 
-    size = w.gram_to - w.gram_from
-    place = np.repeat(w.gram_from - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-    return Tables(odds(w.gram[place], np.repeat(text, size)), odds(w.word, text))
+    size = np.bincount(w.gram_of, minlength=n)
+    begin, size = (np.cumsum(size) - size)[number], size[number]
+    place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return Tables(odds(w.gram[place], np.repeat(text, size)), odds(w.word[number], text), *vectors)
 
 
 def windows(edge: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of a window every ``STRIDE`` words (rows of WINDOW; ``blank`` fills short texts) and its text."""
-    begin, of = _starts(edge, STRIDE)
-    return _places(edge, begin, of, blank), of
-
-
-def _starts(edge: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first word of every window and its text."""
     n = np.diff(edge)
-    count = np.where(n > WINDOW, -(-(n - WINDOW) // stride) + 1, (n > 0).astype(np.int64))
+    count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(np.int64))
     of = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    return edge[of] + np.minimum(k * stride, np.maximum(0, n[of] - WINDOW)), of
-
-
-def _places(edge: np.ndarray, begin: np.ndarray, of: np.ndarray, blank: int) -> np.ndarray:
+    begin = edge[of] + np.minimum(k * STRIDE, np.maximum(0, n[of] - WINDOW))
     index = begin[:, None] + np.arange(WINDOW)
     index[index >= edge[of + 1][:, None]] = blank
-    return index
+    return index, of
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -196,17 +212,67 @@ class Network:
         ]
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
-    def strongest(self, x: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """The largest logit of all windows of each text, -inf without a word; ``x`` ends with the blank row."""
+    def strongest(self, inputs: np.ndarray, number: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """The largest logit of all windows of each text, -inf without a word; ``inputs`` by word number, the last row blank.
+
+        The texts lie one behind the other, those shorter than a window filled with blanks; the windows that start at
+        neighbouring words take neighbouring columns, so no word is gathered twice.
+        """
         best = np.full(len(edge) - 1, -np.inf)
-        begin, of = _starts(edge, 1)
-        for k in range(0, len(of), 4096):
-            own = of[k : k + 4096]
-            np.maximum.at(best, own, self.logits(x, _places(edge, begin[k : k + 4096], own, len(x) - 1)).astype(np.float64))
+        n = np.diff(edge)
+        room = np.where(n > 0, np.maximum(n, WINDOW), 0)
+        last = np.cumsum(room)
+        total = int(last[-1]) if len(last) else 0
+        if not total:
+            return best
+        line = np.full(total, len(inputs) - 1, np.int64)
+        line[np.arange(len(number)) + np.repeat(last - room - edge[:-1], n)] = number
+        projected = [(inputs @ self.w[f"W{d}"] + self.w[f"c{d}"]).T.astype(np.float32) for d in "fb"]
+        of = np.repeat(np.arange(len(n)), room)
+        for a in range(0, total - WINDOW + 1, PASS):
+            m = min(PASS, total - WINDOW + 1 - a)
+            words = line[a : a + m + WINDOW - 1]
+            logit = self._columns([np.ascontiguousarray(p[:, words]) for p in projected], m)
+            own = of[a : a + m]
+            whole = own == of[a + WINDOW - 1 : a + m + WINDOW - 1]
+            np.maximum.at(best, own[whole], logit[whole].astype(np.float64))
         return best
 
-    def gradient(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted mean log loss."""
+    def _columns(self, projected: list[np.ndarray], m: int) -> np.ndarray:
+        """Logits of m windows, window k on columns k to k + WINDOW - 1 of both directions' projected words."""
+        out = np.empty((WINDOW, 2 * HIDDEN, m), np.float32)
+        for k, d in enumerate("fb"):
+            both = np.ascontiguousarray(np.concatenate([self.w[f"U{d}"], self.w[f"N{d}"]], axis=1).T)
+            h = np.zeros((HIDDEN, m), np.float32)
+            for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+                p = projected[k][:, t : t + m]
+                q = both @ h
+                g = q[: 2 * HIDDEN]
+                g += p[: 2 * HIDDEN]
+                g *= 0.5
+                np.tanh(g, out=g)
+                g *= 0.5
+                g += 0.5
+                z, r, new = g[:HIDDEN], g[HIDDEN:], q[2 * HIDDEN :]
+                new *= r
+                new += p[2 * HIDDEN :]
+                np.tanh(new, out=new)
+                h = h - new
+                h *= z
+                h += new
+                out[t, k * HIDDEN : (k + 1) * HIDDEN] = h
+        a = np.ascontiguousarray(self.w["A"].T)
+        e = np.stack([self.w["v"] @ np.tanh(a @ s) for s in out])
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        e /= e.sum(axis=0)
+        c = out[0] * e[0]
+        for t in range(1, WINDOW):
+            c += out[t] * e[t]
+        return self.w["o"] @ c + self.w["o0"][0]
+
+    def gradient(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray, inputs: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the weighted mean log loss; ``inputs`` (window, time, INPUTS) gets that of the words' inputs added."""
         kept = {"f": [], "b": []}
         s = np.concatenate([self.states(x, index, d, kept[d]) for d in "fb"], axis=2)
         logit, a, alpha, c = self.pool(s)
@@ -235,6 +301,8 @@ class Network:
                 dp = np.concatenate([dg, dn], axis=1)
                 g[f"W{d}"] += x[index[:, t]].T @ dp
                 g[f"c{d}"] += dp.sum(axis=0)
+                if inputs is not None:
+                    inputs[:, t] += dp @ w.T
                 dh = dh * z + dg @ u.T + (dn * r) @ m.T
         return g
 
@@ -254,31 +322,68 @@ class Model:
         if self.network is None:
             return out
         w = read_words(data, at)
-        best = self.network.strongest(features(w, self.tables), w.edge)
+        best = self.network.strongest(word_inputs(w, self.tables), w.number, w.edge)
         some = np.isfinite(best)
         out[some] = 1 / (1 + np.exp(-np.clip(self.slope * best[some] + self.offset, -50, 50)))
         return out
 
 
 class _Descent:
-    """Adam over the log loss with both labels weighing alike."""
+    """Steps over the log loss with both labels weighing alike: Adam for the network, steps by summed squares for the vectors.
+
+    ``x`` holds a row for each word and half, the blank row last; row k is of word k % (number of words).
+    """
 
-    def __init__(self, net: Network, rng: np.random.Generator):
-        self.net, self.rng, self.step = net, rng, 0
+    def __init__(self, net: Network, rng: np.random.Generator, words: Words, vectors: tuple[np.ndarray, np.ndarray]):
+        self.net, self.rng, self.step, self.words = net, rng, 0, words
         self.first, self.second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
+        self.vectors, self.squares = vectors, tuple(np.full_like(v, 1e-8) for v in vectors)
+        size = np.bincount(words.gram_of, minlength=max(1, len(words.word)))
+        self.begin, self.size = np.cumsum(size) - size, size
+
+    def _renew(self, x: np.ndarray, rows: np.ndarray) -> None:
+        """The learned inputs of the words ``rows`` from the vectors, in both halves."""
+        n = len(self.words.word)
+        size = self.size[rows]
+        place = np.repeat(self.begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        mean = np.zeros((len(rows), LEARNED), np.float32)
+        np.add.at(mean, np.repeat(np.arange(len(rows)), size), self.vectors[0][self.words.gram[place] & VECTORS - 1])
+        mean /= np.maximum(1, size)[:, None]
+        for k in (0, n):
+            x[rows + k, STATIC + LEARNED :] = mean
+            x[rows + k, STATIC : STATIC + LEARNED] = self.vectors[1][self.words.word[rows] & VECTORS - 1]
+
+    def _move(self, rows: np.ndarray, slope: np.ndarray) -> None:
+        """A step of the vectors of the words ``rows`` against the slopes of their learned inputs."""
+        size = self.size[rows]
+        place = np.repeat(self.begin[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        of_gram = np.repeat(slope[:, LEARNED:] / np.maximum(1, size)[:, None], size, axis=0)
+        for k, (key, g) in enumerate(((self.words.gram[place], of_gram), (self.words.word[rows], slope[:, :LEARNED]))):
+            key, own = np.unique(key & VECTORS - 1, return_inverse=True)
+            g = np.stack([np.bincount(own, weights=c, minlength=len(key)) for c in g.T], axis=1)
+            self.squares[k][key] += g * g
+            self.vectors[k][key] -= (0.05 * g / np.sqrt(self.squares[k][key])).astype(np.float32)
 
     def run(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, steps: int) -> None:
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+        blank, n = len(x) - 1, len(self.words.word)
         for _ in range(steps):
             self.step += 1
             i = self.rng.integers(0, len(y), BATCH)
             rate = 0.03 if self.step <= 150 else 0.01
-            for name, g in self.net.gradient(x, index[i], y[i], weight[i]).items():
+            used = index[i]
+            slope = np.zeros((*used.shape, INPUTS), np.float32)
+            for name, g in self.net.gradient(x, used, y[i], weight[i], slope).items():
                 g = np.clip(g, -1, 1)
                 self.first[name] = 0.9 * self.first[name] + 0.1 * g
                 self.second[name] = 0.99 * self.second[name] + 0.01 * g * g
                 move = self.first[name] / (1 - 0.9**self.step) / (np.sqrt(self.second[name] / (1 - 0.99**self.step)) + 1e-6)
                 self.net.w[name] -= (rate * move).astype(np.float32)
+            real = used != blank
+            rows, own = np.unique(used[real] % n, return_inverse=True)
+            of_word = np.stack([np.bincount(own, weights=c, minlength=len(rows)) for c in slope[real][:, STATIC:].T], axis=1)
+            self._move(rows, of_word)
+            self._renew(x, rows)
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -294,19 +399,22 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     rng = np.random.default_rng(SEED)
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     w = read_words(np.frombuffer(b"".join(texts), np.uint8), at)
+    n, vectors = len(w.word), fresh_vectors(rng)
+    if not n:
+        return Model()
     half = rng.permutation(len(texts)) % 2
     text = np.repeat(np.arange(len(texts)), np.diff(w.edge))
-    x = np.zeros((len(w.word) + 1, INPUTS), np.float32)
-    for k in (0, 1):
-        got = features(w, tables(w, labels, np.flatnonzero(half != k)))
-        mine = np.append(half[text] == k, False)
-        x[mine] = got[mine]
-    index, of = windows(w.edge, len(w.word))
+    odds = [word_inputs(w, tables(w, labels, np.flatnonzero(half != k), vectors)) for k in (0, 1)]
+    x = np.concatenate([odds[0][:-1], odds[1]])
+    number = w.number + n * half[text]  # a word's row of x
+    index, of = windows(w.edge, len(number))
+    index = np.append(number, 2 * n)[index]
     strength = x[index, 0].max(axis=1) + x[index, 2].max(axis=1)
     net = Network.fresh(rng)
-    descent = _Descent(net, rng)
+    descent = _Descent(net, rng, w, vectors)
     for k, steps in enumerate(STEPS):
         if k:
+            descent._renew(x, np.arange(n))
             strength = net.logits(x, index)
         order = np.lexsort((-strength, of))
         top = order[np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1])))]
@@ -314,10 +422,11 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
         other = other[labels[of[other]] == 0]
         chosen = np.concatenate([top, other])
         descent.run(x, index[chosen], labels[of[chosen]].astype(np.float32), steps)
-    best = net.strongest(x, w.edge)
+    descent._renew(x, np.arange(n))
+    best = net.strongest(x, number, w.edge)
     some = np.isfinite(best)
     slope, offset = _logistic(best[some], labels[some])
-    return Model(tables(w, labels, np.arange(len(texts))), net, slope, offset)
+    return Model(tables(w, labels, np.arange(len(texts)), vectors), net, slope, offset)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -339,17 +448,27 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows of texts up to ``MOST_BYTES`` that are not held out: the bounded sample with the smallest hashed ids."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
-    known = known.where(~held_out("__id")).dropDuplicates(["__id"])
-    short = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= MOST_BYTES)
-    known = known.join(short.select("__id"), "__id", "left_semi")  # before the choice: long texts take no places
-    order = (F.xxhash64("__id"), F.col("__id"))
-    sample = [known.where(F.col("__y") == y).orderBy(*order).limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
-    rows = short.join(F.broadcast(sample[0].unionByName(sample[1])), "__id").limit(2 * (MOST_TOXIC + MOST_CLEAN)).toArrow()
-    data, at = utf8(rows.column("__text"))
+    """Fit on labelled rows that are not held out: of either label those with the smallest hashed ids, up to a number of rows and of bytes.
+
+    ``LOOKED_UP`` times as many labelled ids are looked up, since some may have no text. The sample ends where a label's texts
+    add up to ``MOST_BYTES``; texts of any length up to that take part. Of rows that repeat an id the one of the smallest
+    text digest teaches.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
+    known = known.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
+    order = (F.xxhash64("id"), F.col("id"))
+    first = [known.where(F.col("y") == y).orderBy(*order).limit(LOOKED_UP * n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
+    asked = F.broadcast(first[0].unionByName(first[1]))  # at most LOOKED_UP * (MOST_TOXIC + MOST_CLEAN) rows
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text").between(1, MOST_BYTES))
+    whole = cut(whole.join(asked, "id").select("id", "y", "text", F.octet_length("text").alias("bytes"), F.md5(F.col("text").cast("binary")).alias("key")))
+    least = whole.groupBy("id", "y").agg(F.min(F.struct("key", "bytes")).alias("t")).select("id", "y", "t.key", "t.bytes")
+    sample = [least.where(F.col("y") == y).orderBy(*order).limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
+    so_far = F.sum("bytes").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sample[0].unionByName(sample[1]).withColumn("so_far", so_far).where(F.col("so_far") <= MOST_BYTES)
+    rows = whole.join(F.broadcast(chosen.select("id", "key")), ["id", "key"]).select("id", "y", "text").dropDuplicates(["id"]).toArrow()
+    data, at = utf8(rows.column("text"))
     texts = [data[at[i] : at[i + 1]].tobytes() for i in range(len(rows))]
-    held = sorted(zip(rows.column("__id").to_pylist(), texts, rows.column("__y").to_pylist(), strict=True))
+    held = sorted(zip(rows.column("id").to_pylist(), texts, rows.column("y").to_pylist(), strict=True))
     return fit([t for _, t, _ in held], np.array([y for _, _, y in held], dtype=np.int64))
 
 
@@ -379,8 +498,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels come from rows that are not held out; labels, lang, source and doc_id are no inputs. Null, empty and
     wordless texts score 0. Without texts of both labels every score is 0. Rows with null labels or labels other
-    than 0 and 1 teach nothing; repeated rows are scored alike. Null ids are carried and not held out. Other columns
-    are neither read nor returned.
+    than 0 and 1 teach nothing; an id labelled both 0 and 1 counts as 1; repeated rows are scored alike. Null ids are carried and
+    not held out. Very long texts are scored whole, ``PASS`` windows at a time. Other columns are neither read nor returned.
     """
     model = train(docs, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -263,16 +263,36 @@ def test_every_start_is_scored():
     assert got[0] == pytest.approx(1 / (1 + np.exp(-np.clip(model.slope * best + model.offset, -50, 50))), rel=1e-4)
 
 
-def test_long_texts_take_no_places(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MOST_TOXIC", 20)
+def test_sample_is_bounded_by_rows_and_bytes_not_by_length(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, prose(rng, 60) + (" gruntmok " if i % 4 == 0 else " ") * (3000 if i % 4 == 0 and i % 20 else 1), "a") for i in range(400)]
-    model = toxicity.train(table(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
-    assert model.network is not None
+    rows += [(4, "another text of the id", "a"), (8, None, "a")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     teach = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: teach.append(int(labels.sum())))
-    toxicity.train(table(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
-    assert teach == [min(20, sum(i % 20 == 0 and zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400)))]
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: teach.append((texts, y.tolist())))
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 20)
+    for _ in range(2):
+        toxicity.train(table(spark, rows).repartition(3), labels)
+    assert teach[0] == teach[1] and sum(teach[0][1]) == 20
+    long = sum(len(t) > 8192 for t in teach[0][0])
+    assert long >= 10  # three quarters of the toxic texts are long
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 100_000)
+    toxicity.train(table(spark, rows), labels)
+    texts, y = teach[-1]
+    for kind in (0, 1):
+        assert 0 < sum(len(t) for t, k in zip(texts, y, strict=True) if k == kind) <= 100_000
+
+
+def test_toxicity_of_empty_tables_and_long_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 40) + (" gruntmok " if i % 3 == 0 else " ") + prose(rng, 5), "a") for i in range(120)]
+    rows += [(200, prose(rng, 60_000), "a"), (201, "x" * 300_000, "a"), (202, rows[0][1], "a"), (202, rows[0][1], "a")]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id in (0, 202)}) == 1
+    assert toxicity.toxicity_scores(docs.where("false"), labels).count() == 0
+    assert toxicity.without_toxic(docs.where("false"), labels).columns == docs.columns
 
 
 def test_gradient_is_the_slope():
