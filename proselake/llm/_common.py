@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a table that is broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -23,12 +26,16 @@ LOWER[65:91] += 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is named."""
+    """The session's shared checkpoint folder; a temporary one only where none is named and all runs in one process."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir()
     if named:
         return named
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="ckpt-")
     sc.setCheckpointDir(named)
     return named
 
@@ -52,8 +59,12 @@ def is_small(df: DataFrame, rows: int) -> bool:
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` hinted for broadcast if it is proven to be small, else as it is (a shuffled join)."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    """``df`` hinted for broadcast if it is proven to be small, in rows and by their width in bytes, else as it is (a shuffled join).
+
+    It is counted first: pass what is written (``cut``), or its work is done twice. Rows hold no lists or texts of their own.
+    """
+    width = df._jdf.schema().defaultSize() + 16
+    return F.broadcast(df) if is_small(df, min(rows, BROADCAST_BYTES // width)) else df
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
