@@ -7,7 +7,7 @@
 3.  Shingles that only one class has go; a set's shingles before a shared one then count only if they are shared
     themselves, which bounds overlaps tightly. Within each shingle's classes, neighbours by size and every class
     with the one that lost fewest shingles are verified first: large groups of near copies join by a number of pairs
-    linear in their rows.
+    linear in their rows. A shingle of very many classes is dealt out by class, and the hubs of its parts are tried with one of them.
 4.  What still lies in different components is put into prefix trees, one for each family of sets that shared
     shingles connect; only a family of very many rows is dealt out by shingle. Paths share overlaps; a pair of subtrees is dropped when no two sets in it can reach the threshold with
     the shingles that remain. Pairs that pass are verified as well.
@@ -33,8 +33,10 @@ from .graph import connected_components
 #: Counters of the frequency table: 2**20 of 4 bytes, whatever the corpus.
 SKETCH_BITS = 20
 _PART = 1 << 14
-#: Rows up to which a list of ids is broadcast (16 MB).
+#: Rows up to which a list of ids is broadcast, and fewer if the schema's rows are wide.
 BROADCAST_ROWS = 1 << 20
+#: Classes of one shingle whose neighbours and hub are found in one task; beyond it they are salted.
+TOKEN_ROWS = 50_000
 #: Shingle rows that one prefix tree holds on average.
 TREE_ROWS = 50_000
 
@@ -263,7 +265,9 @@ def _verify(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num
     """Of ``a long, b long`` those whose exact shingle sets reach num / den."""
     wanted = pairs.select(F.col("a").alias("lo")).unionByName(pairs.select(F.col("b").alias("lo"))).distinct()
     ids = cut(reps.join(wanted, "lo").select(F.col("rep").alias("__rep")).distinct())
-    held = texts.join(maybe_broadcast(ids, BROADCAST_ROWS), F.col("__id") == F.col("__rep"), "left_semi")
+    held = texts.join(maybe_broadcast(ids.where("__rep IS NOT NULL"), BROADCAST_ROWS), F.col("__id") == F.col("__rep"), "left_semi")
+    if ids.where("__rep IS NULL").limit(1).count():  # sets that only rows without an id have
+        held = held.unionByName(texts.where("__id IS NULL"))
     packed = cut(held.select("__text").mapInArrow(_packed(width), "class long, packed binary").dropDuplicates(["class"]))
     left = packed.select(F.col("class").alias("a"), F.col("packed").alias("x"))
     right = packed.select(F.col("class").alias("b"), F.col("packed").alias("y"))
@@ -277,8 +281,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are lower-cased (A-Z) runs of anything but the six ASCII white-space characters. A set holds the distinct
     ``width``-word shingles, or the whole sequence if there are fewer words. Two rows link when
     den * intersection >= num * union. Null, empty and wordless texts have size 0 and link with nothing; equal
-    texts always link otherwise. ``keyed`` adds ``text_key``, the text's md5. A row whose id is null keeps its place but names no component by itself.
-    Repeated rows give repeated rows. Other columns are neither read nor returned.
+    texts always link otherwise. ``keyed`` adds ``text_key``, the text's md5, and ``group``, a number of the component (null
+    without a set). Rows whose id is null link like others; a component without any id has a null one. Very long texts are read whole, an empty
+    table gives an empty one. Repeated rows give repeated rows. Other columns are neither read nor returned.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
@@ -291,7 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         frequency[part * _PART : (part + 1) * _PART] = np.frombuffer(counts, np.uint32)
     table = spark.sparkContext.broadcast(frequency)
 
-    reps = cut(profiles.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"))
+    reps = cut(profiles.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
     sent = texts.select("__text").mapInArrow(_prefixes(width, num, den, table), "token long, class long, place long")
     shared = cut(sent.repartition("token").sortWithinPartitions("token", "class").mapInArrow(_shared, "token long, class long, place long"))
 
@@ -299,11 +304,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     before = F.row_number().over(Window.partitionBy("class").orderBy("p")) - 1
     shared = cut(shared.withColumn("s", before.cast("long")))
 
-    near = Window.partitionBy("token").orderBy("n", "class")
-    whole = Window.partitionBy("token")
+    salts = shared.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_ROWS).alias("salts")).where("salts > 1")  # few: one for each TOKEN_ROWS rows at most
+    salted = shared.join(maybe_broadcast(cut(salts), BROADCAST_ROWS), "token", "left")
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("class"), F.col("salts")), F.lit(0)))
+    near = Window.partitionBy("token", "salt").orderBy("n", "class")
+    whole = Window.partitionBy("token", "salt")
     one = F.struct("n", "p", "s", "class")
-    sided = shared.withColumn("hub", F.min(F.struct(F.col("p") - F.col("s"), one)).over(whole).getField("col2")).withColumn("next", F.lag(one).over(near))
-    tried = sided.select("n", "p", "s", "class", F.explode(F.array("hub", "next")).alias("o")).where("o IS NOT NULL AND o.class <> class")
+    least = F.struct((F.col("p") - F.col("s")).alias("lost"), one.alias("at"))
+    sided = salted.withColumn("hub", F.min(least).over(whole).getField("at")).withColumn("next", F.lag(one).over(near))
+    hubs = salted.where("salts IS NOT NULL").groupBy("token", "salt").agg(F.min(least).alias("least"))
+    across = hubs.join(hubs.groupBy("token").agg(F.min("least.at").alias("top")), "token").select("least.at.*", F.array("top").alias("o"))
+    tried = sided.select("n", "p", "s", "class", F.array("hub", "next").alias("o")).unionByName(across)
+    tried = tried.select("n", "p", "s", "class", F.explode("o").alias("o")).where("o IS NOT NULL AND o.class <> class")
     reach = (F.least("s", "o.s") + F.least(F.expr("n - p"), F.expr("o.n - o.p"))) * (num + den)
     tried = tried.where((F.least("n", "o.n") * den >= F.greatest("n", "o.n") * num) & (reach >= (F.col("n") + F.col("o.n")) * num))
     pairs = cut(tried.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct())
@@ -325,23 +337,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     edges = links.unionByName(_verify(texts, reps, more, width, num, den))
 
-    first = reps.select(F.col("lo").alias("a"), F.col("rep").alias("u"))
-    second = reps.select(F.col("lo").alias("b"), F.col("rep").alias("v"))
-    found = connected_components(edges.join(first, "a").join(second, "b").select("u", "v"))
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("found"))
+    found = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    classes = cut(reps.join(found, F.col("lo") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("component", "lo").alias("group")))
+    least = classes.groupBy("group").agg(F.min("rep").alias("found"))
+    classes = classes.join(least, "group").select("hi", "lo", "found", "group")
     return profiles.join(classes, ["hi", "lo"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"), *(["text_key"] if keyed else [])
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"), *(["text_key", "group"] if keyed else [])
     )
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Of every component the row with its smallest doc_id, all columns; see jaccard_components.
 
-    Rows without shingles stay. Repeated rows of one id and text are one row. Of rows without an id those stay whose
-    text no row with an id has.
+    Rows without shingles stay. Repeated rows of one id and text are one row. Of a component whose rows all have no id
+    the one with the smallest md5 of its text stays. An empty table gives an empty one; other columns are carried.
     """
-    kept = jaccard_components(docs, width=width, num=num, den=den, keyed=True)
-    kept = kept.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    every = cut(jaccard_components(docs, width=width, num=num, den=den, keyed=True))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    kept = every.where("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("x")).select("x.doc_id", "x.text_key")
+    kept = kept.unionByName(every.where("group IS NULL").select("doc_id", "text_key")).toDF("__id", "__key").distinct()
     kept = maybe_broadcast(cut(kept), BROADCAST_ROWS)
     keyed = docs.withColumn("__own", F.unhex(F.md5(F.col("text").cast("binary"))))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("__own").eqNullSafe(F.col("__key"))
