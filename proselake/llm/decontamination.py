@@ -53,15 +53,15 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         .withColumn("rank", F.expr("row_number() OVER (PARTITION BY item_id ORDER BY h)"))
         .select("item_id", "n_item", "part", "h", (F.col("rank") <= F.col("sketch")).alias("in_sketch"))
     )
-    sketch = maybe_broadcast(item.where("in_sketch").select("h").distinct(), BROADCAST_ROWS)
+    sketch = maybe_broadcast(cut(item.where("in_sketch").select("h").distinct()), BROADCAST_ROWS)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).where("doc_id IS NOT NULL")
     shingle = _shingle_array(word_array(F.col("__text")), width)
     hit = texts.select("doc_id", F.explode(shingle).alias("h")).join(sketch, "h", "left_semi").select("doc_id", "h").distinct()
     ids = cut(hit.join(item.where("in_sketch").select("h", "item_id"), "h").select("doc_id", "item_id").distinct())
 
-    wanted = maybe_broadcast(ids.select("doc_id").distinct(), BROADCAST_ROWS)
+    wanted = maybe_broadcast(cut(ids.select("doc_id").distinct()), BROADCAST_ROWS)
     whole = texts.join(wanted, "doc_id", "left_semi").select("doc_id", F.explode(shingle).alias("h"))
-    every = maybe_broadcast(item.select("h").distinct(), BROADCAST_ROWS)
+    every = maybe_broadcast(cut(item.select("h").distinct()), BROADCAST_ROWS)
     common = whole.join(every, "h", "left_semi").distinct().join(item.select("h", "item_id", "n_item"), "h")
     common = common.join(ids, ["doc_id", "item_id"], "left_semi")
     found = common.groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_common"))
@@ -70,6 +70,13 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item; see contained_items."""
-    found = cut(contained_items(docs, items).select(F.col("doc_id").alias("__leaked")).distinct())
-    return docs.join(maybe_broadcast(found, BROADCAST_ROWS), F.col("doc_id") == F.col("__leaked"), "left_anti")
+    """The rows of ``docs``, all columns, whose text contains no item; see contained_items.
+
+    Texts are searched, not ids: rows are keyed by the md5 of their text, so a null or repeated doc_id hides nothing
+    and equal texts fare alike. Items with a null id are searched as well, keyed by their own text. Rows with a null
+    or empty text stay; an empty table of either kind takes nothing away.
+    """
+    key = F.md5(F.col("text").cast("binary"))
+    asked = items.where("text IS NOT NULL").select(key.alias("item_id"), "text").distinct()
+    found = cut(contained_items(docs.select(key.alias("doc_id"), "text"), asked).select(F.col("doc_id").alias("__leaked")).distinct())
+    return docs.join(maybe_broadcast(found, BROADCAST_ROWS), key == F.col("__leaked"), "left_anti")
