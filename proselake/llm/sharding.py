@@ -1,23 +1,26 @@
 """Sharding by best-fit-decreasing bin packing: groups of equal texts stay whole, shards get near-equal bytes.
 
 A group above the even share of a shard has a shard of its own; that is repeated with the bytes and shards that are left
-until no group is above. Groups of at least 1 / FINE of what is left for a shard are items of their own; there are at most
-shards * (FINE + 1) of both. All others are dealt into a fixed number of bundles by hash, which are items too. The driver
-packs this bounded list: items by falling size, each into the bin with the tightest room that holds it, found in a balanced
-tree. The smallest capacity for which the bins suffice is searched from the even share on, so every bin is near full.
+until no group is above. All other groups are items, by falling size, each into the bin with the tightest room that holds it,
+found in a balanced tree. Groups of one size are alike, so the driver packs the table of different sizes and their counts: a
+bin takes as many groups of a size as it holds before the next tightest is looked up, which is the same rule. Different sizes
+that add up to no more than all bytes are at most the root of twice the bytes (245,000 for 30 GB, 14 million for 100 TB, 16
+bytes each). The capacity is searched from the even share on, so every bin is near full. The groups of a size then take
+their bins by their rank among equals, counted in two steps.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import BROADCAST_BYTES, cut, maybe_broadcast
 
-FINE = 256
-BUNDLES = 4096
-#: Parts of a shard in which its rows are numbered, each on its own.
+#: Parts of a shard, or of the groups of one size, that are numbered each on their own.
 RUNS = 1024
+#: Rows of a group from which it is joined by broadcast instead of shuffled to one task, and the most of them that are.
+HOT_ROWS, BROADCAST_ROWS = 20_000, 1 << 18
 
 
 class _RoomTree:
@@ -91,38 +94,96 @@ def own_shards(falling: list[int], total: int, shards: int) -> tuple[int, int]:
     return n, total
 
 
-def pack(sizes: list[int], shards: int) -> list[int]:
-    """The bin of each item in 0 .. shards - 1: items above the even share alone, the others for the smallest capacity that best fit decreasing can keep."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    alone, left = own_shards([sizes[i] for i in order], sum(sizes), shards)
-    rest = [sizes[i] for i in order[alone:]]
-    low = -(-left // (shards - alone))
-    high = 2 * low
-    best = best_fit_decreasing(rest, high)
+def fill(sizes: list[int], counts: list[int], capacity: int, most: int) -> list[tuple[int, int, int]] | None:
+    """(place in sizes, bin, groups of that size in it) by best fit decreasing over falling sizes; None if it takes more than ``most`` bins."""
+    tree, runs, opened = _RoomTree(), [], 0
+    for i, (size, left) in enumerate(zip(sizes, counts, strict=True)):
+        while left:
+            found = tree.take(size)
+            if found is None:
+                if opened == most:
+                    return None
+                found = (max(capacity, size), opened)
+                opened += 1
+            room, place = found
+            n = min(left, room // size)
+            runs.append((i, place, n))
+            tree.insert(room - n * size, place)
+            left -= n
+    return runs
+
+
+def pack_counts(sizes: list[int], counts: list[int], shards: int) -> list[tuple[int, int, int]]:
+    """(place in falling ``sizes``, bin, groups): those above the even share alone, the others for the smallest capacity found that best fit decreasing can keep."""
+    largest = [s for s, n in zip(sizes[:shards], counts, strict=False) for _ in range(min(n, shards))][:shards]
+    alone, left = own_shards(largest, sum(s * n for s, n in zip(sizes, counts, strict=True)), shards)
+    runs, rest, k = [], list(counts), 0
+    for place in range(alone):
+        while not rest[k]:
+            k += 1
+        runs.append((k, place, 1))
+        rest[k] -= 1
+    low, step = -(-left // (shards - alone)), 1
+    best, high = fill(sizes, rest, low, shards - alone), low
+    while best is None:  # ever larger steps, then between the last two
+        low, high, step = high + 1, low + step, 2 * step
+        best = fill(sizes, rest, high, shards - alone)
     while low < high:
         middle = (low + high) // 2
-        bins = best_fit_decreasing(rest, middle)
-        if max(bins, default=0) < shards - alone:
-            best, high = bins, middle
+        found = fill(sizes, rest, middle, shards - alone)
+        if found is not None:
+            best, high = found, middle
         else:
             low = middle + 1
-    out = [0] * len(sizes)
-    for place, i in enumerate(order):
-        out[i] = place if place < alone else alone + best[place - alone]
+    return runs + [(i, alone + b, n) for i, b, n in best]
+
+
+def pack(sizes: list[int], shards: int) -> list[int]:
+    """The bin of each item in 0 .. shards - 1, by pack_counts; equal sizes take their bins in order of place."""
+    falling = sorted(set(sizes), reverse=True)
+    places = {s: [] for s in falling}
+    for i, s in enumerate(sizes):
+        places[s].append(i)
+    out, taken = [0] * len(sizes), dict.fromkeys(falling, 0)
+    for i, b, n in pack_counts(falling, [len(places[s]) for s in falling], shards):
+        s = falling[i]
+        for place in places[s][taken[s] : taken[s] + n]:
+            out[place] = b
+        taken[s] += n
     return out
 
 
+def _group_shards(groups: DataFrame, shards: int) -> DataFrame:
+    """``key, rows, shard`` of ``key, bytes, rows``."""
+    spark = groups.sparkSession
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("bytes")).toArrow()
+    falling = sizes.column("bytes").to_pylist()
+    ends, bins = [[] for _ in falling], [[] for _ in falling]
+    for i, b, n in pack_counts(falling, sizes.column("n").to_pylist(), shards):
+        ends[i].append(n + (ends[i][-1] if ends[i] else 0))
+        bins[i].append(b)
+    plan = pa.table({"bytes": pa.array(falling, pa.int64()), "ends": pa.array(ends, pa.list_(pa.int64())), "bins": pa.array(bins, pa.list_(pa.int32()))})
+    by_size = spark.createDataFrame(plan)
+    joined = groups.join(F.broadcast(by_size) if 4 * plan.nbytes < BROADCAST_BYTES else by_size, "bytes")
+    alone = joined.where(F.size("ends") == 1).select("key", "rows", F.get("bins", F.lit(0)).alias("shard"))
+    many = joined.where(F.size("ends") > 1).withColumn("run", F.pmod(F.xxhash64("key"), F.lit(RUNS)))
+    before = F.sum("n").over(Window.partitionBy("bytes").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    counts = many.groupBy("bytes", "run").agg(F.count("*").alias("n")).select("bytes", "run", F.coalesce(before, F.lit(0)).alias("before"))
+    many = many.withColumn("inside", F.row_number().over(Window.partitionBy("bytes", "run").orderBy("key"))).join(counts, ["bytes", "run"])
+    rank = F.col("before") + F.col("inside")
+    return alone.unionByName(many.select("key", "rows", F.get("bins", F.size(F.filter("ends", lambda e: e < rank))).alias("shard")))
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row; the law is ``bytes``.
 
     Size is the text's UTF-8 bytes and one (null: one); the crc32 of a null text is that of an empty one. Equal texts
     share a shard, null texts are a group. Slots number a shard's rows from 0 without gaps, in an order by hash,
-    id and text. Null ids are numbered as well, repeated rows get slots of their own. An empty table gives an empty
-    one. Other columns are neither read nor returned.
+    id and text. Null ids are numbered as well, repeated rows get slots of their own. Very long texts count by their whole
+    size. An empty table gives an empty one. Other columns are neither read nor returned.
     """
     if not 1 <= shards <= 1024:
         raise ValueError("1 to 1024 shards; pack larger tables part by part")
-    spark = docs.sparkSession
     text = F.col(text_col).cast("binary")
     rows = cut(
         docs.select(
@@ -132,19 +193,11 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
             F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("key"),
         )
     )
-    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    largest = [r["bytes"] for r in groups.select("bytes").orderBy(F.desc("bytes")).limit(shards).collect()]
-    alone, left = own_shards(largest, total, shards)
-    heavy_from = max(1, -(-left // ((shards - alone) * FINE)))
-    heavy = groups.where(F.col("bytes") >= heavy_from).orderBy("key").collect()  # at most shards * (FINE + 1) rows
-    bundle = F.pmod(F.xxhash64("key"), F.lit(BUNDLES)).cast("int")
-    light = groups.where(F.col("bytes") < heavy_from).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).orderBy("bundle").collect()
-    bins = pack([r["bytes"] for r in heavy] + [r["bytes"] for r in light], shards)
-    of_heavy = spark.createDataFrame([(bytes(r["key"]), b) for r, b in zip(heavy, bins, strict=False)], "key binary, own int")
-    of_bundle = spark.createDataFrame([(r["bundle"], b) for r, b in zip(light, bins[len(heavy) :], strict=True)], "bundle int, shared int")
-    placed = rows.withColumn("bundle", bundle).join(F.broadcast(of_heavy), "key", "left").join(F.broadcast(of_bundle), "bundle", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", "key", F.coalesce("own", "shared").alias("shard"))
+    groups = cut(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    shard = cut(_group_shards(groups, shards))
+    hot = maybe_broadcast(cut(shard.where(F.col("rows") >= HOT_ROWS).drop("rows")), BROADCAST_ROWS)
+    cold = shard.where(F.col("rows") < HOT_ROWS).drop("rows")
+    placed = rows.join(hot, "key").unionByName(rows.join(hot, "key", "left_anti").join(cold, "key"))
     placed = placed.withColumn("run", F.pmod(F.xxhash64(F.lit(1), "doc_id", "key"), F.lit(RUNS)).cast("int"))
     counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
