@@ -1,7 +1,7 @@
 """URL verdicts: host and path rules first, else gradient-boosted trees on lexical features. DataFrame functions only.
 
-The features are length, depth, digit ratio, entropy, parameter count, hyphens in the host and how often labelled URLs
-with the same host suffix are blocked. The trees learn from labelled URLs; the bound of that sample is ``MOST_LABELLED`` of each label.
+The features are length, depth, digit ratio, entropy, parameter count and two statistics of the host's suffix: how often labelled
+URLs that have it are blocked, and their share of all. The trees learn from labelled URLs; the bound of that sample is ``MOST_LABELLED`` of each label.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from ._common import cut
 MOST_LABELLED = 10_000
 #: Suffixes with statistics of their own: the most frequent in the sample.
 MOST_SUFFIXES = 1000
-TREES, DEPTH = 12, 3
+TREES, DEPTH = 20, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ["length", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_rate"]
+FEATURES = ["length", "depth", "digits", "entropy", "parameters", "suffix_rate", "suffix_share"]
 
 #: (host and path, verdict) of a rule.
 Rule = tuple[str, str]
@@ -60,7 +60,6 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "digits": F.when(size > 0, F.regexp_count(url, F.lit("[0-9]")) / size).otherwise(0.0),
         "entropy": F.coalesce(entropy, F.lit(0.0)),
         "parameters": F.when(query == "", 0.0).otherwise(F.regexp_count(query, F.lit("&")) + 1.0),
-        "hyphens": F.regexp_count(host, F.lit("-")).cast("double"),
         "suffix": F.substring_index(host, ".", -1),
     }
 
@@ -92,12 +91,12 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule], id_
         return held.select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.lit(only)).alias("verdict"))
 
     rates = sample.groupBy("suffix").agg(F.sum("blocked").alias("b"), F.count("*").alias("n")).orderBy(F.desc("n"), "suffix").limit(MOST_SUFFIXES)
-    prior = sample.agg(F.avg("blocked")).first()[0]
-    rates = F.broadcast(cut(rates.select("suffix", ((F.col("b") + 10 * prior) / (F.col("n") + 10)).alias("suffix_rate"))))
+    prior, n = sample.agg(F.avg("blocked"), F.count("*")).first()
+    rates = F.broadcast(cut(rates.select("suffix", ((F.col("b") + 10 * prior) / (F.col("n") + 10)).alias("suffix_rate"), (F.col("n") / n).alias("suffix_share"))))
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
 
     def ready(df: DataFrame) -> DataFrame:
-        return assemble.transform(df.join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(float(prior)))))
+        return assemble.transform(df.join(rates, "suffix", "left").fillna({"suffix_rate": float(prior), "suffix_share": 0.0}))
 
     trees = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=1, stepSize=0.3)
     model = trees.fit(ready(sample).select("features", "blocked"))
