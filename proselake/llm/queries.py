@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontamination import contained_items
 from .html_text import main_text
@@ -27,44 +28,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets reach a Jaccard of 0.85; nulls, empty texts and repeats as in jaccard_components."""
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Tokens of every text; null and empty ones have 0."""
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors of every row whose id is divisible by 20; what takes no part is named in top_k."""
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty pages have an empty one."""
     return main_text(_table(spark, sf_dir, "pages"))
 
 
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of 400 bytes take from every text; ``runs`` are the removed byte ranges, ``changed`` whether there are any."""
     found = repeated_spans(_table(spark, sf_dir, "documents"), length=400, gram=100)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs", (F.col("n_removed") > 0).alias("changed"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text, learned from rows that are not held out."""
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold; rows without an id can't be named here, the pipeline's stage finds them as well."""
     return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row by the law ``bytes``."""
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     return mix_documents(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of every page by the rules, else by trees learned from the URLs of url_seeds."""
     labelled = spark.createDataFrame(seeds(), "url string, blocked int")
     return judge_urls(_table(spark, sf_dir, "pages"), labelled, URL_RULES)
 
