@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import maybe_broadcast
+
 
 def purity(before: DataFrame, after: DataFrame, target: DataFrame) -> DataFrame:
     """Of findings counts ``variant, rule, n`` before and after, the drop of each variant's target rule over all drops."""
@@ -57,4 +59,4 @@ def model_bench(runs: DataFrame, prices: DataFrame) -> DataFrame:
     """Mean drop and acceptance, tokens and cost of each model, best first."""
     per = runs.groupBy("model").agg(F.avg("drop").alias("drop"), F.avg(F.col("accepted").cast("double")).alias("accept"), F.sum("tokens").alias("tokens"))
     cost = F.col("tokens") * F.col("price_per_million") / 1_000_000
-    return per.join(F.broadcast(prices), "model", "left").withColumn("cost", cost).orderBy(F.desc("drop"), "model")
+    return per.join(maybe_broadcast(prices), "model", "left").withColumn("cost", cost).orderBy(F.desc("drop"), "model")

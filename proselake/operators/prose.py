@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from ..session import maybe_broadcast
 
 WORD = r"[A-Za-z][A-Za-z'\-]*"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?%?"
@@ -35,8 +38,15 @@ def findings(docs: DataFrame, rule: str, pattern: str) -> DataFrame:
     return spans.select("doc_id", F.lit(rule).alias("rule"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.matched").alias("matched"))
 
 
+def rule_findings(docs: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """``doc_id, rule, start, end, matched, para`` of several patterns in one pass over the texts; para is null outside paragraphs."""
+    return docs.select("doc_id", F.explode(X.rule_spans(F.col("text"), rules)).alias("s")).select("doc_id", "s.*")
+
+
 def in_paragraph(found: DataFrame, paras: DataFrame) -> DataFrame:
-    """Each finding with the paragraph that contains it (none: dropped)."""
+    """Each finding with the paragraph that contains it (none: dropped); findings that carry ``para`` are only filtered."""
+    if "para" in found.columns:
+        return found.where("para IS NOT NULL")
     p = paras.select("doc_id", "para", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
     return found.join(p, "doc_id").where("p_start <= start AND end <= p_end").drop("p_start", "p_end")
 
@@ -122,6 +132,31 @@ def metrics_en(docs: DataFrame, rounded: bool = True) -> DataFrame:
     )
 
 
+def metrics_zh(docs: DataFrame, rounded: bool = True) -> DataFrame:
+    """Character, sentence and paragraph statistics of a text's Chinese paragraphs, or of the whole text if it has none.
+
+    Lengths are characters without white space, deviations are of the population; fewer than two sentences have none.
+    """
+    zh = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda p: (F.length(p) > 0) & (X.language(p) == "zh"))
+    held = docs.select("doc_id", F.col("text"), zh.alias("zh")).select("doc_id", F.when(F.size("zh") > 0, F.array_join("zh", "\n")).otherwise(F.col("text")).alias("t"))
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s", "")
+    sizes = lambda a: F.transform(a, lambda x: F.length(bare(x)).cast("long"))
+    paras = F.filter(F.split("t", "\n"), lambda p: F.length(bare(p)) > 0)
+    held = held.select(
+        "doc_id", F.length(bare(F.col("t"))).alias("n_chars"), sizes(X.sentences_zh(F.col("t"))).alias("l"), sizes(paras).alias("pl"),
+        F.regexp_count("t", F.lit(NUMBER)).alias("digits"), F.regexp_count("t", F.lit(r"[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*")).alias("latin"),
+    )
+    at = (lambda c, n: F.bround(c, n)) if rounded else (lambda c, n: c)
+    n, total = F.size("l").cast("long"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x)
+    square = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    sd = F.when(n < 2, F.lit(0.0)).otherwise(F.try_divide(F.sqrt((n * square - total * total).cast("double")), n))
+    share = lambda c: at(F.col(c) * F.lit(100) / F.greatest(F.col("n_chars"), F.lit(1)), 2)
+    return held.select(
+        "doc_id", "n_chars", F.size("l").alias("n_sents"), F.size("pl").alias("n_paras"), at(F.coalesce(F.try_divide(total, n), F.lit(0.0)), 2).alias("sent_len_mean"), at(sd, 2).alias("sent_len_sd"),
+        at(X.population_cv(F.col("l")), 4).alias("sent_len_cv"), at(X.population_cv(F.col("pl")), 4).alias("para_len_cv"), share("digits").alias("digit_density"), share("latin").alias("latin_density"),
+    )
+
+
 def metric_flags(metrics: DataFrame, thresholds: list[tuple[str, str, float, float, bool]], uncalibrated: bool = False) -> DataFrame:
     """``doc_id, metric, value`` of metrics on the model's side of their bound."""
     rows = [F.struct(F.lit(m).alias("metric"), F.lit(side).alias("side"), F.lit(bound).alias("bound"), F.col(m).cast("double").alias("value")) for m, side, _, bound, ok in thresholds if ok or uncalibrated]
@@ -143,12 +178,8 @@ def material_density(docs: DataFrame) -> DataFrame:
 
 
 def ngram_repeat(docs: DataFrame, n: int = 4) -> DataFrame:
-    """Share of overlapping n-character grams that occur again in the text and are not white space throughout."""
-    gram = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    each = docs.select("doc_id", F.explode(gram).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c"))
-    again = F.sum(F.when((F.col("c") > 1) & F.col("g").rlike(r"(?U)\S"), F.col("c")).otherwise(0))
-    per = each.groupBy("doc_id").agg(again.alias("repeated"), F.sum("c").alias("grams"))
-    both = docs.select("doc_id").join(per, "doc_id", "left").fillna(0)
+    """Share of overlapping n-character grams that occur again in the text and are not white space throughout; counted inside each row."""
+    both = docs.select("doc_id", X.repeated_grams(F.col("text"), n).alias("g")).select("doc_id", "g.*")
     return both.withColumn("ratio", F.coalesce(F.try_divide("repeated", "grams"), F.lit(0.0)))
 
 
@@ -177,20 +208,17 @@ def same_openers(sents: DataFrame, size: int = 2) -> DataFrame:
 
 
 def lexicon_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``doc_id, term, tier, hits`` of one-word terms, by tokens; ``terms`` is small and has ``term, tier``."""
+    """``doc_id, term, tier, hits`` of one-word terms, by tokens; ``terms`` has ``term, tier`` and is broadcast if it is proven to be small."""
     token = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
     counts = token.groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
-    return counts.join(F.broadcast(terms), "term").select("doc_id", "term", "tier", "hits")
+    return counts.join(maybe_broadcast(terms), "term").select("doc_id", "term", "tier", "hits")
 
 
 def phrase_findings(docs: DataFrame, phrases: list[str], rule: str = "V", word_bounds: bool = True) -> DataFrame:
-    """Findings of listed phrases, each found on its own, the covered ones dropped."""
-    out = None
-    for phrase in phrases:
-        pattern = rf"(?i)\b\Q{phrase}\E\b" if word_bounds else rf"\Q{phrase}\E"
-        f = findings(docs, rule, pattern)
-        out = f if out is None else out.unionByName(f)
-    return longest_wins(out)
+    """Findings of listed phrases, each found on its own in one pass, the covered ones dropped."""
+    bounds = (r"(?i)\b", r"\b") if word_bounds else ("", "")
+    found = rule_findings(docs, {p: bounds[0] + re.escape(p) + bounds[1] for p in phrases}).drop("para")
+    return longest_wins(found.withColumn("rule", F.lit(rule)))
 
 
 def term_frequency(docs: DataFrame, least: int = 2) -> DataFrame:
@@ -240,11 +268,6 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
 
 
 def label_before_number(docs: DataFrame, label: str, within: int = 24) -> DataFrame:
-    """Each number with the label that ends last before it, at most ``within`` characters away."""
-    n, b = findings(docs, "n", NUMBER), findings(docs, "l", label)
-    marks = n.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("kind"), "start", "matched", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("label_end"))
-    labels = b.select("doc_id", F.col("end").alias("at"), F.lit(0).alias("kind"), "start", "matched", F.col("matched").alias("label"), F.col("end").alias("label_end"))
-    w = Window.partitionBy("doc_id").orderBy("at", "kind", "start").rowsBetween(Window.unboundedPreceding, -1)
-    both = marks.unionByName(labels).withColumn("last", F.last(F.when(F.col("label").isNotNull(), F.struct("label", "label_end")), ignorenulls=True).over(w))
-    near = F.col("start") - F.col("last.label_end") <= within
-    return both.where("kind = 1").select("doc_id", "start", F.col("matched").alias("number"), F.when(near, F.col("last.label")).alias("label"))
+    """Each number with the label that ends last before it, at most ``within`` characters away; found inside each row."""
+    near = docs.select("doc_id", F.explode(X.last_before(F.col("text"), NUMBER, label, within)).alias("s"))
+    return near.select("doc_id", "s.start", "s.number", "s.label")

@@ -22,11 +22,7 @@ def _docs(spark, d):
 
 
 def _found(spark, d):
-    out = None
-    for rule, (pattern, _, _) in RULES.items():
-        f = P.findings(_docs(spark, d), rule, pattern)
-        out = f if out is None else out.unionByName(f)
-    return out
+    return P.rule_findings(_docs(spark, d), {rule: pattern for rule, (pattern, _, _) in RULES.items()})
 
 
 def paragraph_segments(spark, d):
@@ -50,12 +46,12 @@ def findings_quotes(spark, d):
 
 
 def finding_in_paragraph(spark, d):
-    return P.in_paragraph(_found(spark, d), P.paragraph_segments(_docs(spark, d)))
+    return P.in_paragraph(_found(spark, d).drop("para"), P.paragraph_segments(_docs(spark, d)))
 
 
 def protected_antijoin(spark, d):
     spans = P.findings(_docs(spark, d), "word", r"[A-Za-z]+[!*%&$#]+")
-    return P.outside_spans(_found(spark, d), spans)
+    return P.outside_spans(_found(spark, d).drop("para"), spans)
 
 
 def longest_hit_wins(spark, d):
@@ -64,7 +60,7 @@ def longest_hit_wins(spark, d):
 
 
 def paragraph_scores(spark, d):
-    return P.paragraph_scores(_found(spark, d), P.paragraph_segments(_docs(spark, d)), {k: w for k, (_, _, w) in RULES.items()}, 3, 2)
+    return P.paragraph_scores(_found(spark, d), P.paragraph_segments(_docs(spark, d)), {k: w for k, (_, _, w) in RULES.items()}, 4, 2)
 
 
 def doc_summary(spark, d):
@@ -190,7 +186,7 @@ SQL = {
         SELECT doc_id, rule, start, "end", matched FROM r WHERE reach IS NULL OR "end" > reach""",
     "paragraph_scores": f"""{HEAD}, s AS (SELECT doc_id, para, count(DISTINCT rule) AS raw_score, sum({WEIGHT}) AS weighted, count(*) AS n_findings FROM fp GROUP BY doc_id, para)
         SELECT p.doc_id, p.para, coalesce(raw_score, 0) AS raw_score, CAST(coalesce(weighted, 0) AS DOUBLE) AS weighted, coalesce(n_findings, 0) AS n_findings,
-        CASE WHEN coalesce(raw_score, 0) >= 3 THEN 'high' WHEN coalesce(raw_score, 0) >= 2 THEN 'medium' ELSE 'low' END AS level FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.para = s.para""",
+        CASE WHEN coalesce(raw_score, 0) >= 4 THEN 'high' WHEN coalesce(raw_score, 0) >= 2 THEN 'medium' ELSE 'low' END AS level FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.para = s.para""",
     "doc_summary": f"""{HEAD}, c AS (SELECT doc_id, count(*) FILTER ({SEVERE} = 'high') AS h, count(*) FILTER ({SEVERE} = 'medium') AS m, count(*) FILTER ({SEVERE} = 'low') AS l FROM f GROUP BY doc_id),
         a AS (SELECT doc_id, count(DISTINCT para) AS n FROM fp GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS k FROM p GROUP BY doc_id)
         SELECT d.doc_id, len(regexp_replace(text, '\\s', '', 'g')) AS n_chars, coalesce(k, 0) AS n_paragraphs, coalesce(h, 0) AS n_high, coalesce(m, 0) AS n_medium, coalesce(l, 0) AS n_low,
@@ -239,9 +235,9 @@ SQL = {
         j AS (SELECT n.doc_id, n.start, n.matched AS number, max_by(l.matched, l."end") AS label, max(l."end") AS e FROM n LEFT JOIN l ON l.doc_id = n.doc_id AND l."end" <= n.start GROUP BY ALL)
         SELECT doc_id, start, number, CASE WHEN start - e <= 24 THEN label END AS label FROM j""",
     "normalize_report": """SELECT page_id, CAST(len(regexp_extract_all(html, '\\r\\n?')) AS INT) AS carriage_returns, CAST(len(regexp_extract_all(html, '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}\\x{180E}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]')) AS INT) AS invisible,
-        CAST(len(regexp_extract_all(html, '[\\x{FE00}-\\x{FE0F}]')) AS INT) AS variation, CAST(len(regexp_extract_all(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}]')) AS INT) AS control,
+        CAST(len(regexp_extract_all(html, '[\\x{FE00}-\\x{FE0F}]')) AS INT) AS variation, CAST(len(regexp_extract_all(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}-\\x{9F}]')) AS INT) AS control,
         CAST(len(regexp_extract_all(html, '[\\x{2000}-\\x{200A}\\x{202F}\\x{205F}]')) AS INT) AS odd_spaces,
-        CAST(len(regexp_replace(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}\\x{180E}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{FE00}-\\x{FE0F}\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}]', '', 'g')) AS INT) AS n_chars FROM pages""",
+        CAST(len(regexp_replace(regexp_replace(html, '\\r\\n?', chr(10), 'g'), '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}\\x{180E}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{FE00}-\\x{FE0F}\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}-\\x{9F}]', '', 'g')) AS INT) AS n_chars FROM pages""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL} | {"metrics_en_all": metrics_en_all}
