@@ -6,8 +6,11 @@ Many patterns with offsets over one text are the case where one Arrow pass beats
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +22,11 @@ Hit = tuple[int, int]
 _HAN = re.compile("[一-鿿]")
 _LATIN = re.compile("[A-Za-z]")
 _PROSE_ZH = re.compile("[，。！？；]|本文|本研究|研究|方法|结果|分析|探讨")
-_TAIL_WORDS = set("for in on to with of at by from and or as that which who when while".split())
+# How items of a list are written, and words that end none.
+_CLAUSE = re.compile(r"[^，。；：！？\n]+")
+_JOINED = re.compile("[且和以及与并]")
+_THREE = re.compile(r"\b(\w+(?:\s\w+){0,2}),\s(\w+(?:\s\w+){0,2}),\s+and\s(\w+(?:\s\w+){0,2})\b")
+_ENDING = re.compile(r"(?:\s(?:for|in|on|to|with|of|at|by|from|and|or|as|that|which|who|when|while))+$", re.I)
 
 
 def language(text: str) -> str:
@@ -44,22 +51,54 @@ def sentences(text: str, lang: str) -> Iterator[Hit]:
     return spans(text, r"(?<=[.!?])\s+" if lang == "en" else r"(?<=[。！？；])|\n")
 
 
+def items_zh(clause: str) -> list[str]:
+    """What a clause lists; its last item is two if one joining character stands between two short halves."""
+    *items, last = clause.split("、")
+    halves = _JOINED.split(last)
+    if items and len(halves) == 2 and all(2 <= len(h) <= 12 for h in halves):
+        items += halves
+    else:
+        items.append(last)
+    return [x for x in items if x]
+
+
 def parallel_items(text: str) -> Iterator[Hit]:
-    """Clauses of three or more items of like length; the first, which often carries a verb, need only not be shorter."""
-    for m in re.finditer(r"[^，。；：！？\n]+", text):
-        items = [x for x in re.sub(r"、([^、且和以及与并]{2,12})[且和以及与并]([^、且和以及与并]{2,12})$", r"、\1、\2", m.group()).split("、") if x]
-        rest = [len(x) for x in items[1:]]
-        if "、" in m.group() and len(items) >= 3 and max(rest) - min(rest) <= 2 and len(items[0]) >= min(rest):
-            yield m.span()
+    """Clauses of three items at least, alike in length; the first may be longer, since it often carries the verb."""
+    for m in _CLAUSE.finditer(text):
+        if "、" in m.group():
+            first, *others = map(len, items_zh(m.group()) or [""])
+            if len(others) >= 2 and (shortest := min(others)) >= max(others) - 2 and first >= shortest:
+                yield m.span()
+
+
+class Terms:
+    """All places of many terms in a text, in one pass; ``words``: only between word bounds, upper case like lower case."""
 
+    def __init__(self, terms: list[str], words: bool):
+        self.words, self.tree = words, ahocorasick.Automaton()
+        for t in terms:
+            self.tree.add_word(t.lower() if words else t, len(t))
+        self.tree.make_automaton()
 
-def stacked(words: list[str], flags: int) -> Callable[[str], Iterator[Hit]]:
-    every = [re.compile(re.escape(w), flags) for w in words]
+    def find(self, text: str) -> Iterator[Hit]:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text) if self.words else text
+        inside = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+        for last, size in self.tree.iter(low):
+            start, end = last + 1 - size, last + 1
+            if not self.words or (inside(start - 1) != inside(start) and inside(end - 1) != inside(end)):
+                yield start, end
+
+
+def stacked(terms: list[str], words: bool) -> Callable[[str], Iterator[Hit]]:
+    """From the first to the last of two hits or more."""
+    own = re.compile("|".join(map(re.escape, terms)), re.I if words else 0)
+    every = [re.compile(re.escape(t), re.I if words else 0) for t in terms]
 
     def find(text: str) -> Iterator[Hit]:
-        hits = sorted(m.span() for p in every for m in p.finditer(text))
-        if len(hits) >= 2:
-            yield hits[0][0], hits[-1][1]
+        if own.search(text):
+            hits = sorted(m.span() for p in every for m in p.finditer(text))
+            if len(hits) > 1:
+                yield hits[0][0], hits[-1][1]
 
     return find
 
@@ -77,22 +116,21 @@ def ordinal_headings(text: str) -> list[Hit]:
 
 
 def rule_of_three(text: str) -> Iterator[Hit]:
-    """``a, b, and c`` of like length in words, function words trimmed from the end, lists of names left out."""
-    for m in re.finditer(r"\b(\w+(?:\s\w+){0,2}),\s(\w+(?:\s\w+){0,2}),\s+and\s(\w+(?:\s\w+){0,2})\b", text):
-        items, end = [g.split() for g in m.groups()], m.end()
-        while len(items[2]) > 1 and items[2][-1].lower() in _TAIL_WORDS:
-            end -= len(items[2].pop()) + 1
-        b, c = len(items[1]), len(items[2])
-        if abs(b - c) <= 1 and len(items[0]) >= min(b, c) and not all(i[0][:1].isupper() for i in items[1:]):
-            yield m.start(), end
+    """``a, b, and c`` of like length in words; what only leads on from c is not counted, and lists of names are none."""
+    for m in _THREE.finditer(text):
+        third = _ENDING.sub("", m[3])
+        sizes = [len(x.split()) for x in (m[1], m[2], third)]
+        named = m[2][0].isupper() and third[0].isupper()
+        if not named and abs(sizes[1] - sizes[2]) < 2 and sizes[0] >= min(sizes[1:]):
+            yield m.start(), m.start(3) + len(third)
 
 
 FINDERS: dict[str, Callable[[str], Iterator[Hit] | list[Hit]]] = {
     "parallel_items": parallel_items,
     "ordinal_headings": ordinal_headings,
     "rule_of_three": rule_of_three,
-    "hedges_zh": stacked(L.HEDGES_ZH, 0),
-    "hedges_en": stacked(L.HEDGES_EN, re.I),
+    "hedges_zh": stacked(L.HEDGES_ZH, False),
+    "hedges_en": stacked(L.HEDGES_EN, True),
 }
 
 
@@ -107,16 +145,15 @@ class Vocabulary:
     """Terms of tiers 1 and 2 in a sentence; a hit inside a longer or earlier one is none."""
 
     def __init__(self, lang: str):
-        own = [(t, tier, w) for t, tier, w in L.terms(lang) if tier != "T3"]
-        self.of = {t.lower(): (tier, w) for t, tier, w in own}
-        self.every = [re.compile(rf"\b{re.escape(t)}\b" if lang == "en" else re.escape(t), re.I if lang == "en" else 0) for t, _, _ in own]
+        self.of = {t.lower(): (tier, w) for t, tier, w in L.terms(lang) if tier != "T3"}
+        self.terms = Terms(list(self.of), lang == "en")
 
     def find(self, text: str) -> Iterator[tuple[int, int, str, float]]:
-        hits, reach = sorted(((m.start(), -m.end()) for p in self.every for m in p.finditer(text))), -1
-        for start, end in hits:
-            if -end > reach:
-                reach = -end
-                yield (start, -end, *self.of[text[start:-end].lower()])
+        reach = -1
+        for start, end in sorted(self.terms.find(text), key=lambda h: (h[0], -h[1])):
+            if end > reach:
+                reach = end
+                yield (start, end, *self.of[text[start:end].lower()])
 
 
 def diagnose_text(text: str, kit: dict) -> list[tuple]:
@@ -134,10 +171,11 @@ def diagnose_text(text: str, kit: dict) -> list[tuple]:
                 out += [(rule.rule, lang, rule.severity, rule.weight, rule.handling, pi, si, a + s + x, a + s + y) for x, y in find(own)]
         for rule, find in kit["paragraph", lang]:
             out += [(rule.rule, lang, rule.severity, rule.weight, rule.handling, pi, None, a + x, a + y) for x, y in find(text[a:b])]
+    starts = [a for a, _ in paras]
     for rule, find in kit["document", "zh"]:
         for x, y in find(text):
-            pi = next((i for i, (a, b) in enumerate(paras) if a <= x and y <= b), None)
-            out.append((rule.rule, langs[pi] if pi is not None else "zh", rule.severity, rule.weight, rule.handling, -1, None, x, y))
+            pi = bisect_right(starts, x) - 1
+            out.append((rule.rule, langs[pi] if pi >= 0 and y <= paras[pi][1] else "zh", rule.severity, rule.weight, rule.handling, -1, None, x, y))
     return sorted(((*f, text[f[7] : f[8]]) for f in out), key=lambda f: (f[7], f[8], f[0]))
 
 
@@ -213,35 +251,44 @@ def violations(found: DataFrame, scored: DataFrame) -> DataFrame:
 
 # --- the 31-check policy -------------------------------------------------------------------------------------------
 
-_PROTECTED = re.compile(r"```.*?(?:```|\Z)|\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|`[^`\n]+`|\$[^$\n]+\$|(?m:^(?: {4}|\t)[^\n]*$)", re.S)
+# Spans that no check looks into and no edit touches.
+_PROTECTED = re.compile(
+    r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{([A-Za-z*]+)\}.*?\\end\{\1\}|(?i:<(code|pre)\b[^>]*>.*?</\2\s*>)"
+    r"|`[^`\n]+`|\$[^$\n]+\$|(?m:^(?: {4}|\t)[^\n]*$)",
+    re.S,
+)
 _FULL = re.compile(r"[^\n。！？]+[。！？]?|\n")
-
-
-def _own_checks(text: str) -> Iterator[tuple[str, int, int]]:
-    """The checks that runs of sentences, counts in a paragraph or the first lines decide."""
-    sents = [m.span() for m in _FULL.finditer(text) if m.group().strip()]
-    bare = [re.sub(r"[\s。！？]", "", text[a:b]) for a, b in sents]
-    heads = [re.sub(r"^[\s“‘\"']+", "", text[a:b].strip())[:2] for a, b in sents]
-    for i in range(len(sents) - 2):
-        whole = sents[i][0], sents[i + 2][1]
-        if max(map(len, bare[i : i + 3])) <= 8:
-            yield ("A2", *whole)
-        if heads[i] and heads[i] == heads[i + 1] == heads[i + 2]:
-            yield ("B7", *whole)
-    for a, b in sents:
-        if sum(h in text[a:b] for h in L.HEDGES_ZH) >= 2:
-            yield "B9", a, b
-    for line in re.finditer(r"[^\n]+", text):
-        hits = [m.span() for m in re.finditer(r"被[^\n，。！？]{1,30}", line.group())]
-        for check, least in (("B11", 2), ("F28", 3)):
-            if len(hits) >= least:
-                yield check, line.start() + hits[0][0], line.start() + hits[-1][1]
-    lines = [m for m in re.finditer(r"[^\n]+", text) if m.group().strip()][:2]
-    if len(lines) == 2:
-        first, second = lines[0].group().strip(), lines[1].group().strip()
-        title = re.sub(r"^#{1,6}\s*", "", first).strip(" ：:。！？")
-        if 3 <= len(title) <= 32 and first[-1] not in "。！？" and second.startswith(title) and len(second) > len(title):
-            yield "E24", lines[1].start(), min(lines[1].end(), lines[1].start() + len(title))
+_SILENT = re.compile(r"[\s。！？]")
+_OPENING = re.compile(r"^[\s“‘\"']+")
+_PASSIVE = r"被[^\n，。！？]{1,30}+"
+#: Stacks of passives in a line, from the first to the last.
+_STACKS = [(check, re.compile(rf"{_PASSIVE}(?>[^\n]*?{_PASSIVE}){{{more},}}")) for check, more in (("B11", 1), ("F28", 2))]
+
+
+def _sentence_checks(text: str) -> Iterator[tuple[str, int, int]]:
+    """Runs of three sentences that are short or open alike, found as runs in a line of one sign for each sentence; and hedges in one."""
+    sents = [m.span() for m in _FULL.finditer(text) if not m.group().isspace()]
+    own = [text[a:b] for a, b in sents]
+    short = "".join("s" if len(_SILENT.sub("", x)) <= 8 else "." for x in own)
+    heads = [_OPENING.sub("", x.strip())[:2] for x in own]
+    alike = "".join("=" if x and x == y else "." for x, y in zip(heads, heads[1:], strict=False))
+    for check, signs, run in (("A2", short, "(?=sss)"), ("B7", alike, "(?===)")):
+        for m in re.finditer(run, signs):
+            yield check, sents[m.start()][0], sents[m.start() + 2][1]
+    for span, x in zip(sents, own, strict=True):
+        if sum(map(x.count, L.HEDGES_ZH)) > 1 and sum(h in x for h in L.HEDGES_ZH) > 1:
+            yield "B9", *span
+
+
+def _title_echo(text: str) -> Iterator[tuple[str, int, int]]:
+    """A title of 3 to 32 characters that the next line begins with and goes on from."""
+    first = re.search(r"[^\n]*\S[^\n]*", text)
+    second = first and re.compile(r"[^\n]*\S[^\n]*").search(text, first.end())
+    if second and first.group().rstrip()[-1] not in "。！？":
+        title = first.group().strip().lstrip("#").strip().strip(" ：:。！？")
+        line = second.group().strip()
+        if 2 < len(title) < 33 and line != title and line.startswith(title):
+            yield "E24", second.start(), min(second.end(), second.start() + len(title))
 
 
 def policy_text(text: str) -> list[tuple]:
@@ -253,9 +300,12 @@ def policy_text(text: str) -> list[tuple]:
         for m in re.finditer(c.pattern, text) if c.pattern else ():
             new = T.WORDS_C12.get(m.group(), m.group()) if c.replace == "=words" else None if c.replace is None else m.expand(c.replace) if m.lastindex or "\\" not in c.replace else ""
             hits.setdefault((m.start(), m.end(), c.check), new)
-    for check, a, b in _own_checks(text):
+    stacks = ((check, *m.span()) for check, p in _STACKS for m in p.finditer(text))
+    for check, a, b in chain(_sentence_checks(text), _title_echo(text), stacks):
         hits.setdefault((a, b, check), None)
-    free = [k for k in hits if k[0] < k[1] and not any(k[0] < e and k[1] > s for s, e in kept)]
+    ends = [e for _, e in kept]
+    clear = lambda a, b: (i := bisect_right(ends, a)) == len(kept) or b <= kept[i][0]
+    free = [k for k in hits if k[0] < k[1] and clear(k[0], k[1])]
     return [(k[2], by[k[2]].severity, by[k[2]].handling, k[0], k[1], text[k[0] : k[1]], hits[k]) for k in sorted(free)]
 
 
