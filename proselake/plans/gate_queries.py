@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import gates as G
@@ -52,8 +53,10 @@ def ledger_totals(spark, d):
 
 
 def settlement(spark, d):
-    e = table(spark, d, "events").select((F.col("event_id") % 1500).alias("job_id"), F.col("event_id").alias("seq"), F.expr("CASE WHEN event_id < 1500 THEN 'reserve' WHEN user_id % 3 = 0 THEN 'release' ELSE 'commit' END").alias("kind"), R.cents(F.col("value")).alias("amount"))
-    return G.settle(e.where("event_id < 4000 AND NOT (event_id >= 1500 AND job_id % 7 = 0)"))
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("job_id"), F.col("event_id").alias("seq"), "user_id", R.cents(F.col("value")).alias("amount"))
+    first = F.min("seq").over(Window.partitionBy("job_id")) == F.col("seq")
+    kind = F.when(first | (F.col("user_id") % 3 == 2), "reserve").when(F.col("user_id") % 3 == 0, "release").otherwise("commit")
+    return G.settle(e.withColumn("kind", kind))
 
 
 def queue_depth(spark, d):
@@ -75,7 +78,7 @@ def deletion_blockers(spark, d):
 
 
 def paragraph_pairs(spark, d):
-    p = P.paragraph_segments(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "para", F.length("text").cast("string").alias("text"))
+    p = P.paragraph_segments(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "para", "text")
     other = p.where("doc_id > 0").select((F.col("doc_id") - 1).alias("doc_id"), "para", "text")
     return G.paragraph_pairs(p, other)
 
@@ -96,7 +99,7 @@ def token_estimates(spark, d):
 
 CENTS = "CAST(round({} * 100) AS BIGINT)"
 QCTE = "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS q, l_returnflag, l_linestatus FROM lineitem"
-PARA = """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS para, CAST(len(t) AS VARCHAR) AS text FROM (
+PARA = """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS para, t AS text FROM (
     SELECT doc_id, i, regexp_replace(ls[i], '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE len(t) > 0"""
 SQL = {
     "job_gate": f"SELECT *, CASE WHEN l_returnflag = 'R' THEN 'strength' WHEN q - 2 > 40 THEN 'size' WHEN q - 2 <= 0 THEN 'empty' WHEN q * 3 > 90 THEN 'balance' END AS reject FROM ({QCTE})",
@@ -108,8 +111,8 @@ SQL = {
     "metering_versions": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 2 ELSE 1 END AS version FROM orders",
     "rejected_rows": f"SELECT *, CASE WHEN q < 3 THEN 'small' WHEN l_returnflag NOT IN ('A', 'N', 'R') THEN 'flag' ELSE 'line' END AS reject FROM ({QCTE}) WHERE q < 3 OR l_returnflag NOT IN ('A', 'N', 'R') OR l_linenumber > 6",
     "ledger_totals": f"""SELECT user_id, CAST(sum(greatest(d, 0)) AS BIGINT) AS increases, CAST(sum(abs(least(d, 0))) AS BIGINT) AS decreases FROM (SELECT user_id, {CENTS.format('value')} - 5000 AS d FROM events) GROUP BY user_id""",
-    "settlement": f"""WITH e AS (SELECT event_id % 1500 AS job_id, event_id AS seq, CASE WHEN event_id < 1500 THEN 'reserve' WHEN user_id % 3 = 0 THEN 'release' ELSE 'commit' END AS kind, {CENTS.format('value')} AS amount
-            FROM events WHERE event_id < 4000 AND NOT (event_id >= 1500 AND event_id % 1500 % 7 = 0)),
+    "settlement": f"""WITH e AS (SELECT event_id // 3 AS job_id, event_id AS seq, CASE WHEN event_id = min(event_id) OVER (PARTITION BY event_id // 3) OR user_id % 3 = 2 THEN 'reserve' WHEN user_id % 3 = 0 THEN 'release' ELSE 'commit' END AS kind,
+            {CENTS.format('value')} AS amount FROM events),
         p AS (SELECT job_id, min_by(amount, seq) FILTER (kind = 'reserve') AS reserved, min_by(kind, seq) FILTER (kind <> 'reserve') AS closed, min_by(amount, seq) FILTER (kind = 'commit') AS used FROM e GROUP BY job_id),
         c AS (SELECT *, CASE WHEN closed = 'commit' THEN least(reserved, coalesce(used, reserved)) ELSE 0 END AS charged FROM p WHERE reserved IS NOT NULL)
         SELECT job_id, reserved, coalesce(closed, 'open') AS state, charged, CASE WHEN closed IS NULL THEN 0 ELSE reserved - charged END AS returned FROM c""",
