@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from os.path import commonprefix
 from xml.etree import ElementTree
+from xml.parsers import expat
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Most bytes of an archive, and of what it unpacks to.
@@ -45,28 +50,90 @@ def extract(content: bytes) -> tuple[str, list[int]]:
     return "\n".join(t for _, t in kept), [i for i, _ in kept]
 
 
+_TAG_END = re.compile(rb"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
+
+
+class _Runs:
+    """Where the text runs of each paragraph stand in the raw part: (first byte of the tag, of the text, end of the text, text)."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.paragraphs, self.open, self.run = raw, [], [], None
+        parser = expat.ParserCreate(namespace_separator="}")
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = self.start, self.end, self.text
+        parser.buffer_text = True
+        self.parser = parser
+        parser.Parse(raw, True)
+
+    def start(self, name: str, _: dict) -> None:
+        if "{" + name == W + "p":
+            self.open.append(len(self.paragraphs))
+            self.paragraphs.append([])
+        elif "{" + name == W + "t" and self.open:
+            self.run = [self.parser.CurrentByteIndex, []]
+
+    def text(self, data: str) -> None:
+        if self.run:
+            self.run[1].append(data)
+
+    def end(self, name: str) -> None:
+        if "{" + name == W + "p":
+            self.open.pop()
+        elif "{" + name == W + "t" and self.run:
+            tag, held = self.run
+            begin = _TAG_END.match(self.raw, tag).end()
+            self.paragraphs[self.open[-1]].append((tag, begin, max(begin, self.parser.CurrentByteIndex), "".join(held)))
+            self.run = None
+
+
+def _dealt(old: list[str], new: str) -> list[str]:
+    """The new text over the old runs: what both begin and end with stays where it is, the rest goes to the runs it replaces, in proportion."""
+    whole = "".join(old)
+    head = len(commonprefix([whole, new]))
+    tail = len(commonprefix([whole[head:][::-1], new[head:][::-1]]))
+    lo, hi, middle = head, len(whole) - tail, new[head : len(new) - tail]
+    at, shares = 0, []
+    for text in old:
+        shares.append((at, max(0, min(hi, at + len(text)) - max(lo, at))))
+        at += len(text)
+    changed, out, taken, used = hi - lo, [], 0, 0
+    last = max((i for i, (_, n) in enumerate(shares) if n), default=next((i for i, (s, _) in enumerate(shares) if s <= lo <= s + len(old[i])), 0))
+    for i, ((s, n), text) in enumerate(zip(shares, old, strict=True)):
+        used += n
+        upto = len(middle) if i >= last else round(len(middle) * used / max(1, changed))
+        out.append(text[: max(0, lo - s)] + (middle[taken:upto] if n or i == last else "") + text[max(0, hi - s) if n or i >= last else len(text) :] if n or i == last else text)
+        taken = upto if n or i == last else taken
+    return out
+
+
 def replace(content: bytes, paragraphs: dict[int, str]) -> bytes:
-    """The document with some paragraphs' texts replaced, dealt over their runs in proportion; refuses fields, revisions and tabs."""
+    """The document with some paragraphs' texts replaced; every byte outside the changed runs stays, names of name spaces included.
+
+    Words that do not change keep their run, so their format. Refuses fields, revisions and tabs, and parts that are not UTF-8.
+    """
     z, root = _document(content)
-    every = list(root.iter(W + "p"))
+    raw = z.read(PART)
+    raw.decode("utf-8")
+    every, runs = list(root.iter(W + "p")), _Runs(raw).paragraphs
+    edits = []
     for at, text in paragraphs.items():
-        p = every[at]
-        if any(node.tag in (W + "fldChar", W + "instrText", W + "fldSimple", W + "ins", W + "del", W + "tab", W + "br") for node in p.iter()):
+        if any(node.tag in (W + "fldChar", W + "instrText", W + "fldSimple", W + "ins", W + "del", W + "tab", W + "br") for node in every[at].iter()):
             raise ValueError(f"paragraph {at} holds fields, revisions or tabs")
-        runs = list(p.iter(W + "t"))
-        if not runs:
+        if not runs[at]:
             raise ValueError(f"paragraph {at} holds no text")
-        sizes = [len(r.text or "") for r in runs]
-        total, done, start = max(1, sum(sizes)), 0, 0
-        for i, r in enumerate(runs):
-            done += sizes[i]
-            end = len(text) if i == len(runs) - 1 else round(len(text) * done / total)
-            r.text, start = text[start:end], end
-            r.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+        for (tag, begin, end, old), new in zip(runs[at], _dealt([r[3] for r in runs[at]], text), strict=True):
+            if new != old:
+                opening = raw[tag:begin]
+                empty = opening.endswith(b"/>")
+                name = re.match(rb"<([^\s/>]+)", opening)[1]
+                if b"xml:space" not in opening:
+                    opening = opening[: -2 if empty else -1] + b' xml:space="preserve">'
+                edits.append((tag, begin if empty else end, opening + escape(new).encode() + (b"</" + name + b">" if empty else b"")))
+    for start, end, new in sorted(edits, reverse=True):
+        raw = raw[:start] + new + raw[end:]
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new_zip:
         for item in z.infolist():
-            new.writestr(item, ElementTree.tostring(root, encoding="utf-8", xml_declaration=True) if item.filename == PART else z.read(item.filename))
+            new_zip.writestr(item, raw if item.filename == PART else z.read(item.filename))
     made = out.getvalue()
     again = [_text(p) for p in _document(made)[1].iter(W + "p")]
     if any(again[at] != text for at, text in paragraphs.items()):
@@ -74,6 +141,25 @@ def replace(content: bytes, paragraphs: dict[int, str]) -> bytes:
     return made
 
 
+def write_docx(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """``path, content, error`` of ``path, content`` files with the edits ``path, para, text`` (places among all paragraphs); a file that
+    refuses them has an error and no content."""
+    per = edits.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("para", "text"))).alias("edits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    rows.append((path, replace(content, dict(own)), None))
+                except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError, expat.ExpatError) as e:
+                    rows.append((path, None, str(e) or type(e).__name__))
+            p, c, e = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(c, pa.binary()), pa.array(e, pa.string())], names=["path", "content", "error"])
+
+    return files.select("path", "content").join(per, "path").mapInArrow(run, "path string, content binary, error string")
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """``path, text, para_map, error`` of every file; a file that cannot be read has an error and no text."""
 

@@ -32,9 +32,21 @@ def usable_scores(df: DataFrame, column: str = "score") -> DataFrame:
     return df.where(F.col(column).between(0, 100))
 
 
-def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """A CSV in a stable order, quotes doubled."""
-    df.orderBy(*order).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+def write_csv(df: DataFrame, path: str, order: list[str], files: int | None = 1) -> None:
+    """A CSV in a stable order, quotes doubled, behind a byte order mark; ``files`` parts (None: as many as the sort makes), each whole in itself."""
+    first, *rest = df.columns
+    rows = df.orderBy(*order).withColumnRenamed(first, BOM + first)
+    rows = rows if files is None else rows.coalesce(files)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).option("encoding", "UTF-8").csv(path)
+
+
+def merge_csv(spark: SparkSession, done_path: str, new: DataFrame, keys: list[str], numbers: list[str] = ()) -> DataFrame:
+    """What a CSV holds already, and the new rows of other keys; a missing file holds nothing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(done_path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return new
+    done = read_dirty_csv(spark, done_path, new.columns, numbers).select(*[F.col(f.name).cast(f.dataType) for f in new.schema])
+    return done.unionByName(resume(new, done, keys))
 
 
 def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,11 +60,10 @@ def write_reports(df: DataFrame, path: str) -> None:
 
 
 def account_export(tables: dict[str, DataFrame], account: str, secrets: set[str] = frozenset()) -> DataFrame:
-    """``name, rows``: each table's rows of an account as a JSON array, without secret columns."""
+    """``name, row``: an account's rows of each table as JSON, without secret columns; a row for each, whatever their number."""
     out = None
     for name, df in sorted(tables.items()):
         kept = [c for c in df.columns if c not in secrets]
-        own = df.where(F.col("account_id") == account).agg(F.to_json(F.sort_array(F.collect_list(F.to_json(F.struct(*kept))))).alias("rows"))
-        own = own.select(F.lit(name).alias("name"), "rows")
+        own = df.where(F.col("account_id") == account).select(F.lit(name).alias("name"), F.to_json(F.struct(*kept)).alias("row"))
         out = own if out is None else out.unionByName(own)
     return out

@@ -97,8 +97,12 @@ def orders_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("order_id").applyInPandas(fold, ORDER)
 
 
-def upsert(spark: SparkSession, path: str, keys: list[str]):
-    """A foreachBatch function that keeps the newest row of each key in a Parquet folder, a version for each batch."""
+def upsert(spark: SparkSession, path: str, keys: list[str], order: str | None = None, keep: int = 3):
+    """A foreachBatch function that keeps the newest row of each key in a Parquet folder, a version for each batch.
+
+    Of several rows of a key in one batch the one with the largest ``order`` stays (without it, any one of them). A batch that
+    comes again writes its version again; only the last ``keep`` versions stay.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         import re
@@ -106,8 +110,14 @@ def upsert(spark: SparkSession, path: str, keys: list[str]):
         path_of = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = path_of.getFileSystem(spark._jsc.hadoopConfiguration())
         done = [int(m[1]) for f in (fs.listStatus(path_of) if fs.exists(path_of) else []) if (m := re.search(r"v=(\d+)$", f.getPath().toString()))]
-        older = [v for v in done if v < epoch]
-        new = batch if not older else spark.read.parquet(f"{path}/v={max(older)}").join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        new.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        older = sorted(v for v in done if v < epoch)
+        rows = batch.dropDuplicates(keys)
+        if order is not None:
+            rows = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("r")).select("r.*")
+        if older:
+            rows = spark.read.parquet(f"{path}/v={older[-1]}").join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns).unionByName(rows)
+        rows.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        for v in older[:-keep] if keep < len(older) else ():
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"), True)
 
     return write

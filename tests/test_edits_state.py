@@ -83,6 +83,17 @@ def test_order_stream_equals_batch(spark, tmp_path):
     assert {k: v["status"] for k, v in got.items()} == {k: v["status"] for k, v in want.items()}
 
 
+def test_upsert_keeps_the_newest_row_and_few_versions(spark, tmp_path):
+    out = str(tmp_path / "up")
+    write = S.upsert(spark, out, ["k"], order="ts", keep=2)
+    for epoch, rows in enumerate([[("a", 1, 1), ("a", 2, 3), ("a", 3, 2)], [("b", 4, 1)], [("a", 5, 9)], [("a", 5, 9)], [("c", 6, 1)]]):
+        write(spark.createDataFrame(rows, "k string, v int, ts int"), epoch)
+    write(spark.createDataFrame([("c", 6, 1)], "k string, v int, ts int"), 4)
+    versions = sorted(int(p.name[2:]) for p in (tmp_path / "up").glob("v=*"))
+    assert versions[-1] == 4 and len(versions) <= 3
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/v=4").collect())) == [("a", 5, 9), ("b", 4, 1), ("c", 6, 1)]
+
+
 def test_traffic_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     src = str(tmp_path / "src")

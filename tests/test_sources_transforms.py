@@ -37,6 +37,48 @@ def test_docx_round_trip(spark, tmp_path):
     assert got["a.docx"].para_map == [0, 2, 3] and got["b.docx"].text is None and got["b.docx"].error
 
 
+def test_docx_keeps_names_and_formats(spark, tmp_path):
+    more = 'xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" mc:Ignorable="w14"'
+    bold = "<w:r><w:rPr><w:b/></w:rPr><w:t>{}</w:t></w:r>"
+    part = f'<?xml version="1.0" encoding="UTF-8"?><w:document {NS} {more}><w:body><w:p w14:paraId="1">' + run("Plain ") + bold.format("bold &amp; old") + run(" end") + "</w:p><w:p><w:r><w:t/></w:r>" + run("x") + "</w:p></w:body></w:document>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", part)
+    new = zipfile.ZipFile(io.BytesIO(docx.replace(out.getvalue(), {0: "Plain bold & new <words> end", 1: "xyz"}))).read("word/document.xml").decode()
+    assert more in new and '<w:t xml:space="preserve">bold &amp; new &lt;words&gt;</w:t>' in new and "<w:t>Plain </w:t>" in new and "<w:t> end</w:t>" in new
+    (tmp_path / "a.docx").write_bytes(out.getvalue())
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    path = files.first().path
+    got = docx.write_docx(files, spark.createDataFrame([(path, 0, "Plain bold")], "path string, para int, text string")).first()
+    assert got.error is None and docx.extract(got.content)[0] == "Plain bold\nx"
+    assert docx.write_docx(files, spark.createDataFrame([(path, 9, "no")], "path string, para int, text string")).first().error
+
+
+@pytest.mark.parametrize(("old", "new"), [(["a", "b", "c"], "abc"), (["Hello ", "world"], "Hello there world"), (["one ", "two ", "three"], "one 2 three"), (["ab", "", "cd"], ""), (["x"], "yy"), (["", ""], "new"), (["aaa", "aaa"], "aaaa")])
+def test_runs_take_the_new_text(old, new):
+    got = docx._dealt(old, new)
+    assert "".join(got) == new and len(got) == len(old)
+
+
+def test_csv_sink_and_merge(spark, tmp_path):
+    df = spark.createDataFrame([("b", 'say "x"', 2), ("a", "c,d", 1)], "k string, v string, n int")
+    path = str(tmp_path / "out")
+    tables.write_csv(df, path, ["k"])
+    (part,) = list((tmp_path / "out").glob("*.csv"))
+    assert part.read_bytes().decode() == '\ufeffk,v,n\na,"c,d",1\nb,"say ""x""",2\n'
+    more = tables.merge_csv(spark, path, spark.createDataFrame([("a", "other", 9), ("z", "new", 3)], df.schema), ["k"])
+    assert sorted(map(tuple, more.collect())) == [("a", "c,d", 1), ("b", 'say "x"', 2), ("z", "new", 3)]
+    assert tables.merge_csv(spark, str(tmp_path / "none"), df, ["k"]).count() == 2
+    rows = tables.account_export({"t": df.withColumn("account_id", F.lit("me")), "s": df.withColumn("account_id", F.lit("you"))}, "me", {"v"}).collect()
+    assert [r.name for r in rows] == ["t", "t"] and all('"v"' not in r.row for r in rows)
+
+
+def test_tidy(spark):
+    cases = {"好，。": "好。", "好，，的": "好，的", "好。！？": "好。", "，开头": "开头", "结尾，": "结尾。", "a  b": "a b", "好，、。后": "好。后", "一、二，三": "一、二，三"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.n for r in df.select("t", T.tidy(F.col("t")).alias("n")).collect()} == cases
+
+
 def test_lines():
     assert pdf_lines.merge_lines(["本文研究了一个重要的问题并且", "给出了方法。", "12", "1. 引言", "The method is de-", "scribed here"]) == ["本文研究了一个重要的问题并且给出了方法。", "1. 引言", "The method is described here"]
     assert pdf_lines.merge_lines([]) == []
@@ -54,6 +96,7 @@ def test_dirty_csv(spark, tmp_path):
 SAMPLES = {
     "zh:L01": "一句话总结：这个方案成本太高。", "zh:L05": "当所有人都在写作时，内容不同。", "zh:L07": "然而，研究不适用。", "zh:L09": "说白了，预算不足。", "zh:L11": "研究完成。然而，结果不适用。", "zh:F01": "答案——专注，研究。",
     "zh:F02": "**重点**，研究。", "zh:F04": "他说\"好\"，研究。", "zh:S03": "他不仅提升了效率，更是改变了行业。", "zh:S04": "它扮演着重要的角色，研究。", "zh:S05": "结果上升，从而凸显了价值。", "zh:S06": "通过多模态融合实现了性能的提升。", "zh:S07": "研究表明，结果可靠。", "zh:P01": "基于社会资本理论，本文构建了方法。",
+    "zh:S02": "一、方法\n二、结果\n三、讨论", "zh:P02": "研究有效。综上，方法可行。", "zh:L10": "值得注意的是，研究只有十二个样本。", "en:S03": "It is not just fast but also cheap.",
     "en:S04": "It serves as a base.", "en:S05": "It grew, highlighting the need.", "en:S07": "Experts argue that it works.", "en:P02": "It works. Overall, it works.",
 }
 
