@@ -143,7 +143,7 @@ def edited_findings(spark, d):
 
 
 def changed_passages(spark, d):
-    p = P.paragraph_segments(_docs(spark, d)).select("doc_id", "para", F.col("text").alias("before"), F.when(F.col("para") % 2 == 0, F.upper("text")).otherwise(F.col("text")).alias("after"))
+    p = P.paragraph_segments(_docs(spark, d)).select("doc_id", "para", F.col("text").alias("before"), F.when(F.col("para") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("after"))
     return V.changed_passages(p, 6)
 
 
@@ -278,7 +278,7 @@ SQL = {
         o AS (SELECT *, CASE WHEN para % 3 <> 1 THEN ok END AS own FROM e), c AS (SELECT *, lag(own IGNORE NULLS) OVER w AS before, lead(own IGNORE NULLS) OVER w AS after FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY para))
         SELECT doc_id, para AS line, CASE WHEN para % 3 <> 1 THEN ok ELSE coalesce(before AND after, false) END AS carried FROM c""",
     "edited_findings": f"""WITH f AS ({_found_sql()}) SELECT doc_id, rule, start, doc_id % 4 > 0 AND 10 < "end" AND doc_id % 500 > start AS edited FROM f""",
-    "changed_passages": f"""WITH c AS (SELECT doc_id, para, count(*) OVER (PARTITION BY doc_id) AS n FROM ({PARAS}) WHERE para % 2 = 0 AND upper(text) <> text)
+    "changed_passages": f"""WITH c AS (SELECT doc_id, para, count(*) OVER (PARTITION BY doc_id) AS n FROM ({PARAS}) WHERE para % 2 = 0)
         SELECT doc_id, para, CAST(1 AS BIGINT) AS n FROM c WHERE n <= 6 UNION ALL SELECT DISTINCT doc_id, NULL, n FROM c WHERE n > 6""",
     "noise_budget": f"""WITH f AS ({_found_sql()}), c AS (SELECT doc_id, rule, count(*) AS n FROM f GROUP BY 1, 2)
         SELECT doc_id, rule, n, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY n, rule ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent, sum(n) OVER (PARTITION BY doc_id ORDER BY n, rule ROWS UNBOUNDED PRECEDING) <= 5 AS exempt FROM c""",

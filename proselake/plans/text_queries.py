@@ -33,10 +33,6 @@ def policy_findings(spark, d):
     return D.policy(_docs(spark, d))
 
 
-def billable_units(spark, d):
-    return _docs(spark, d).select("doc_id", E.billable_units_udf("text").alias("u")).select("doc_id", "u.*")
-
-
 def chunks(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(E.chunks_udf("text")).alias("chunk", "c")).select("doc_id", "chunk", "c.text", "c.editable")
 
@@ -88,4 +84,4 @@ SQL = {
             FROM b JOIN t USING (variant) WHERE a + b > 0 GROUP BY variant)
         SELECT *, coalesce(target_drop / nullif(target_drop + collateral, 0), 0) AS purity FROM s""",
 }
-QUERIES = {f.__name__: f for f in (diagnose_findings, diagnose_scores, diagnose_violations, policy_findings, billable_units, chunks, diff_runs, similarity_ratio, guard_compare, effect_size, effect_weights, purity)}
+QUERIES = {f.__name__: f for f in (diagnose_findings, diagnose_scores, diagnose_violations, policy_findings, chunks, diff_runs, similarity_ratio, guard_compare, effect_size, effect_weights, purity)}
