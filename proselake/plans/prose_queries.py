@@ -205,7 +205,8 @@ SQL = {
         SELECT doc_id, n_unit, n_digits, CASE WHEN n_unit = 0 THEN 0.0 ELSE CAST(n_digits * 1000 AS DOUBLE) / n_unit END AS density,
         CASE WHEN n_unit > 0 AND CAST(n_digits * 1000 AS DOUBLE) / n_unit >= CAST(17.92 AS DOUBLE) THEN 'good' WHEN n_unit > 0 AND CAST(n_digits * 1000 AS DOUBLE) / n_unit >= CAST(6.34 AS DOUBLE) THEN 'mid' ELSE 'low' END AS band,
         n_unit >= 300 AS reliable FROM x""",
-    "ngram_repeat": """WITH c AS (SELECT doc_id, string_split(text, '') AS l FROM documents), g AS (SELECT doc_id, array_to_string(l[i:i+3], '') AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 2)) AS i FROM c)),
+    "ngram_repeat": """WITH g AS (SELECT doc_id, unnest(list_concat(list_concat(regexp_extract_all(text, '(?s).{4}'), regexp_extract_all(substr(text, 2), '(?s).{4}')),
+            list_concat(regexp_extract_all(substr(text, 3), '(?s).{4}'), regexp_extract_all(substr(text, 4), '(?s).{4}')))) AS g FROM documents),
         n AS (SELECT doc_id, g, count(*) AS c FROM g GROUP BY doc_id, g), t AS (SELECT doc_id, CAST(coalesce(sum(c) FILTER (c > 1 AND regexp_matches(g, '\\S')), 0) AS BIGINT) AS repeated, CAST(sum(c) AS BIGINT) AS grams FROM n GROUP BY doc_id)
         SELECT d.doc_id, coalesce(repeated, 0) AS repeated, coalesce(grams, 0) AS grams, coalesce(repeated / grams, 0) AS ratio FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""",
     "adjacent_head_repeat": f"""WITH h AS (SELECT doc_id, CAST(lag(substr(text, 1, 2)) OVER (PARTITION BY doc_id ORDER BY para) = substr(text, 1, 2) AS INT) AS same FROM ({PARAS}))

@@ -57,3 +57,16 @@ def test_rest_imports_without_the_subpackage():
     code = "import sys; sys.modules['proselake.llm'] = None; sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e; assert 'doc_summary' in e.queries() and not any(q.startswith('op') for q in e.queries())"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=60)
+
+
+def test_rest_stands_without_the_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    rest = tmp_path / "rest"
+    shutil.copytree(root, rest, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.md", "*.json"))
+    env = {**os.environ, "PYTHONPATH": str(rest)}
+    got = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-k", "not spark and (rules_fire or units or chunks or packs or safety or registry or diff)"], cwd=rest, env=env, capture_output=True, text=True, timeout=200)
+    assert got.returncode == 0 and "passed" in got.stdout, got.stdout[-2000:]
