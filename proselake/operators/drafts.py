@@ -217,6 +217,39 @@ def whole_variant(source: Column, output: Column) -> Column:
     return F.when(F.length(F.coalesce(output, F.lit(""))) < F.length(source) * WHOLE_LENGTH, source).otherwise(output)
 
 
+def clause_profiles(docs: DataFrame) -> DataFrame:
+    """``doc_id, clause, text, numbers, citations, names, skeleton``: each clause's facts in order, and the clause with its facts blanked."""
+    own = F.filter(F.transform(F.split("text", r"[，；。！？\n]|[,;!?]|\.(?=\s|$)", -1), X.strip), lambda c: F.length(c) > 0)
+    every = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))
+    skeleton = F.lower(F.regexp_replace(F.regexp_replace("text", E.CITATION.pattern, "@"), E.NUMBER.pattern, "#"))
+    out = docs.select("doc_id", F.posexplode(own).alias("clause", "text"))
+    return out.select("doc_id", "clause", "text", every(E.NUMBER.pattern).alias("numbers"), every(E.CITATION.pattern).alias("citations"), every(E.NAME.pattern).alias("names"), skeleton.alias("skeleton"))
+
+
+def best_candidates(scored: DataFrame) -> DataFrame:
+    """Of each paragraph's candidates ``doc_id, para, candidate, score, verified`` the first best one, if it passes every gate (a score above 0)."""
+    best = F.max_by(F.struct("candidate", "score", "verified"), F.struct("score", -F.col("candidate"))).alias("b")
+    out = scored.groupBy("doc_id", "para").agg(F.count("*").alias("tried"), best)
+    ok = F.col("b.score") > 0
+    return out.select("doc_id", "para", "tried", F.when(ok, F.col("b.candidate")).alias("chosen"), (ok & ~F.col("b.verified")).alias("unverified"))
+
+
+def guard_line(added: Column, removed: Column, semantic: Column, most: int = 8) -> Column:
+    """A guard's result in one line, each list cut to its first ``most`` items; empty if nothing changed."""
+    part = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.concat_ws(", ", F.slice(c, 1, most)), F.when(F.size(c) > most, F.concat(F.lit(" and "), F.size(c) - most, F.lit(" more"))).otherwise("")))
+    return F.concat_ws("; ", part("added", added), part("removed", removed), part("meaning", semantic))
+
+
+def two_layers(docs: DataFrame) -> DataFrame:
+    """Findings of each document before and after the code and the safe edits, and how many edits each layer made."""
+    from . import autofix
+
+    done = autofix.fixed(docs)
+    count = lambda d, name: D.diagnose(d.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias(name))
+    out = done.select("doc_id", "code_edits", "safe_edits").join(count(docs, "before"), "doc_id", "left").join(count(done, "after"), "doc_id", "left")
+    return out.fillna(0, ["before", "after"])
+
+
 # --- reports and requests ------------------------------------------------------------------------------------------------------
 
 

@@ -56,7 +56,8 @@ def sufficiency(delta: DataFrame, least: int = 5, thin: int = 3) -> DataFrame:
 
 
 def model_bench(runs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Mean drop and acceptance, tokens and cost of each model, best first."""
-    per = runs.groupBy("model").agg(F.avg("drop").alias("drop"), F.avg(F.col("accepted").cast("double")).alias("accept"), F.sum("tokens").alias("tokens"))
+    """Mean drop, acceptance, lost and new facts and length ratio, tokens and cost of each model, best first."""
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    per = runs.groupBy("model").agg(mean("drop").alias("drop"), mean("accepted").alias("accept"), mean("lost").alias("lost"), mean("new").alias("new"), mean("ratio").alias("ratio"), F.sum("tokens").alias("tokens"))
     cost = F.col("tokens") * F.col("price_per_million") / 1_000_000
     return per.join(maybe_broadcast(prices), "model", "left").withColumn("cost", cost).orderBy(F.desc("drop"), "model")

@@ -120,6 +120,44 @@ def staff_only(df: DataFrame, owner: str, account, staff: list) -> DataFrame:
     return df.where(F.lit(account in staff) | (F.col(owner) == account))
 
 
+def plans_of(grants: DataFrame, plans: DataFrame, strengths: dict[str, int]) -> DataFrame:
+    """Each account's plan (of its paid grants the one of highest priority), its longest job, and the strengths that priority allows."""
+    held = grants.join(plans, "product")
+    per = held.groupBy("account_id").agg(F.max_by("product", F.struct("priority", "product")).alias("plan"), F.max("priority").alias("priority"), F.max("most_chars").alias("most_chars"))
+    allowed = F.array_compact(F.array(*[F.when(F.col("priority") >= least, F.lit(name)) for name, least in strengths.items()]))
+    return per.select("account_id", "plan", "most_chars", allowed.alias("strengths"))
+
+
+def either_rate(events: DataFrame, keys: list[str], seconds: int, most: int) -> DataFrame:
+    """Events whose any key had more than ``most`` events in the ``seconds`` up to it; null keys count for none."""
+    over = F.lit(False)
+    for k in keys:
+        frame = Window.partitionBy(k).orderBy("at").rangeBetween(-seconds, 0)
+        over = over | (F.col(k).isNotNull() & (F.count("*").over(frame) > most))
+    return events.withColumn("limited", over)
+
+
+def all_time(daily: DataFrame) -> DataFrame:
+    """The first day, the days with views and all views of ``day, views``."""
+    return daily.agg(F.min("day").alias("since"), F.count_distinct("day").alias("days"), F.coalesce(F.sum("views"), F.lit(0)).alias("views"))
+
+
+# How ids of each kind are written.
+IDS = {
+    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    "order": r"^ord_[0-9a-f]{32}$",
+    "event": r"^evt_[A-Za-z0-9_]+$",
+    "payment": r"^pi_[A-Za-z0-9_]+$",
+    "refund": r"^re_[A-Za-z0-9_]+$",
+    "key": r"^[A-Za-z0-9_-]{8,100}$",
+}
+
+
+def id_kind(text: Column) -> Column:
+    """The first kind of id that a text is written like; null if it is none."""
+    return F.coalesce(*[F.when(text.rlike(p), F.lit(k)) for k, p in IDS.items()])
+
+
 # --- folds -----------------------------------------------------------------------------------------------------------------
 
 

@@ -177,6 +177,15 @@ def material_density(docs: DataFrame) -> DataFrame:
     return held.withColumns({"band": band, "reliable": F.col("n_unit") >= 300})
 
 
+def material_assessment(docs: DataFrame, found: DataFrame, report_only: list[str]) -> DataFrame:
+    """material_density with features by thousand units, rules that are only reported left out, and findings by handling (``rule, handling`` in ``found``)."""
+    counted = ~F.col("rule").isin(report_only)
+    kinds = [F.count_if(F.col("handling") == h).alias(f"n_{h}") for h in ("code", "llm", "report")]
+    per = found.groupBy("doc_id").agg(F.count_if(counted).alias("n_features"), *kinds)
+    both = material_density(docs).join(per, "doc_id", "left").fillna(0, ["n_features", "n_code", "n_llm", "n_report"])
+    return both.withColumn("features_per_1000", F.coalesce(F.try_divide(F.col("n_features") * 1000.0, F.col("n_unit")), F.lit(0.0)))
+
+
 def ngram_repeat(docs: DataFrame, n: int = 4) -> DataFrame:
     """Share of overlapping n-character grams that occur again in the text and are not white space throughout; counted inside each row."""
     both = docs.select("doc_id", X.repeated_grams(F.col("text"), n).alias("g")).select("doc_id", "g.*")

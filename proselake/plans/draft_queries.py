@@ -12,6 +12,7 @@ from ..operators import edits as E
 from ..operators import prose as P
 from ..sources.tables import table
 from .prose_queries import PARAS, _docs, _found, _found_sql
+from .prose_queries import SQL as PROSE
 from .review_queries import TEXTS, values
 from .rule_queries import EN, POLICY, POLICY_EXPECTED, LATER
 
@@ -102,6 +103,25 @@ def guard_facts(spark, d):
     return pairs.select("conv_id", "turn", E.compare_udf("src", "out").alias("g")).select("conv_id", "turn", "g.added", "g.removed")
 
 
+def clause_profiles(spark, d):
+    return A.clause_profiles(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+
+
+def best_candidates(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 2).cast("int").alias("para"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey") * 100 + F.col("l_partkey") % 100).cast("long").alias("candidate"), (F.col("l_quantity").cast("long") % 7 - 2).alias("score"), (F.col("l_returnflag") == "R").alias("verified"))
+    return A.best_candidates(li)
+
+
+def guard_lines(spark, d):
+    p = P.fact_changes(P.turn_pairs(table(spark, d, "conversations")), "[A-Z][a-z]+")
+    return p.select("conv_id", "turn", A.guard_line(F.col("added"), F.col("removed"), F.array().cast("array<string>"), 2).alias("line"))
+
+
+def material_assessment(spark, d):
+    found = _found(spark, d).withColumn("handling", F.expr("CASE rule WHEN 'F02' THEN 'code' WHEN 'RPT' THEN 'llm' ELSE 'report' END"))
+    return P.material_assessment(_docs(spark, d), found, ["F04"]).select("doc_id", "n_features", "n_code", "n_llm", "n_report", "features_per_1000")
+
+
 def metrics_en_style(spark, d):
     return P.metrics_en(_docs(spark, d), rounded=False).select("doc_id", "passive_ratio", "hedge_density", "transition_density", "digit_density")
 
@@ -182,6 +202,20 @@ SQL = {
         n AS (SELECT doc_id, len(regexp_extract_all(t, '{WORD}(?:[\\p{{Latin}}\\p{{Nd}}\\p{{M}}]|[''’]{WORD})*')) AS words, len(regexp_extract_all(t, '\\p{{Han}}')) AS han,
             len(regexp_extract_all(regexp_replace(t, '{WORD}(?:[\\p{{Latin}}\\p{{Nd}}\\p{{M}}]|[''’]{WORD})*', '', 'g'), '[^\\p{{Han}}\\p{{P}}\\p{{Z}}\\s]')) AS other FROM u)
         SELECT doc_id, words, han, other, words + han + other AS total FROM n""",
+    "clause_profiles": f"""WITH s AS (SELECT conv_id * 1000 + turn AS doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '[.](\\s|$)', chr(10) || '\\1', 'g'), '[，；。！？\\n,;!?]'), lambda x: {STRIP.format('x')}), lambda x: len(x) > 0) AS l FROM conversations),
+        c AS (SELECT doc_id, unnest(range(len(l))) AS clause, unnest(l) AS text FROM s)
+        SELECT doc_id, CAST(clause AS INT) AS clause, text, regexp_extract_all(text, '{FACTS['number']}') AS numbers, regexp_extract_all(text, '{FACTS['citation']}') AS citations, regexp_extract_all(text, '{FACTS['name']}') AS names,
+            lower(regexp_replace(regexp_replace(text, '{FACTS['citation']}', '@', 'g'), '{FACTS['number']}', '#', 'g')) AS skeleton FROM c""",
+    "best_candidates": """WITH c AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 2 AS INT) AS para, l_linenumber * 1000000 + l_suppkey * 100 + l_partkey % 100 AS candidate, CAST(l_quantity AS BIGINT) % 7 - 2 AS score, l_returnflag = 'R' AS verified FROM lineitem),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, para ORDER BY score DESC, candidate) AS n, count(*) OVER (PARTITION BY doc_id, para) AS tried FROM c)
+        SELECT doc_id, para, tried, CASE WHEN score > 0 THEN candidate END AS chosen, score > 0 AND NOT verified AS unverified FROM r WHERE n = 1""",
+    "guard_lines": """WITH f AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(src, '[A-Z][a-z]+')) AS a, list_distinct(regexp_extract_all(out, '[A-Z][a-z]+')) AS b FROM (SELECT conv_id, turn, text AS src, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS out FROM conversations) WHERE out IS NOT NULL),
+        x AS (SELECT conv_id, turn, list_sort(list_filter(b, lambda y: NOT list_contains(a, y))) AS p, list_sort(list_filter(a, lambda y: NOT list_contains(b, y))) AS m FROM f)
+        SELECT conv_id, turn, concat_ws('; ', CASE WHEN len(p) > 0 THEN 'added: ' || array_to_string(p[1:2], ', ') || CASE WHEN len(p) > 2 THEN ' and ' || (len(p) - 2) || ' more' ELSE '' END END,
+            CASE WHEN len(m) > 0 THEN 'removed: ' || array_to_string(m[1:2], ', ') || CASE WHEN len(m) > 2 THEN ' and ' || (len(m) - 2) || ' more' ELSE '' END END) AS line FROM x""",
+    "material_assessment": f"""WITH f AS ({_found_sql()}), c AS (SELECT doc_id, count(*) FILTER (rule <> 'F04') AS n_features, count(*) FILTER (rule = 'F02') AS n_code, count(*) FILTER (rule = 'RPT') AS n_llm, count(*) FILTER (rule IN ('NUM', 'F04')) AS n_report FROM f GROUP BY 1)
+        SELECT m.doc_id, coalesce(n_features, 0) AS n_features, coalesce(n_code, 0) AS n_code, coalesce(n_llm, 0) AS n_llm, coalesce(n_report, 0) AS n_report,
+            CASE WHEN n_unit = 0 THEN 0.0 ELSE CAST(coalesce(n_features, 0) * 1000 AS DOUBLE) / n_unit END AS features_per_1000 FROM ({PROSE['material_density']}) m LEFT JOIN c ON c.doc_id = m.doc_id""",
     "guard_facts": f"""WITH p AS (SELECT conv_id, turn, {ALL('src')} AS a, {ALL('out')} AS b FROM {PAIRS})
         SELECT conv_id, turn, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS added, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS removed FROM p""",
     "metrics_en_style": f"""WITH d AS (SELECT doc_id, text, lower(text) AS low, regexp_replace(text, '({NOT})', '\\1\\1', 'g') AS twice, regexp_replace(lower(text), '({NOT})', '\\1\\1', 'g') AS two,

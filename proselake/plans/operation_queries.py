@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import effects as X
 from ..operators import operations as O
 from ..operators import relational as R
 from ..sources.tables import table
@@ -226,6 +227,35 @@ def order_states(spark, d):
     return S.orders_batch(e)
 
 
+def account_plans(spark, d):
+    grants = _orders(spark, d).select("account_id", F.col("o_orderpriority").alias("product"))
+    plans = spark.createDataFrame(PLANS, "product string, priority int, most_chars int")
+    return O.plans_of(grants, plans, {"light": 1, "deep": 2, "full": 4})
+
+
+PLANS = [("1-URGENT", 4, 60_000), ("2-HIGH", 2, 30_000), ("3-MEDIUM", 2, 90_000), ("4-NOT SPECIFIED", 1, 3000)]
+
+
+def failures_by_either(spark, d):
+    e = _events(spark, d).select("event_id", "at", "user_id", F.when(F.col("event_type") != "view", F.col("event_id") % 60).alias("session"))
+    return O.either_rate(e, ["user_id", "session"], 7 * 86_400, 30).select("event_id", "limited")
+
+
+def traffic_all_time(spark, d):
+    return O.all_time(R.traffic_daily(table(spark, d, "events")))
+
+
+def id_kinds(spark, d):
+    t = _events(spark, d).select("event_id", F.md5(F.col("event_id").cast("string")).alias("h"))
+    text = F.expr("CASE event_id % 8 WHEN 0 THEN concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21)) WHEN 1 THEN 'ord_' || h WHEN 2 THEN 'ord_x' WHEN 3 THEN 'evt_' || h WHEN 4 THEN 'pi_1' WHEN 5 THEN 're_a b' WHEN 6 THEN upper(h) END")
+    return t.select("event_id", O.id_kind(text).alias("kind"))
+
+
+def model_bench(spark, d):
+    runs = _events(spark, d).select(F.col("event_type").alias("model"), (F.col("cents") % 50).alias("drop"), (F.col("user_id") % 2 == 0).alias("accepted"), (F.col("event_id") % 3).alias("lost"), (F.col("event_id") % 5).alias("new"), (F.col("event_id") % 4).alias("ratio"), F.col("cents").alias("tokens"))
+    return X.model_bench(runs, spark.createDataFrame([("click", 2.0), ("view", 4.0)], "model string, price_per_million double"))
+
+
 def _q(x) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
@@ -293,6 +323,16 @@ SQL = {
         CASE WHEN len(trim(coalesce(name, ''))) <= 120 AND NOT regexp_matches(coalesce(name, ''), '[\\x00-\\x1f]') THEN trim(coalesce(name, '')) END AS name FROM c""",
     "money_text": f"""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN CASE WHEN m < 0 THEN '-' ELSE '' END || CASE event_type WHEN 'click' THEN '¥' ELSE '$' END || format('{{:,}}', abs(m) // 100) || '.' || lpad(CAST(abs(m) % 100 AS VARCHAR), 2, '0')
         ELSE '—' END AS text FROM (SELECT event_id, event_type, cents * 1000 - 50000 AS m FROM ({EVENTS}))""",
+    "account_plans": f"""WITH p(product, priority, most) AS (VALUES {', '.join(map(str, PLANS))}), h AS (SELECT account_id, p.* FROM ({ORDERS}) JOIN p ON product = o_orderpriority)
+        SELECT account_id, max_by(product, priority * 10 + CAST(substr(product, 1, 1) AS INT)) AS plan, max(most) AS most_chars, list_filter(['light', 'deep', 'full'], lambda x: CASE x WHEN 'light' THEN 1 WHEN 'deep' THEN 2 ELSE 4 END <= max(priority)) AS strengths FROM h GROUP BY 1""",
+    "failures_by_either": f"""WITH e AS (SELECT event_id, sec, user_id, CASE WHEN event_type <> 'view' THEN event_id % 60 END AS s FROM ({EVENTS})),
+        c AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS a, count(*) OVER (PARTITION BY s ORDER BY sec RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS b FROM e)
+        SELECT event_id, a > 30 OR (s IS NOT NULL AND b > 30) AS limited FROM c""",
+    "traffic_all_time": """SELECT min(day) AS since, count(DISTINCT day) AS days, count(*) AS views FROM (SELECT CAST(timezone('Asia/Shanghai', timezone('UTC', ts)) AS DATE) AS day FROM events)""",
+    "id_kinds": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'uuid' WHEN 1 THEN 'order' WHEN 3 THEN 'event' WHEN 4 THEN 'payment' WHEN 6 THEN 'key' END AS kind FROM events",
+    "model_bench": f"""WITH r AS (SELECT event_type AS model, avg(CAST(cents % 50 AS DOUBLE)) AS "drop", avg(CAST(user_id % 2 = 0 AS DOUBLE)) AS accept, avg(CAST(event_id % 3 AS DOUBLE)) AS lost, avg(CAST(event_id % 5 AS DOUBLE)) AS new,
+            avg(CAST(event_id % 4 AS DOUBLE)) AS ratio, CAST(sum(cents) AS BIGINT) AS tokens FROM ({EVENTS}) GROUP BY 1)
+        SELECT *, CASE model WHEN 'click' THEN CAST(2 AS DOUBLE) WHEN 'view' THEN CAST(4 AS DOUBLE) END AS price_per_million, tokens * CASE model WHEN 'click' THEN CAST(2 AS DOUBLE) WHEN 'view' THEN CAST(4 AS DOUBLE) END / 1000000 AS cost FROM r""",
     "order_states": """WITH e AS (SELECT event_id AS n, event_id // 2 AS k, event_id // 2 % 300 AS o, CASE WHEN event_id // 2 % 3 = 0 THEN 'payment' ELSE 'refund' END AS kind,
             CASE WHEN event_id // 2 % 3 = 0 THEN CASE event_id // 2 % 4 WHEN 2 THEN 'expired' WHEN 3 THEN 'failed' ELSE 'paid' END ELSE CASE WHEN event_id // 2 % 5 < 3 THEN 'succeeded' ELSE 'failed' END END AS status,
             user_id % 2 * 100 + 50 AS amount, event_id // 2 % 7 AS ref FROM events),

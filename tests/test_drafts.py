@@ -69,3 +69,9 @@ def test_empty_frames(spark):
     jobs = spark.createDataFrame([], "job_id long, state string, queued_at long")
     assert O.recover(jobs, jobs).count() == 0 and O.oldest_queued(jobs.withColumn("k", F.lit(1)), "k").count() == 0
     assert O.newest_archive(spark.createDataFrame([], "path string, modified long, length long"), 0, 1).count() == 0
+
+
+def test_two_layers(spark):
+    docs = spark.createDataFrame([(1, "**重点**内容。说白了，研究有效。"), (2, "Plain English."), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in A.two_layers(docs).collect()}
+    assert got[1].after < got[1].before and got[1].code_edits + got[1].safe_edits > 0 and got[2].before == got[2].after
