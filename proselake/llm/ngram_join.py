@@ -37,6 +37,8 @@ _PART = 1 << 14
 BROADCAST_ROWS = 1 << 20
 #: Classes of one shingle whose neighbours and hub are found in one task; beyond it they are salted.
 TOKEN_ROWS = 50_000
+#: Pairs of one hub that one task verifies; a hub of more is copied to as many tasks as it needs.
+HUB_PAIRS = 10_000
 #: Shingle rows that one prefix tree holds on average.
 TREE_ROWS = 50_000
 
@@ -271,7 +273,11 @@ def _verify(texts: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, num
     packed = cut(held.select("__text").mapInArrow(_packed(width), "class long, packed binary").dropDuplicates(["class"]))
     left = packed.select(F.col("class").alias("a"), F.col("packed").alias("x"))
     right = packed.select(F.col("class").alias("b"), F.col("packed").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("salts")).where("salts > 1")  # hubs: few, a row for each HUB_PAIRS pairs at most
+    salts = maybe_broadcast(cut(salts), BROADCAST_ROWS)
+    dealt = pairs.join(salts, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).alias("salt"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    both = dealt.join(right, "b").join(left.join(salts, "a", "left").select("a", "x", copies), ["a", "salt"]).select("a", "b", "x", "y")
     return both.mapInArrow(_verified(width, num, den), "a long, b long")
 
 

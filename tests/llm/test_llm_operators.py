@@ -113,6 +113,7 @@ def test_one_of_each(spark, rows):
 @pytest.mark.parametrize("most", [3, 50_000])
 def test_rows_without_id_link_and_salted_shingles_lose_no_link(spark, rows, monkeypatch, most):
     monkeypatch.setattr(ngram_join, "TOKEN_ROWS", most)
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", most)
     rng = random.Random(11)
     w = [rng.choice(WORDS) + str(i) for i in range(250)]
     chain = [(5001, " ".join(w[:200]), "a"), (None, " ".join(w[15:215]), "a"), (5000, " ".join(w[30:230]), "a")]
