@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import markers as M
+
 # Zero-width and direction marks that count as nothing.
 UNCOUNTED = set("\u00ad\u180e\u200b\u200c\u200d\u202a\u202b\u202c\u202d\u202e\u2060\u2066\u2067\u2068\u2069\ufeff")
 #: Diffs with more cells than this are one replaced block.
@@ -100,50 +102,43 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-# Classes of words whose number a rewrite must keep, by language.
-MARKERS = {
-    "negation": r"不|没有|未|无法|并非|(?i:\b(?:not|no|never|cannot|without)\b)",
-    "uncertainty": r"可能|或许|似乎|大概|(?i:\b(?:may|might|could|perhaps|possibly|likely)\b)",
-    "obligation": r"必须|应当|应该|(?i:\b(?:must|shall|should)\b)",
-    "condition": r"如果|若|只要|除非|(?i:\b(?:if|unless|provided)\b)",
-    "universal": r"所有|全部|每个|(?i:\b(?:all|every|each|always)\b)",
-    "partial": r"部分|一些|少数|(?i:\b(?:some|several|partly)\b)",
-    "causation": r"导致|引起|造成|(?i:\b(?:causes?|caused|leads? to|results? in)\b)",
-    "correlation": r"相关|关联|(?i:\b(?:correlat\w+|associat\w+)\b)",
-    "up": r"上升|提高|增加|(?i:\b(?:increas\w+|rise[sn]?|rose|grew|grow\w*)\b)",
-    "down": r"下降|降低|减少|(?i:\b(?:decreas\w+|declin\w+|fell|drop\w*|reduc\w+)\b)",
-}
+def _classes() -> dict[str, re.Pattern]:
+    """Each class as one pattern over both languages; their scripts keep them apart."""
+    names = dict.fromkeys([*M.ZH, *M.EN])
+    return {k: re.compile("|".join([*([M.ZH[k]] if k in M.ZH else []), *([f"(?i:{M.EN[k]})"] if k in M.EN else [])])) for k in names}
+
+
+MARKERS = _classes()
+_TOGETHER, _CAUSING = re.compile(M.TOGETHER), re.compile(M.CAUSING)
+_SIGNED = re.compile(f"{M.COMPARATOR}|{M.EQUATION}")
 NUMBER = re.compile(r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?%?|[〇零一二三四五六七八九十百千万亿]{2,}")
 CITATION = re.compile(r"\[\d+(?:[,，\-–]\s*\d+)*\]|[(（][A-Z][A-Za-z]+(?: et al\.?)?,?\s*\d{4}[a-z]?[)）]")
 NAME = re.compile(r"[A-Z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*")
-BOUND = [(">=", r"不少于|至少|≥|>=|(?i:\bat least\b)"), ("<=", r"不超过|至多|≤|<=|(?i:\bat most\b)"), (">", r"超过|大于|>|(?i:\bmore than\b)"), ("<", r"小于|低于|<|(?i:\bless than\b)"), ("~", r"大约|约|≈|(?i:\babout\b|\bapproximately\b)")]
+_PHRASES = {p: sign for sign, phrases in M.BOUNDS.items() for p in phrases}
+_BOUND = re.compile(r"(?i)(?:\b(?=[a-z])|(?=[^a-z]))(" + "|".join(re.escape(p).replace(r"\ ", r"\s+") for p in sorted(_PHRASES, key=len, reverse=True)) + r")\s*[+\-−]?\d")
 
 
 def bounds(text: str) -> list[str]:
-    """Bounds in normal signs, in order; a longer phrase hides the shorter ones inside it."""
-    out = []
-    for sign, pattern in BOUND:
-        def take(m: re.Match, sign: str = sign) -> str:
-            out.append((m.start(), sign))
-            return "\0" * len(m.group())
-
-        text = re.sub(pattern, take, text)
-    return [s for _, s in sorted(out)]
+    """Signs of the bounds before numbers, in order; a longer phrase hides the shorter ones inside it."""
+    return [_PHRASES[" ".join(m[1].lower().split())] for m in _BOUND.finditer(text)]
 
 
 def profile(text: str) -> dict[str, Counter]:
-    got = {k: Counter(m.lower() for m in re.findall(p, text)) for k, p in MARKERS.items()}
-    return got | {"number": Counter(NUMBER.findall(text)), "citation": Counter(CITATION.findall(text)), "name": Counter(NAME.findall(text)), "bounds": Counter(bounds(text))}
+    rest = _BOUND.sub(lambda m: " " * len(m.group()), text)  # words of bounds are no words of a class
+    got = {k: Counter(m.group().lower() for m in p.finditer(rest)) for k, p in MARKERS.items()}
+    plain = [re.sub(r"\s+", "", m.group()) for m in _SIGNED.finditer(text)]
+    return got | {"number": Counter(NUMBER.findall(text)), "citation": Counter(CITATION.findall(text)), "name": Counter(NAME.findall(text)), "bounds": Counter(bounds(text)), "signs": Counter(plain)}
 
 
 def compare(source: str, output: str) -> dict[str, list[str]]:
     """Facts that ``output`` adds or loses, and the classes of meaning whose counts changed; empty lists: nothing did."""
     a, b = profile(source), profile(output)
     facts = ("number", "citation", "name")
-    out = {"added": sorted(f"{k}:{x}" for k in facts for x in set(b[k]) - set(a[k])), "removed": sorted(f"{k}:{x}" for k in facts for x in set(a[k]) - set(b[k]))}
-    changed = [k for k in MARKERS if sum(a[k].values()) != sum(b[k].values())] + ["bounds"] * (a["bounds"] != b["bounds"])
-    stronger = sum(b["causation"].values()) > sum(a["causation"].values()) and sum(b["correlation"].values()) < sum(a["correlation"].values())
-    return out | {"semantic": sorted(changed) + ["correlation->causation"] * stronger}
+    new, gone = ([f"{k}:{x}" for k in facts for x in y[k].keys() - x_[k].keys()] for x_, y in ((a, b), (b, a)))
+    changed = {k for k in MARKERS if a[k].total() != b[k].total()} | {k for k in ("bounds", "signs") if a[k] != b[k]}
+    found = lambda p, t: len(p.findall(t))
+    stronger = found(_CAUSING, output) > found(_CAUSING, source) and found(_TOGETHER, output) < found(_TOGETHER, source)
+    return {"added": sorted(new), "removed": sorted(gone), "semantic": sorted(changed) + ["correlation->causation"] * stronger}
 
 
 def clauses(text: str) -> list[str]:

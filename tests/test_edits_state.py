@@ -37,6 +37,48 @@ def test_guard():
     assert [x[:2] for x in E.align("a one, b two. c three", "a one, b two. c three")] == [(0, 0), (1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize(
+    ("source", "output", "kind"),
+    [
+        ("The drug may help patients.", "The drug helps patients.", "uncertainty"),
+        ("The port does not accept ships.", "The port accepts ships.", "negation"),
+        ("The port can’t accept ships.", "The port can accept ships.", "negation"),
+        ("Sleep is correlated with memory.", "Sleep causes memory.", "correlation->causation"),
+        ("They plan to open the bridge.", "They opened the bridge.", "planned"),
+        ("The maps will be published.", "The maps were published.", "planned"),
+        ("If the light is green, cars go.", "The light is green, cars go.", "condition"),
+        ("It holds at least 40 seats.", "It holds at most 40 seats.", "bounds"),
+        ("All guests must sign.", "Some guests must sign.", "universal"),
+        ("Guests must sign.", "Guests should sign.", "obligation"),
+        ("The dam is higher than the tower.", "The dam is lower than the tower.", "higher"),
+        ("Only members can vote.", "Members can vote.", "only"),
+        ("该药可能有效。", "该药有效。", "uncertainty"),
+        ("该平台不对公众开放。", "该平台对公众开放。", "negation"),
+        ("产量超过3000吨。", "产量等于3000吨。", "bounds"),
+        ("睡眠与记忆相关。", "睡眠导致记忆。", "correlation->causation"),
+        ("当 x > 3 时成立。", "当 x < 3 时成立。", "signs"),
+    ],
+)
+def test_guard_blocks(source, output, kind):
+    assert kind in E.compare(source, output)["semantic"]
+
+
+@pytest.mark.parametrize(
+    ("source", "output"),
+    [
+        ("The drug may help patients.", "The drug might help patients."),
+        ("The port does not accept ships.", "The port never accepts ships."),
+        ("Sleep is correlated with memory.", "Sleep is associated with memory."),
+        ("They plan to open the bridge.", "They intend to open the bridge."),
+        ("It holds at least 40 seats.", "It holds no less than 40 seats."),
+        ("All guests must sign.", "Every guest is required to sign."),
+            ("该药可能有效。", "该药或许有效。"),
+    ],
+)
+def test_guard_allows(source, output):
+    assert E.compare(source, output)["semantic"] == []
+
+
 def test_udfs(spark):
     E.register(spark)
     df = spark.createDataFrame([("a b", "a c"), (None, "x")], "a string, b string")
