@@ -55,8 +55,9 @@ class Tables:
 
 @dataclass
 class Words:
-    """The words of some texts: the different ones by their hashed grams, hash and length, the number of each word, where each text's words begin."""
+    """The words of some texts: the different ones by key, hashed grams, hash and length, the number of each word, where each text's words begin."""
 
+    key: np.ndarray
     gram: np.ndarray
     gram_of: np.ndarray
     word: np.ndarray
@@ -69,9 +70,10 @@ def read_words(data: np.ndarray, at: np.ndarray) -> Words:
     """Of the texts data[at[i]:at[i + 1]], with at[0] = 0."""
     n = len(at) - 1
     held = np.full(len(data) + n + 1 + 4, 32, np.uint8)  # a blank before each text and some behind
-    shift = np.repeat(np.arange(n), np.diff(at)) + 1
     low = LOWER[data]
-    held[np.arange(len(data)) + shift] = np.where(_LETTER[low], low, 32)
+    low[~_LETTER[low]] = 32
+    for i in range(n):
+        held[at[i] + i + 1 : at[i + 1] + i + 1] = low[at[i] : at[i + 1]]
     at = at + np.arange(n + 1) + 1  # text i is held[at[i]:at[i + 1] - 1]
     inside = held != 32
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
@@ -86,7 +88,28 @@ def read_words(data: np.ndarray, at: np.ndarray) -> Words:
         gram |= held[place + k].astype(np.uint64) << np.uint64(8 * k)
     gram = (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
     word = splitmix(key) & np.uint64(TABLE - 1)
-    return Words(gram.astype(np.int64), gram_of, word.astype(np.int64), length, number, np.searchsorted(starts, at))
+    return Words(key, gram.astype(np.int32), gram_of.astype(np.int32), word.astype(np.int32), length, number, np.searchsorted(starts, at))
+
+
+def read_all(texts: list[bytes]) -> Words:
+    """The words of texts that are read in blocks."""
+    at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    parts = [read_words(np.frombuffer(b"".join(texts[a:b]), np.uint8), at[a : b + 1] - at[a]) for a, b in blocks(at)]
+    if not parts:
+        return read_words(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    key, first, number = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+    before = np.concatenate(([0], np.cumsum([len(p.key) for p in parts])))
+    gram_of = np.concatenate([p.gram_of + np.int64(k) for p, k in zip(parts, before, strict=False)])
+    new = np.full(before[-1], -1, np.int64)  # the number of a part's word that is taken as the first of its key
+    new[first] = np.arange(len(key))
+    gram_of = new[gram_of]
+    order = np.argsort(gram_of, kind="stable")
+    order = order[np.searchsorted(gram_of[order], 0) :]
+    one = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    words = np.concatenate([number[k : k + len(p.key)][p.number] for p, k in zip(parts, before, strict=False)])
+    ends = np.cumsum([len(p.number) for p in parts])
+    edge = np.concatenate([p.edge[:-1] + (e - len(p.number)) for p, e in zip(parts, ends, strict=True)] + [ends[-1:]])
+    return Words(key, one("gram")[order], gram_of[order].astype(np.int32), one("word")[first], one("length")[first], words, edge)
 
 
 def word_inputs(w: Words, t: Tables) -> np.ndarray:
@@ -127,19 +150,32 @@ def tables(w: Words, labels: np.ndarray, rows: np.ndarray, vectors: tuple[np.nda
     once = np.unique((text * n + w.number)[chosen[text]])  # a text's different words
     text, number = once // n, once % n
 
-    def odds(key: np.ndarray, of: np.ndarray) -> np.ndarray:
-        once = np.unique(of * TABLE + key)
-        of, key = once // TABLE, once % TABLE
-        n = np.bincount(key, minlength=TABLE)
-        t = np.bincount(key, weights=labels[of], minlength=TABLE)
+    def odds(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        n, t = np.zeros(TABLE, np.int64), np.zeros(TABLE)
+        for key, of in pairs:  # of some texts at a time, each text whole
+            once = np.unique(of * TABLE + key)
+            of, key = once // TABLE, once % TABLE
+            n += np.bincount(key, minlength=TABLE)
+            t += np.bincount(key, weights=labels[of], minlength=TABLE)
         out = np.log((t + PRIOR * base) / (toxic + PRIOR)) - np.log((n - t + PRIOR * (1 - base)) / (clean + PRIOR))
         out[n == 0] = 0
         return np.clip(out / 2, -3, 3).astype(np.float32)
 
     size = np.bincount(w.gram_of, minlength=n)
-    begin, size = (np.cumsum(size) - size)[number], size[number]
-    place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return Tables(odds(w.gram[place], np.repeat(text, size)), odds(w.word[number], text), *vectors)
+    begin = np.cumsum(size) - size
+    cuts = np.searchsorted(text, np.arange(0, len(labels) + 64, 64))
+
+    def words() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield w.word[number[a:b]].astype(np.int64), text[a:b]
+
+    def grams() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            many = size[number[a:b]]
+            place = np.repeat(begin[number[a:b]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            yield w.gram[place].astype(np.int64), np.repeat(text[a:b], many)
+
+    return Tables(odds(grams()), odds(words()), *vectors)
 
 
 def windows(edge: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +216,9 @@ class Network:
 
     def states(self, x: np.ndarray, index: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
         """Hidden states (time, window, HIDDEN) of one direction; ``kept`` gets what the gradient needs."""
-        projected = x @ self.w[f"W{d}"] + self.w[f"c{d}"]
+        return self._states(x @ self.w[f"W{d}"] + self.w[f"c{d}"], index, d, kept)
+
+    def _states(self, projected: np.ndarray, index: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
         u, m = self.w[f"U{d}"], self.w[f"N{d}"]
         h = np.zeros((len(index), HIDDEN), np.float32)
         out = np.empty((WINDOW, len(index), HIDDEN), np.float32)
@@ -206,9 +244,10 @@ class Network:
         return c @ self.w["o"] + self.w["o0"][0], a, alpha, c
 
     def logits(self, x: np.ndarray, index: np.ndarray) -> np.ndarray:
+        projected = {d: x @ self.w[f"W{d}"] + self.w[f"c{d}"] for d in "fb"}
         out = [
-            self.pool(np.concatenate([self.states(x, i, "f"), self.states(x, i, "b")], axis=2))[0]
-            for i in (index[k : k + 4096] for k in range(0, len(index), 4096))
+            self.pool(np.concatenate([self._states(projected[d], i, d) for d in "fb"], axis=2))[0]
+            for i in (index[k : k + PASS] for k in range(0, len(index), PASS))
         ]
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
@@ -372,8 +411,9 @@ class _Descent:
             i = self.rng.integers(0, len(y), BATCH)
             rate = 0.03 if self.step <= 150 else 0.01
             used = index[i]
+            rows, own = np.unique(used, return_inverse=True)
             slope = np.zeros((*used.shape, INPUTS), np.float32)
-            for name, g in self.net.gradient(x, used, y[i], weight[i], slope).items():
+            for name, g in self.net.gradient(x[rows], own.reshape(used.shape), y[i], weight[i], slope).items():
                 g = np.clip(g, -1, 1)
                 self.first[name] = 0.9 * self.first[name] + 0.1 * g
                 self.second[name] = 0.99 * self.second[name] + 0.01 * g * g
@@ -397,15 +437,15 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
     if labels.sum() in (0, len(labels)):
         return Model()
     rng = np.random.default_rng(SEED)
-    at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    w = read_words(np.frombuffer(b"".join(texts), np.uint8), at)
+    w = read_all(texts)
     n, vectors = len(w.word), fresh_vectors(rng)
     if not n:
         return Model()
     half = rng.permutation(len(texts)) % 2
     text = np.repeat(np.arange(len(texts)), np.diff(w.edge))
-    odds = [word_inputs(w, tables(w, labels, np.flatnonzero(half != k), vectors)) for k in (0, 1)]
-    x = np.concatenate([odds[0][:-1], odds[1]])
+    x = np.zeros((2 * n + 1, INPUTS), np.float32)  # a row for each word and half, and a blank one
+    for k in (0, 1):
+        x[k * n : (k + 1) * n] = word_inputs(w, tables(w, labels, np.flatnonzero(half != k), vectors))[:-1]
     number = w.number + n * half[text]  # a word's row of x
     index, of = windows(w.edge, len(number))
     index = np.append(number, 2 * n)[index]
