@@ -70,11 +70,12 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float
     inside = ranked.join(maybe_broadcast(last, BROADCAST_ROWS), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("bin") == F.col("__bin")))
     near = Window.partitionBy("__source").orderBy("rank")
     inside = inside.withColumn("middle", F.col("before") + F.sum("size").over(near.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
-    ends = inside.where("middle <= rest").groupBy("__source").agg(F.max("rank").alias("end"))
-    ends = ends.withColumnRenamed("__source", "__e")
+    fits = F.col("middle") <= F.col("rest")
+    tied = inside.groupBy(F.col("__source").alias("__e"), "rank").agg(F.count("*").alias("end_rows"), F.count_if(fits).alias("end_taken")).where("end_taken > 0")
+    ends = tied.groupBy("__e").agg(F.max(F.struct("rank", "end_rows", "end_taken")).alias("x")).select("__e", F.col("x.rank").alias("end"), "x.end_rows", "x.end_taken")
     plan = plan.join(last, F.col("__source").eqNullSafe(F.col("__s")), "left").join(ends, F.col("__source").eqNullSafe(F.col("__e")), "left")
     floor = F.when(F.col("__bin").isNull(), F.lit(-1.0)).otherwise(F.col("__bin") / (BINS - F.col("__bin")))
-    return cut(plan.select("__source", "source_size", "target", "certain", "part", F.col("end"), floor.alias("below")))
+    return cut(plan.select("__source", "source_size", "target", "certain", "part", "end", "end_rows", "end_taken", floor.alias("below")))
 
 
 def pareto_rank(draw: Column, part: Column) -> Column:
@@ -82,23 +83,40 @@ def pareto_rank(draw: Column, part: Column) -> Column:
     return F.when(part > 0, (draw / (1 - draw)) * F.try_divide(1 - part, part))
 
 
-def _copies() -> Column:
-    """Whole copies of a row joined to its source's plan; ranks of lower bins are all taken."""
+def _with_copies(joined: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows joined to their source's plan, with whole ``copies``; ranks of lower bins are all taken.
+
+    Rows that equal each other in id, source and text share a rank. Where the cut falls into such a block, as many of its rows
+    are taken as fit, counted part by part; the rows of the block are alike, so it doesn't matter which.
+    """
     rank = pareto_rank(F.col("draw"), F.col("part"))
-    more = (F.col("part") > 0) & (F.col("size") > 0) & F.coalesce((rank < F.col("below")) | (rank <= F.col("end")), F.lit(False))
-    return (F.col("certain") + F.when(more, 1).otherwise(0)).cast("long")
+    drawn = F.coalesce((F.col("part") > 0) & (F.col("size") > 0), F.lit(False))
+    joined = joined.withColumn("__more", drawn & F.coalesce((rank < F.col("below")) | (rank <= F.col("end")), F.lit(False)))
+    copies = (F.col("certain") + F.col("__more").cast("int")).cast("long")
+    if not plan.where("end_taken < end_rows").limit(1).count():
+        return joined.withColumn("copies", copies)
+    split = F.col("__more") & F.coalesce((rank == F.col("end")) & (F.col("end_taken") < F.col("end_rows")), F.lit(False))
+    edge = cut(joined.where(split)).withColumn("__at", F.spark_partition_id())
+    up_to = Window.partitionBy("__source").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = edge.groupBy("__source", "__at").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(up_to), F.lit(0))).drop("n")
+    before = before.withColumnsRenamed({"__source": "__s", "__at": "__a"})
+    own = F.row_number().over(Window.partitionBy("__source", "__at").orderBy(F.monotonically_increasing_id()))
+    edge = edge.withColumn("__n", own).join(before, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__at") == F.col("__a")))
+    edge = edge.withColumn("__more", F.col("__n") + F.col("__before") <= F.col("end_taken")).select(*joined.columns)
+    every = joined.where(~split).unionByName(edge)
+    return every.withColumn("copies", copies)
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` of every row of documents.
 
     Sizes are words (null and empty texts: 0, with no copies beyond the certain ones). Null sources are one source,
-    the last. Rows that equal each other in id, source and text are drawn alike; copies with other ids are not. An
-    empty table gives an empty one. Other columns are neither read nor returned.
+    the last. Rows that equal each other in id, source and text share their draw; of a block of them at the cut as many are
+    taken as fit. An empty table gives an empty one, very long texts count by all their words. Other columns are neither read nor returned.
     """
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(seed).alias("draw")))
-    plan = maybe_broadcast(_plan(rows, weights, share, most), BROADCAST_ROWS)
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn("copies", _copies())
+    plan = _plan(rows, weights, share, most)
+    joined = _with_copies(rows.join(maybe_broadcast(plan, BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("__source"))), plan)
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -108,8 +126,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     own = [F.col(c).alias(f"__in_{i}") for i, c in enumerate(columns)]
     size, draw = word_count(F.col("text")), _draw(seed)
     rows = cut(docs.select("source", size.alias("size"), draw.alias("draw")))
-    plan = maybe_broadcast(_plan(rows, weights, share, most), BROADCAST_ROWS)
+    plan = _plan(rows, weights, share, most)
     full = docs.select(*own, F.col("source").alias("__own_source"), size.alias("size"), draw.alias("draw"))
-    joined = full.join(plan, F.col("__own_source").eqNullSafe(F.col("__source"))).withColumn("copies", _copies()).where("copies > 0")
+    joined = _with_copies(full.join(maybe_broadcast(plan, BROADCAST_ROWS), F.col("__own_source").eqNullSafe(F.col("__source"))), plan).where("copies > 0")
     again = joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return again.select(*[F.col(f"__in_{i}").alias(c) for i, c in enumerate(columns)])

@@ -482,6 +482,21 @@ def test_mixing(spark, rows):
     assert again.columns == df.columns and again.count() == sum(r.copies for r in got)
 
 
+def test_a_block_of_equal_rows_does_not_overshoot(spark):
+    rng = random.Random(5)
+    rows = [(1, "one two three four five", "a")] * 410 + [(i, prose(rng, 20), "b") for i in range(10, 110)] + [(7, "x y", "c")] * 90
+    df = table(spark, rows)
+    got = mixing.mix_documents(df).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_documents(df.repartition(7)).collect()))
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size] = r.target
+        assert r.taken in (r.size * r.copies,) and r.copies <= 2
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 20 for s in taken)
+    assert mixing.mixed(df).count() == sum(r.copies for r in got)
+
+
 def test_sharding(spark, rows):
     got = sharding.shard_documents(table(spark, rows), 4).collect()
     assert len(got) == len(rows)
