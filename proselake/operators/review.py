@@ -146,6 +146,27 @@ def carry_eligibility(lines: DataFrame) -> DataFrame:
     return lines.withColumn("carried", F.when(~F.col("blank"), F.col("eligible")).otherwise(F.coalesce(before & after, F.lit(False))))
 
 
+def editable_parts(lines: DataFrame) -> DataFrame:
+    """Neighbouring lines of one eligibility (``doc_id, line, text, carried``) as parts: ``doc_id, part, carried, first, last, text``."""
+    w = Window.partitionBy("doc_id").orderBy("line")
+    new = F.coalesce((F.col("carried") != F.lag("carried").over(w)).cast("int"), F.lit(0))
+    numbered = lines.withColumn("new", new).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    return numbered.groupBy("doc_id", "part", "carried").agg(F.min("line").alias("first"), F.max("line").alias("last"), joined.alias("text"))
+
+
+def edit_window(text: Column, start: Column, end: Column) -> Column:
+    """The lines that a span stands in, from the line feed before it to the one behind: struct<start, text>."""
+    lead = F.substring_index(F.substring(text, 1, start), "\n", -1)
+    tail = F.substring_index(F.substr(text, end + 1), "\n", 1)
+    return F.struct((start - F.length(lead)).alias("start"), F.concat(lead, F.substring(text, start + 1, end - start), tail).alias("text"))
+
+
+def preflight(targets: DataFrame) -> DataFrame:
+    """How many paragraphs, and findings, a rewrite of each document would touch."""
+    return targets.groupBy("doc_id").agg(F.count_distinct("para").alias("paragraphs"), F.count("*").alias("findings"))
+
+
 def inside_edits(found: DataFrame, edits: DataFrame) -> DataFrame:
     """Findings with whether an edited span of their document (``doc_id, spans``) touches them."""
     both = found.join(edits, "doc_id", "left")

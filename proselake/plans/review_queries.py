@@ -137,6 +137,20 @@ def carried_lines(spark, d):
     return V.carry_eligibility(lines).select("doc_id", "line", "carried")
 
 
+def editable_parts(spark, d):
+    lines = V.eligible_lines(_lines(spark, d)).select("doc_id", "line", F.col("eligible").alias("carried"), F.concat(F.lit("line "), "line").alias("text"))
+    return V.editable_parts(lines)
+
+
+def edit_windows(spark, d):
+    found = P.findings(_docs(spark, d), "NUM", P.NUMBER).join(_docs(spark, d), "doc_id")
+    return found.select("doc_id", F.col("start").alias("at"), V.edit_window(F.col("text"), F.col("start"), F.col("end")).alias("w")).select("doc_id", "at", "w.*")
+
+
+def preflight(spark, d):
+    return V.preflight(V.rewrite_targets(_desk(spark, d).where("para IS NOT NULL"), ["NUM", "F04", "RPT"], "NUM", "F04"))
+
+
 def edited_findings(spark, d):
     edits = _docs(spark, d).where("doc_id % 4 > 0").select("doc_id", F.array(F.struct(F.lit(10).alias("start"), (F.col("doc_id") % 500).cast("int").alias("end"))).alias("spans"))
     return V.inside_edits(_found(spark, d).drop("para"), edits).select("doc_id", "rule", "start", "edited")
@@ -277,6 +291,13 @@ SQL = {
     "carried_lines": f"""WITH e AS (SELECT doc_id, para, start < doc_id % 400 + 200 AND "end" > doc_id % 400 AND NOT (start < 320 AND "end" > 300) AS ok FROM ({PARAS})),
         o AS (SELECT *, CASE WHEN para % 3 <> 1 THEN ok END AS own FROM e), c AS (SELECT *, lag(own IGNORE NULLS) OVER w AS before, lead(own IGNORE NULLS) OVER w AS after FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY para))
         SELECT doc_id, para AS line, CASE WHEN para % 3 <> 1 THEN ok ELSE coalesce(before AND after, false) END AS carried FROM c""",
+    "editable_parts": f"""WITH e AS (SELECT doc_id, para AS line, start < doc_id % 400 + 200 AND "end" > doc_id % 400 AND NOT (start < 320 AND "end" > 300) AS carried FROM ({PARAS})),
+        n AS (SELECT *, CAST(coalesce(carried <> lag(carried) OVER (PARTITION BY doc_id ORDER BY line), false) AS INT) AS new FROM e), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS part FROM n)
+        SELECT doc_id, part, carried, min(line) AS first, max(line) AS last, string_agg('line ' || line, chr(10) ORDER BY line) AS text FROM r GROUP BY 1, 2, 3""",
+    "edit_windows": f"""WITH f AS ({_spans('NUM', P.NUMBER)}), x AS (SELECT f.doc_id, f.start, f."end", matched, string_split(substr(text, 1, f.start), chr(10))[-1] AS lead, string_split(substr(text, f."end" + 1), chr(10))[1] AS tail FROM f JOIN documents d ON d.doc_id = f.doc_id)
+        SELECT doc_id, start AS at, CAST(start - len(lead) AS INT) AS start, lead || matched || tail AS text FROM x""",
+    "preflight": f"""{ENRICHED}, w AS (SELECT *, max(CAST(lang = 'en' AND rule = 'NUM' AS INT)) OVER (PARTITION BY doc_id, para) AS led FROM h WHERE para IS NOT NULL)
+        SELECT doc_id, count(DISTINCT para) AS paragraphs, count(*) AS findings FROM w WHERE rule IN ('NUM', 'F04', 'RPT') AND (led = 0 OR rule = 'F04') GROUP BY doc_id""",
     "edited_findings": f"""WITH f AS ({_found_sql()}) SELECT doc_id, rule, start, doc_id % 4 > 0 AND 10 < "end" AND doc_id % 500 > start AS edited FROM f""",
     "changed_passages": f"""WITH c AS (SELECT doc_id, para, count(*) OVER (PARTITION BY doc_id) AS n FROM ({PARAS}) WHERE para % 2 = 0)
         SELECT doc_id, para, CAST(1 AS BIGINT) AS n FROM c WHERE n <= 6 UNION ALL SELECT DISTINCT doc_id, NULL, n FROM c WHERE n > 6""",
