@@ -208,6 +208,15 @@ def test_token_counts_like_the_library(spark, rows):
     assert got[80] == got[81] == 0 and got[85] == u.count("one")
 
 
+def test_token_counts_of_empty_long_and_repeated(spark):
+    u = token_counts.Unigram.load(token_counts.VOCABULARY)
+    long = "word " * 60_000 + "z" * 50_000
+    df = table(spark, [(1, long, "a"), (2, "same text", "a"), (2, "same text", "a"), (None, "x", "a"), (3, None, "a")])
+    got = token_counts.token_counts(df).collect()
+    assert len(got) == 5 and [r.n_tokens for r in got if r.doc_id == 1] == [u.count(long)] and len({r.n_tokens for r in got if r.doc_id == 2}) == 1
+    assert token_counts.token_counts(df.where("false")).count() == 0
+
+
 def test_viterbi_ties_and_brute_force():
     u = token_counts.Unigram([("a", -1.0), ("aa", -2.0), ("aaa", -2.5), ("▁", -3.0), ("▁a", -3.5)], byte_fallback=True)
     best = {0: (0.0, 0)}
