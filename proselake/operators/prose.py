@@ -75,12 +75,17 @@ def paragraph_scores(found: DataFrame, paras: DataFrame, weights: dict[str, floa
 
 def document_summary(docs: DataFrame, found: DataFrame, severity: dict[str, str]) -> DataFrame:
     """Characters, paragraphs, findings by severity, affected paragraphs and status of every document."""
-    paras = paragraph_segments(docs)
     named = found.withColumn("severity", F.coalesce(*[F.when(F.col("rule") == k, F.lit(v)) for k, v in severity.items()], F.lit("low")))
-    counts = named.groupBy("doc_id").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("high", "medium", "low")])
-    hit = in_paragraph(found, paras).groupBy("doc_id").agg(F.count_distinct("para").alias("n_affected"))
-    size = docs.select("doc_id", F.length(F.regexp_replace("text", r"(?U)\s", "")).alias("n_chars"), F.size(X.paragraphs(F.col("text"))).alias("n_paragraphs"))
-    out = size.join(counts, "doc_id", "left").join(hit, "doc_id", "left").fillna(0)
+    kinds = [F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("high", "medium", "low")]
+    if "para" in found.columns:
+        counts = named.groupBy("doc_id").agg(*kinds, F.count_distinct("para").alias("n_affected"))
+    else:
+        hit = in_paragraph(found, paragraph_segments(docs)).groupBy("doc_id").agg(F.count_distinct("para").alias("n_affected"))
+        counts = named.groupBy("doc_id").agg(*kinds).join(hit, "doc_id", "left")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(X.strip(x)) > 0)
+    size = docs.select("doc_id", F.length(F.regexp_replace("text", r"(?U)\s", "")).alias("n_chars"), F.size(lines).alias("n_paragraphs"))
+    out = size.join(counts, "doc_id", "left").fillna(0)
+    out = out.select("doc_id", "n_chars", "n_paragraphs", "n_high", "n_medium", "n_low", "n_affected")
     status = F.when((F.col("n_high") >= 2) | (F.col("n_high") + F.col("n_medium") >= 6), "needs_work")
     return out.withColumn("status", status.when(F.col("n_high") + F.col("n_medium") + F.col("n_low") > 0, "review").otherwise("clear"))
 
@@ -108,8 +113,8 @@ def metrics_en(docs: DataFrame, rounded: bool = True) -> DataFrame:
         words.alias("w"),
         lens.alias("lens"),
         F.regexp_count(t, F.lit(PASSIVE)).alias("passive"),
-        sum((F.regexp_count(low, F.lit(h)) for h in L.HEDGES_EN), F.lit(0)).alias("hedges"),
-        sum((F.regexp_count(low, F.lit(rf"\b{x}\b")) for x in L.TRANSITIONS_EN), F.lit(0)).alias("transitions"),
+        sum(((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(h)))) / len(h) for h in L.HEDGES_EN), F.lit(0)).cast("int").alias("hedges"),
+        F.regexp_count(low, F.lit(rf"\b(?:{'|'.join(L.TRANSITIONS_EN)})\b")).alias("transitions"),
         F.regexp_count(t, F.lit(r"(?i)[0-9]+(?:\.[0-9]+)?%?|\bp\s*[<>=]\s*0?\.[0-9]+")).alias("digits"),
         F.regexp_count(t, F.lit(r"\b[A-Z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*\b")).alias("proper"),
     )
@@ -219,8 +224,11 @@ def same_openers(sents: DataFrame, size: int = 2) -> DataFrame:
 def lexicon_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``doc_id, term, tier, hits`` of one-word terms, by tokens; ``terms`` has ``term, tier`` and is broadcast if it is proven to be small."""
     token = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    few = maybe_broadcast(terms)
+    if few is not terms:  # other words are dropped where they stand
+        return token.join(few, "term").groupBy("doc_id", "term", "tier").agg(F.count("*").alias("hits"))
     counts = token.groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
-    return counts.join(maybe_broadcast(terms), "term").select("doc_id", "term", "tier", "hits")
+    return counts.join(terms, "term").select("doc_id", "term", "tier", "hits")
 
 
 def phrase_findings(docs: DataFrame, phrases: list[str], rule: str = "V", word_bounds: bool = True) -> DataFrame:
@@ -233,8 +241,8 @@ def phrase_findings(docs: DataFrame, phrases: list[str], rule: str = "V", word_b
 def term_frequency(docs: DataFrame, least: int = 2) -> DataFrame:
     """Capitalised names that a text uses ``least`` times, and hyphen compounds always."""
     name = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*"), F.lit(0))).alias("term"))
-    counts = name.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return counts.where(((F.col("n") >= least) & F.col("term").rlike("^[A-Z]")) | F.col("term").contains("-"))
+    counts = name.where(F.col("term").rlike("^[A-Z]|-")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return counts.where((F.col("n") >= least) | F.col("term").contains("-"))
 
 
 def language_runs(turns: DataFrame, key: str, order: str) -> DataFrame:
