@@ -83,7 +83,7 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule], id_
     known = known.dropDuplicates(["url"])
     sample = [known.where(F.col("blocked") == y).orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED) for y in (0, 1)]
     sample = sample[0].unionByName(sample[1]).withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
-    sample = cut(_features(sample))
+    sample = cut(_features(sample).coalesce(1))  # at most 2 * MOST_LABELLED rows; the trees' many small jobs have a task each
     kinds = {r["blocked"] for r in sample.select("blocked").distinct().collect()}
     by_rule = F.coalesce(*[F.when(F.col("rule") == text, F.lit(verdict)) for text, verdict in rules], F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
     if len(kinds) < 2:
