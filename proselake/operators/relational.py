@@ -148,11 +148,15 @@ def running_balance(entries: DataFrame, key: str, order: list[str], delta: str)
     return entries.withColumn("balance", F.sum(delta).over(w))
 
 
-def grant_recalc(grants: DataFrame, allocations: DataFrame, live: list[str]) -> DataFrame:
-    """``remaining = max(0, granted - refunded - live allocations)`` of each grant."""
+def grant_recalc(grants: DataFrame, allocations: DataFrame, live: list[str], now: int | None = None) -> DataFrame:
+    """``remaining = max(0, granted - refunded - live allocations)`` of each grant; with ``now`` those that are revoked or expired
+    (``revoked_at``, ``expires_at``) keep what they had in ``remaining``."""
     used = allocations.where(F.col("status").isin(live)).groupBy("grant_id").agg(F.sum("amount").alias("used"))
-    rest = F.col("granted") - F.col("refunded") - F.coalesce("used", F.lit(0))
-    return grants.join(used, "grant_id", "left").select("grant_id", F.greatest(F.lit(0), rest).alias("remaining"))
+    rest = F.greatest(F.lit(0), F.col("granted") - F.col("refunded") - F.coalesce("used", F.lit(0)))
+    if now is not None:
+        over = F.col("revoked_at").isNotNull() | F.coalesce(F.col("expires_at") <= now, F.lit(False))
+        rest = F.when(over, F.col("remaining")).otherwise(rest)
+    return grants.join(used, "grant_id", "left").select("grant_id", rest.alias("remaining"))
 
 
 def reserved_credits(units: Column, multiplier_milli: Column) -> Column:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import transforms as G
+from ..operators import autofix as A
 from ..operators import diagnose as D
 from ..operators import edits as E
 from ..operators import effects as X
 from ..operators import prose as P
 from ..operators import relational as R
+from ..sources.pdf_lines import merged_lines as merged
 from ..sources.tables import table
+from .prose_queries import _spans
+from .review_queries import TEXTS, texts, values
+from .rule_queries import EN, ZH
 
 
 def _docs(spark, d):
@@ -72,16 +78,136 @@ def purity(spark, d):
     return X.purity(before, after, e.groupBy("variant").agg(F.min("rule").alias("target")))
 
 
+def product_lang(spark, d):
+    return texts(spark).select("doc_id", A.product_language(F.col("text")).alias("lang"), A.lane(F.col("text")).alias("lane"))
+
+
+def latin_islands(spark, d):
+    return texts(spark).select("doc_id", A.islands(F.col("text")).alias("islands"))
+
+
+LOOSE = ["好，。", "好，，的", "好。！？", "，开头", "结尾，", "a  b", "好，、。后", "一、二，三", "。、开\n；头，", "", "两行，\n。第二"]
+
+
+def tidied_zh(spark, d):
+    t = spark.createDataFrame(list(enumerate(LOOSE)), "id long, text string")
+    return t.select("id", G.tidy(F.col("text")).alias("text"))
+
+
+#: Transforms whose patterns look neither ahead nor behind.
+PLAIN = [name for name, steps in G.REGISTRY.items() if not any("(?<" in p or "(?=" in p or "(?!" in p for p, _ in steps)]
+SAMPLES = [*ZH, *EN, "围绕三个问题展开分析。通过访谈完成了收集。", "However, it works. Overall, it boasts speed.", "一、方法\n二、结果\n三、讨论", "他说'好'，也说\"行\"。", "因此，可行。\n然而，不行。"]
+
+
+def ablations(spark, d):
+    t = spark.createDataFrame(list(enumerate(SAMPLES)), "id long, text string")
+    out = None
+    for name in PLAIN:
+        new, n = G.transform(F.col("text"), G.REGISTRY[name])
+        one = t.select("id", F.lit(name).alias("rule"), new.alias("text"), n.cast("int").alias("n")).where("n > 0")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def visible_chars(spark, d):
+    E.register(spark)
+    _docs(spark, d).createOrReplaceTempView("visible_chars_docs")
+    return spark.sql("SELECT doc_id, visible_chars(text) AS n FROM visible_chars_docs")
+
+
+def merged_lines(spark, d):
+    pages = [["本文研究了一个重要的问题并且", "给出了方法。", "12", "1. 引言", "The method is de-", "scribed here"], [], ["Page 3 of 9", "only line"], ["- item one", "- item two"]]
+    t = spark.createDataFrame(list(enumerate(pages)), "page long, lines array<string>")
+    return t.select("page", merged(F.col("lines")).alias("paragraphs"))
+
+
+def _scores(spark, d):
+    e = table(spark, d, "events")
+    variant = F.expr("CASE WHEN event_id % 9 = 0 THEN 'base' ELSE 'v' || event_id END")
+    e = e.select(F.col("event_type").alias("detector"), (F.col("event_id") % 900).alias("base"), variant.alias("variant"), F.expr("CASE event_id % 4 WHEN 0 THEN 'ALL' ELSE 'R' || (event_id % 40) END").alias("rule"), R.cents(F.col("value")).cast("double").alias("score"), "event_id")
+    return R.first_occurrence(e, ["detector", "base", "variant"], [F.col("event_id")])
+
+
+def score_deltas(spark, d):
+    return X.deltas(_scores(spark, d)).select("event_id", "detector", "base", "rule", "delta")
+
+
+def sufficiency_gate(spark, d):
+    return X.sufficiency(X.deltas(_scores(spark, d)))
+
+
+def first_occurrences(spark, d):
+    found = P.rule_findings(_docs(spark, d), {"a": "[0-9]+", "b": "[0-9]"}).select("doc_id", "rule", "start", "end", "matched")
+    return R.first_occurrence(found, ["doc_id", "start"], [F.col("start"), F.col("end"), F.col("rule")])
+
+
+def ordered_items(spark, d):
+    p = P.turn_pairs(table(spark, d, "conversations"))
+    p = p.withColumn("items", F.slice(F.regexp_extract_all("src", F.lit("[A-Z][a-z]"), F.lit(0)), 1, 3))
+    return p.select("conv_id", "turn", A.in_order("items", "out").alias("ordered"))
+
+
+def grant_recalc_live(spark, d):
+    o = table(spark, d, "orders")
+    grants = o.select(F.col("o_orderkey").alias("grant_id"), F.lit(200).cast("long").alias("granted"), (F.col("o_orderkey") % 50).alias("refunded"), F.lit(7).cast("long").alias("remaining"), F.when(F.col("o_orderstatus") == "P", 1).alias("revoked_at"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("expires_at"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grant_id"), F.col("l_quantity").cast("long").alias("amount"), F.col("l_linestatus").alias("status"))
+    return R.grant_recalc(grants, li, ["O"], 900)
+
+
+def _ablation_sql() -> str:
+    q = lambda x: x.replace("'", "''")
+    parts = []
+    for name in PLAIN:
+        text, n = "text", []
+        for pattern, new in G.REGISTRY[name]:
+            n.append(f"len(regexp_extract_all({text}, '{q(pattern)}'))")
+            text = f"regexp_replace({text}, '{q(pattern)}', '{q(new.replace('$', chr(92)))}', 'g')"
+        parts.append(f"SELECT id, '{name}' AS rule, {text} AS text, CAST({' + '.join(n)} AS INT) AS n FROM t")
+    return f"WITH t(id, text) AS (VALUES {values(enumerate(SAMPLES))}) SELECT CAST(id AS BIGINT) AS id, rule, text, n FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+
+
+def _tidy_sql() -> str:
+    text = "text"
+    for pattern, new in G.TIDY:
+        text = f"regexp_replace({text}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    return f"WITH t(id, text) AS (VALUES {values(enumerate(LOOSE))}) SELECT CAST(id AS BIGINT) AS id, trim({text}, ' ') AS text FROM t"
+
+
+TEXT_T = f"(VALUES {values(enumerate(TEXTS))}) AS t(doc_id, text)"
+SCORES = """SELECT * FROM (SELECT event_type AS detector, event_id % 900 AS base, CASE WHEN event_id % 9 = 0 THEN 'base' ELSE 'v' || event_id END AS variant, CASE event_id % 4 WHEN 0 THEN 'ALL' ELSE 'R' || (event_id % 40) END AS rule,
+    CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS score, event_id, row_number() OVER (PARTITION BY event_type, event_id % 900, CASE WHEN event_id % 9 = 0 THEN 'base' ELSE 'v' || event_id END ORDER BY event_id) AS k FROM events) WHERE k = 1"""
+DELTA = f"SELECT v.event_id, v.detector, v.base, v.rule, b.score - v.score AS delta FROM ({SCORES}) v JOIN ({SCORES}) b ON b.detector = v.detector AND b.base = v.base AND b.variant = 'base' WHERE v.variant <> 'base'"
 DELTAS = "SELECT event_type AS detector, CAST(user_id % 7 AS VARCHAR) AS rule, CAST(CAST(round(value * 100) AS BIGINT) % 1200 - 300 AS DOUBLE) AS delta FROM events"
 SIZES = f"SELECT detector, rule, sum(CAST(delta AS BIGINT)) / CAST(count(*) AS DOUBLE) AS mean, count(*) AS n FROM ({DELTAS}) GROUP BY detector, rule"
 SQL = {
     "effect_size": f"SELECT *, CASE WHEN mean <= 0.5 THEN 'none' WHEN mean < 2 THEN 'weak' WHEN mean < 5 THEN 'effective' ELSE 'strong' END AS verdict FROM ({SIZES})",
     "effect_weights": f"""WITH m AS (SELECT detector, rule, CAST(floor(mean) AS BIGINT) AS mean FROM ({SIZES}) WHERE floor(mean) > 0)
         SELECT detector, rule, round_even(mean / CAST(sum(mean) OVER (PARTITION BY detector) AS DOUBLE) * count(*) OVER (PARTITION BY detector), 3) AS weight FROM m""",
+    "product_lang": f"""WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) AS h, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM {TEXT_T}),
+        p AS (SELECT *, CASE WHEN h > 0 AND regexp_matches(text, '[A-Za-z]+([ \\t]+[A-Za-z]+){{2,}}') THEN 'mixed' WHEN h + l = 0 OR (h >= 4 AND regexp_matches(text, '[，。！？；]|本文|研究|方法|结果|分析|探讨')) OR h / (h + l) > 0.3 THEN 'zh' ELSE 'en' END AS lang FROM c)
+        SELECT doc_id, lang, CASE WHEN lang = 'zh' AND l > 0 THEN 'protected' ELSE lang END AS lane FROM p""",
+    "latin_islands": f"""SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[\\p{{Latin}}\\x00-\\x7F]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: regexp_matches(x, '[A-Za-z]')) AS islands FROM {TEXT_T}""",
+    "tidied_zh": _tidy_sql(),
+    "ablations": _ablation_sql(),
+    "visible_chars": "SELECT doc_id, len(regexp_replace(text, '[\\s\\p{Z}\\p{Cc}\\x{AD}\\x{180E}\\x{200B}-\\x{200D}\\x{202A}-\\x{202E}\\x{2060}\\x{2066}-\\x{2069}\\x{FEFF}\\x{FE00}-\\x{FE0F}]', '', 'g')) AS n FROM documents",
+    "merged_lines": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), ['本文研究了一个重要的问题并且给出了方法。', '1. 引言', 'The method is described here']), (1, []), (2, ['only line']), (3, ['- item one', '- item two'])) AS t(page, paragraphs)",
+    "score_deltas": DELTA,
+    "sufficiency_gate": f"""WITH d AS ({DELTA}), r AS (SELECT detector, rule, count(*) AS n FROM d WHERE rule <> 'ALL' GROUP BY 1, 2), p AS (SELECT detector, count(*) AS rules, count(*) FILTER (n < 3) AS thin FROM r GROUP BY 1),
+        b AS (SELECT detector, count(DISTINCT base) AS bases, count(*) FILTER (rule = 'ALL') AS all_variants FROM d GROUP BY 1)
+        SELECT b.detector, bases, all_variants, coalesce(rules, 0) AS rules, coalesce(thin, 0) AS thin, CASE WHEN bases >= 5 AND all_variants >= 5 AND coalesce(thin, 0) * 2 <= coalesce(rules, 0) THEN 'final' ELSE 'draft' END AS status FROM b LEFT JOIN p ON p.detector = b.detector""",
+    "first_occurrences": f"""WITH f AS (({_spans('a', '[0-9]+')}) UNION ALL ({_spans('b', '[0-9]')})), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY start, "end", rule) AS n FROM f)
+        SELECT doc_id, rule, start, "end", matched FROM r WHERE n = 1""",
+    "ordered_items": """WITH p AS (SELECT conv_id, turn, out, regexp_extract_all(src, '[A-Z][a-z]')[1:3] AS i FROM (SELECT conv_id, turn, text AS src, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS out FROM conversations) WHERE out IS NOT NULL),
+        a AS (SELECT *, CASE WHEN len(i) < 1 THEN 1 ELSE strpos(out, i[1]) END AS x FROM p), b AS (SELECT *, CASE WHEN len(i) < 2 THEN 1 WHEN x = 0 THEN 0 ELSE strpos(substr(out, x + 2), i[2]) END AS y FROM a),
+        c AS (SELECT *, CASE WHEN len(i) < 3 THEN 1 WHEN x = 0 OR y = 0 THEN 0 ELSE strpos(substr(out, x + y + 3), i[3]) END AS z FROM b) SELECT conv_id, turn, x > 0 AND y > 0 AND z > 0 AS ordered FROM c""",
+    "grant_recalc_live": """SELECT o_orderkey AS grant_id, CASE WHEN o_orderstatus = 'P' OR (o_orderkey % 3 = 0 AND o_orderkey <= 900) THEN 7 ELSE CAST(greatest(0, 200 - o_orderkey % 50 - coalesce(used, 0)) AS BIGINT) END AS remaining FROM orders
+        LEFT JOIN (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS used FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) ON l_orderkey = o_orderkey""",
     "purity": """WITH e AS (SELECT user_id % 31 AS variant, event_type AS rule, event_id FROM events), t AS (SELECT variant, min(rule) AS target FROM e GROUP BY variant),
         b AS (SELECT variant, rule, count(*) FILTER (event_id % 2 = 0) AS a, count(*) FILTER (event_id % 3 = 0) AS b FROM e GROUP BY variant, rule),
         s AS (SELECT variant, CAST(sum(CASE WHEN rule = target THEN greatest(0, a - b) ELSE 0 END) AS BIGINT) AS target_drop, CAST(sum(CASE WHEN rule = target THEN 0 ELSE abs(a - b) END) AS BIGINT) AS collateral
             FROM b JOIN t USING (variant) WHERE a + b > 0 GROUP BY variant)
         SELECT *, coalesce(target_drop / nullif(target_drop + collateral, 0), 0) AS purity FROM s""",
 }
-QUERIES = {f.__name__: f for f in (diagnose_findings, diagnose_scores, diagnose_violations, policy_findings, chunks, diff_runs, similarity_ratio, guard_compare, effect_size, effect_weights, purity)}
+#: Without SQL: sequence matching and cutting along a text.
+OPEN = (diagnose_findings, diagnose_scores, diagnose_violations, policy_findings, chunks, diff_runs, similarity_ratio, guard_compare)
+QUERIES = {f.__name__: f for f in OPEN} | {name: globals()[name] for name in SQL}

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _END = re.compile(r"[。！？.!?：:”\"」』）)]$")
 _NEW = re.compile(r"^\s*(?:第[一二三四五六七八九十\d]+[章节]|[一二三四五六七八九十]+、|\d+(?:\.\d+)*[.、\s]|[（(]\d+[）)]|[-•·*]\s|#)")
 _NUMBER = re.compile(r"^\s*(?:[-—]?\s*\d{1,4}\s*[-—]?|第\s*\d+\s*页.*|Page\s+\d+.*)\s*$", re.I)
@@ -26,3 +30,13 @@ def merge_lines(lines: list[str]) -> list[str]:
             blank = "" if _CJK.match(out[-1][-1]) and _CJK.match(line[0]) else " "
             out[-1] = out[-1][:-1] + line if re.search(r"[A-Za-z]-$", out[-1]) and line[0].islower() else out[-1] + blank + line
     return out
+
+
+def merged_lines(lines: Column) -> Column:
+    """The paragraphs of a column of line arrays; null stays null."""
+
+    @F.arrow_udf("array<string>")
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else merge_lines([x or "" for x in p]) for p in pages.to_pylist()], pa.list_(pa.string()))
+
+    return run(lines)
