@@ -291,6 +291,17 @@ def _title_echo(text: str) -> Iterator[tuple[str, int, int]]:
             yield "E24", second.start(), min(second.end(), second.start() + len(title))
 
 
+def _template(new: str) -> Callable[[re.Match], str]:
+    """A replacement that expands to nothing where it names groups and none took part."""
+    return lambda m: m.expand(new) if m.lastindex or "\\" not in new else ""
+
+
+#: What each check that can replace its match makes of it.
+REPLACE: dict[str, Callable[[re.Match], str]] = {
+    c.check: (lambda m: T.WORDS_C12.get(m.group(), m.group())) if c.replace == "=words" else _template(c.replace) for c in T.POLICY if c.replace is not None
+}
+
+
 def policy_text(text: str) -> list[tuple]:
     """(check, severity, handling, start, end, matched, replacement) outside code and formulas, each span once, by start."""
     kept = [m.span() for m in _PROTECTED.finditer(text)]
@@ -298,8 +309,7 @@ def policy_text(text: str) -> list[tuple]:
     hits: dict[tuple, str | None] = {}
     for c in T.POLICY:
         for m in re.finditer(c.pattern, text) if c.pattern else ():
-            new = T.WORDS_C12.get(m.group(), m.group()) if c.replace == "=words" else None if c.replace is None else m.expand(c.replace) if m.lastindex or "\\" not in c.replace else ""
-            hits.setdefault((m.start(), m.end(), c.check), new)
+            hits.setdefault((m.start(), m.end(), c.check), REPLACE[c.check](m) if c.check in REPLACE else None)
     stacks = ((check, *m.span()) for check, p in _STACKS for m in p.finditer(text))
     for check, a, b in chain(_sentence_checks(text), _title_echo(text), stacks):
         hits.setdefault((a, b, check), None)

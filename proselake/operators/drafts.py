@@ -202,6 +202,14 @@ def document_guard(source: str, output: str) -> dict:
     return out | {"latin": latin(source) != latin(output), "bindings": sorted(set(bound)), "blocked": bool(out["added"] or out["removed"] or out["semantic"] or bound or latin(source) != latin(output))}
 
 
+def autofix_bilingual(text: str) -> tuple[str, int]:
+    """The safe replacements of a text of either or both languages, under the guard of the whole document; the text itself if that objects."""
+    from . import autofix
+
+    out, n = autofix.autofix(text)
+    return (text, 0) if n and document_guard(text, out)["latin"] else (out, n)
+
+
 def legacy_score(source: Column, candidate: Column, before: Column, after: Column, report_only: list[str]) -> Column:
     """Weight that a candidate takes away, less one and a half for each new rule and a share of its change in length; -9000 if it is empty,
     -8800 if its length is out of bounds. ``before`` and ``after`` are maps of rule to weight."""

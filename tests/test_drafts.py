@@ -75,3 +75,8 @@ def test_two_layers(spark):
     docs = spark.createDataFrame([(1, "**重点**内容。说白了，研究有效。"), (2, "Plain English."), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in A.two_layers(docs).collect()}
     assert got[1].after < got[1].before and got[1].code_edits + got[1].safe_edits > 0 and got[2].before == got[2].after
+
+
+def test_autofix_bilingual():
+    assert A.autofix_bilingual("**Bold** BERT 模型，研究。") == ("Bold BERT 模型，研究。", 1)
+    assert A.autofix_bilingual("Plain text.") == ("Plain text.", 0)

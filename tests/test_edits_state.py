@@ -146,6 +146,28 @@ def test_traffic_stream_equals_batch(spark, tmp_path):
     assert got == {(r.day, r.route): r.views for r in relational.traffic_daily(events).collect()}
 
 
+def test_progress_is_told(spark, tmp_path):
+    import time
+
+    from proselake.streaming import progress
+
+    told = []
+    listener = progress.watch(spark, lambda *x: told.append(x))
+    src = str(tmp_path / "src")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(src)
+    q = S.traffic_stream(S.read_events(spark, src)).writeStream.format("memory").queryName("told").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(100)
+    for _ in range(50):
+        if any(x == ("told", None, None) for x in told):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert any(n == "told" and rows for n, _, rows in told) and ("told", None, None) in told
+    steps = []
+    out = progress.staged(spark.range(5), [("a", lambda d: d.where("id > 1")), ("b", lambda d: d.where("id > 2"))], lambda *x: steps.append(x))
+    assert out.count() == 2 and steps == [("a", 1, 2), ("b", 2, 2)]
+
+
 def test_fifo_meets_what_is_required(spark):
     grants = spark.createDataFrame([("a", 1, 5, None), ("a", 2, 7, 10), ("a", 3, 9, 5), ("b", 4, 1, None)], "account string, id int, remaining long, expires long")
     need = spark.createDataFrame([("a", 12), ("b", 5)], "account string, required long")

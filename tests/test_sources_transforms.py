@@ -109,3 +109,23 @@ def test_a_transform_lowers_its_rule(spark, name):
     got = df.select(T.tidy(new).alias("t"), n.alias("n")).first()
     count = lambda t: sum(f[0] == rule for f in D.diagnose_text(t, D.toolkit()))
     assert got.n >= 1 and count(got.t) < count(text)
+
+
+def test_snapshots(spark, tmp_path):
+    from proselake.sources import snapshots
+
+    path = str(tmp_path / "snap")
+    tables_ = {"a": spark.range(100).withColumn("x", F.col("id") % 7).repartition(3), "b": spark.range(3)}
+    receipts = snapshots.write_snapshot(tables_, path)
+    assert receipts.count() >= 4 and {r.state for r in snapshots.verify_snapshot(spark, path, ["a", "b"]).collect()} == {"ok"}
+    back = snapshots.restore(spark, path, ["a", "b"])
+    assert sorted(map(tuple, back["a"].collect())) == [(i, i % 7) for i in range(100)]
+    part = next((tmp_path / "snap" / "a").glob("part-*"))
+    part.write_bytes(part.read_bytes() + b"x")
+    for crc in (tmp_path / "snap" / "a").glob(".part-*.crc"):
+        crc.unlink()
+    next((tmp_path / "snap" / "b").glob("part-*")).unlink()
+    states = {r.state for r in snapshots.verify_snapshot(spark, path, ["a", "b"]).collect()}
+    assert {"different", "missing"} <= states
+    with pytest.raises(ValueError):
+        snapshots.restore(spark, path, ["a", "b"])
