@@ -40,7 +40,7 @@ TOKEN_ROWS = 50_000
 #: Pairs of one hub that one task verifies; a hub of more is copied to as many tasks as it needs.
 HUB_PAIRS = 10_000
 #: Shingle rows that one prefix tree holds on average.
-TREE_ROWS = 5000
+TREE_ROWS = 50_000
 
 
 def _profiles(width: int, keyed: bool):
