@@ -67,16 +67,15 @@ def settle(reservations: DataFrame) -> DataFrame:
     return out.select("job_id", "reserved", F.coalesce("closed", F.lit("open")).alias("state"), "charged", F.when(F.col("closed").isNull(), F.lit(0)).otherwise(F.col("reserved") - F.col("charged")).alias("returned"))
 
 
-def queue_depth(jobs: DataFrame) -> DataFrame:
-    """Jobs waiting when each one comes, itself included, of ``job_id, queued_at, started_at``."""
+def queue_depth(jobs: DataFrame, slot: int = 900) -> DataFrame:
+    """Jobs waiting when each one comes, itself included, of ``job_id, queued_at, started_at``; summed by slots of so many seconds first."""
     come = jobs.select("job_id", F.col("queued_at").alias("at"), F.lit(1).alias("step"))
     go = jobs.where("started_at IS NOT NULL").select(F.lit(None).cast("long").alias("job_id"), F.col("started_at").alias("at"), F.lit(-1).alias("step"))
-    day = F.floor(F.col("at") / 86_400)
-    both = come.unionByName(go).withColumn("day", day)
-    before = both.groupBy("day").agg(F.sum("step").alias("net"))
-    carried = before.withColumn("carried", F.coalesce(F.sum("net").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("day").orderBy("at", "step", F.coalesce("job_id", F.lit(-1))).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("depth", F.sum("step").over(w)).join(carried, "day").where("job_id IS NOT NULL").select("job_id", (F.col("depth") + F.col("carried")).alias("depth"))
+    both = come.unionByName(go).withColumn("slot", F.floor(F.col("at") / slot))
+    before = both.groupBy("slot").agg(F.sum("step").alias("net"))
+    carried = before.withColumn("carried", F.coalesce(F.sum("net").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy("slot").orderBy("at", "step", F.coalesce("job_id", F.lit(-1))).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("depth", F.sum("step").over(w)).join(carried, "slot").where("job_id IS NOT NULL").select("job_id", (F.col("depth") + F.col("carried")).alias("depth"))
 
 
 def challenge(attempts: DataFrame, most: int = 5, seconds: int = 600) -> DataFrame:
