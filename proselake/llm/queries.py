@@ -111,6 +111,16 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id AND q.vec_id % 20 = 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
             SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM r WHERE n <= 20""",
+        "op5_span_dedup": """
+            WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+            w AS (SELECT doc_id, i, hash(b[i:i+399]) AS k FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400)),
+            s AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+            o AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS new FROM s),
+            g AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+            r AS (SELECT doc_id, run, min(i) - 1 AS a, max(i) + 399 AS z FROM g GROUP BY 1, 2),
+            p AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) AS y FROM r),
+            t AS (SELECT d.doc_id, sum(z - a) AS gone, count(*) AS spans, list([a, z] ORDER BY run) AS runs, string_agg(hex(b[y + 1:a]), '' ORDER BY run) || hex(any_value(b)[max(z) + 1:any_value(n)]) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY d.doc_id)
+            SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, hex(b)))) AS kept_sha256, coalesce(runs, []) AS runs, gone IS NOT NULL AS changed FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
         "op7_decontamination": """
             WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
             w AS (SELECT kind, id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM t WHERE text IS NOT NULL AND id IS NOT NULL),
