@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import rules as T
 from ..operators import diagnose as D
+from ..operators import prose as P
 from .review_queries import values
 
 ZH = [
@@ -143,6 +144,24 @@ def policy_hits(spark, d):
     return _hits(D.policy(_texts(spark, POLICY)), "check")
 
 
+def _scored(spark, rows):
+    t = _texts(spark, rows)
+    found = D.diagnose(t).where("rule NOT LIKE 'V-%'")
+    return found, D.scores(found, P.paragraph_segments(t))
+
+
+def rule_scores_zh(spark, d):
+    return _scored(spark, ZH)[1]
+
+
+def rule_scores_en(spark, d):
+    return _scored(spark, EN)[1]
+
+
+def rule_violations(spark, d):
+    return D.violations(*_scored(spark, ZH[:38]))
+
+
 def _count(rule: str, pattern: str) -> str:
     return f"SELECT doc_id, '{rule}' AS rule, len(regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}')) AS hits FROM t"
 
@@ -167,4 +186,23 @@ SQL = {
     "rule_hits_en": _sql(EN, _patterns(T.EN), EN_EXPECTED, [_hedges(L.HEDGES_EN, "lower(text)")] + [_count(r, p) for r, p in _patterns(T.FORMAT).items() if r != "F01"]),
     "policy_hits": _sql(POLICY[:31], {c.check: c.pattern for c in T.POLICY if c.pattern and c.check not in LATER}, POLICY_EXPECTED),
 }
+
+
+def _scores_sql(name: str, texts: list[str], rules) -> str:
+    """Scores of texts of one paragraph, from the hits of their sentence and paragraph rules."""
+    own = values((r.rule, r.weight) for r in rules)
+    return f"""WITH h AS (SELECT h.*, w FROM ({SQL[name]}) h JOIN (VALUES {own}) AS r(name, w) ON rule = name), t(doc_id, text) AS (VALUES {values(enumerate(texts))}),
+        p AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS para FROM t),
+        s AS (SELECT doc_id, list_sort(list(DISTINCT rule)) AS rules, sum(hits * w) AS w FROM h GROUP BY 1)
+        SELECT p.doc_id, para, coalesce(rules, []) AS hit_rules, 0 AS vocab_hits, CAST(coalesce(len(rules), 0) AS INT) AS raw_score, CAST(coalesce(w, 0) AS DOUBLE) AS weighted,
+            CASE WHEN len(rules) >= 4 THEN 'high' WHEN len(rules) >= 2 THEN 'medium' ELSE 'low' END AS level FROM p LEFT JOIN s ON s.doc_id = p.doc_id"""
+
+
+SQL |= {
+    "rule_scores_zh": _scores_sql("rule_hits_zh", ZH, T.ZH),
+    "rule_scores_en": _scores_sql("rule_hits_en", EN, T.EN),
+    "rule_violations": f"""WITH l(name, most) AS (VALUES {values(T.DOCUMENT_LIMITS.items())}), h AS ({SQL['rule_hits_zh']})
+        SELECT doc_id, rule, CAST(hits AS DOUBLE) AS actual, CAST(most AS DOUBLE) AS "limit", CAST(NULL AS INT) AS para FROM h JOIN l ON name = rule WHERE hits > most AND doc_id < 38
+        UNION ALL SELECT doc_id, rule, 1.0, CAST({T.SHARE_LIMITS['P01']} AS DOUBLE), NULL FROM h WHERE rule = 'P01' AND doc_id < 38""",
+}
 QUERIES = {name: globals()[name] for name in SQL}
