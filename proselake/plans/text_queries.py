@@ -188,6 +188,13 @@ SQL = {
         SELECT doc_id, lang, CASE WHEN lang = 'zh' AND l > 0 THEN 'protected' ELSE lang END AS lane FROM p""",
     "latin_islands": f"""SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[\\p{{Latin}}\\x00-\\x7F]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: regexp_matches(x, '[A-Za-z]')) AS islands FROM {TEXT_T}""",
     "tidied_zh": _tidy_sql(),
+    "chunks": """WITH RECURSIVE s AS (SELECT doc_id, string_split_regex(text, '(?s)```.*?(?:```|\\z)|\\$\\$.*?\\$\\$') AS a, regexp_extract_all(text, '(?s)```.*?(?:```|\\z)|\\$\\$.*?\\$\\$') AS b FROM documents),
+        u AS (SELECT doc_id, 2 * i AS seg, a[i] AS text, true AS editable FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM s) UNION ALL SELECT doc_id, 2 * i + 1, b[i], false FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM s)),
+        c AS (SELECT doc_id, seg, -1 AS part, '' AS text, text AS rest FROM u WHERE editable AND len(text) > 0
+            UNION ALL SELECT doc_id, seg, part + 1, substr(rest, 1, cut), substr(rest, cut + 1) FROM (SELECT doc_id, seg, part, rest, CASE WHEN len(rest) <= 3500 THEN len(rest) WHEN nl > 0 THEN 3501 - nl WHEN len(sent) >= 1750 THEN len(sent) ELSE 3500 END AS cut
+                FROM (SELECT doc_id, seg, part, rest, strpos(reverse(substr(rest, 1, 3500)), chr(10)) AS nl, regexp_extract(substr(rest, 1, 3500), '(?s)^(.*[.!?])\\s', 1) AS sent FROM c WHERE len(rest) > 0))),
+        p AS (SELECT doc_id, seg, part, text, true AS editable FROM c WHERE part >= 0 UNION ALL SELECT doc_id, seg, 0, text, false FROM u WHERE NOT editable)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg, part) - 1 AS INT) AS chunk, text, editable FROM p""",
     "ablations": _ablation_sql(),
     "visible_chars": "SELECT doc_id, len(regexp_replace(text, '[\\s\\p{Z}\\p{Cc}\\x{AD}\\x{180E}\\x{200B}-\\x{200D}\\x{202A}-\\x{202E}\\x{2060}\\x{2066}-\\x{2069}\\x{FEFF}\\x{FE00}-\\x{FE0F}]', '', 'g')) AS n FROM documents",
     "merged_lines": "SELECT * FROM (VALUES (CAST(0 AS BIGINT), ['本文研究了一个重要的问题并且给出了方法。', '1. 引言', 'The method is described here']), (1, []), (2, ['only line']), (3, ['- item one', '- item two'])) AS t(page, paragraphs)",
@@ -208,6 +215,6 @@ SQL = {
             FROM b JOIN t USING (variant) WHERE a + b > 0 GROUP BY variant)
         SELECT *, coalesce(target_drop / nullif(target_drop + collateral, 0), 0) AS purity FROM s""",
 }
-#: Without SQL: sequence matching and cutting along a text.
-OPEN = (diagnose_findings, diagnose_scores, diagnose_violations, policy_findings, chunks, diff_runs, similarity_ratio, guard_compare)
+#: Without SQL: sequence matching, and all rules over whole tables (their hits are compared on fixed texts).
+OPEN = (diagnose_findings, diagnose_scores, diagnose_violations, policy_findings, diff_runs, similarity_ratio, guard_compare)
 QUERIES = {f.__name__: f for f in OPEN} | {name: globals()[name] for name in SQL}
