@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import rules as T
-from ..functions import text as X
 from ..operators import drafts as A
 from ..operators import edits as E
 from ..operators import prose as P
