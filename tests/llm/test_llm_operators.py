@@ -544,7 +544,7 @@ def test_packing_counts_is_best_fit_decreasing():
     for capacity in (97, 150, 400):
         sizes = [rng.randrange(1, 90) for _ in range(500)] + [7] * 40
         falling = sorted(set(sizes), reverse=True)
-        runs = sharding.fill(falling, [sizes.count(s) for s in falling], capacity, 10**6)
+        runs = sharding.fill(np.array(falling), np.array([sizes.count(s) for s in falling]), capacity, 10**6).tolist()
         by_item, by_run = {}, {}
         for s, b in zip(sizes, sharding.best_fit_decreasing(sizes, capacity), strict=True):
             by_item.setdefault(b, []).append(s)
