@@ -33,8 +33,8 @@ WINDOW, STRIDE = 12, 8
 STATIC, LEARNED = 4, 6
 HIDDEN, INPUTS, POOL = 6, STATIC + 2 * LEARNED, 6
 TABLE, VECTORS = 1 << 20, 1 << 16
-#: Windows that one pass scores.
-PASS = 4096
+#: Bytes of text that are read at once, and windows that one pass scores.
+READ, PASS = 1 << 18, 4096
 #: Strength of the prior that a gram says nothing.
 PRIOR = 4.0
 SEED = 7
@@ -94,7 +94,7 @@ def read_words(data: np.ndarray, at: np.ndarray) -> Words:
 def read_all(texts: list[bytes]) -> Words:
     """The words of texts that are read in blocks."""
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    parts = [read_words(np.frombuffer(b"".join(texts[a:b]), np.uint8), at[a : b + 1] - at[a]) for a, b in blocks(at)]
+    parts = [read_words(np.frombuffer(b"".join(texts[a:b]), np.uint8), at[a : b + 1] - at[a]) for a, b in blocks(at, READ)]
     if not parts:
         return read_words(np.zeros(0, np.uint8), np.zeros(1, np.int64))
     key, first, number = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
@@ -514,7 +514,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scores(model: Model, column: pa.Array) -> np.ndarray:
     data, at = utf8(column)
-    out = [model.score(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in blocks(at)]
+    out = [model.score(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in blocks(at, READ)]
     return np.concatenate(out) if out else np.zeros(0)
 
 
