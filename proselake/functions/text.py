@@ -25,6 +25,10 @@ CONTROL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]"
 ODD_SPACE = r"[\x{2000}-\x{200A}\x{202F}\x{205F}]"
 
 
+#: Unicode's white space but for the line feed.
+WHITE = "\t\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

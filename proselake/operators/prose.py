@@ -82,8 +82,8 @@ def document_summary(docs: DataFrame, found: DataFrame, severity: dict[str, str]
     else:
         hit = in_paragraph(found, paragraph_segments(docs)).groupBy("doc_id").agg(F.count_distinct("para").alias("n_affected"))
         counts = named.groupBy("doc_id").agg(*kinds).join(hit, "doc_id", "left")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(X.strip(x)) > 0)
-    size = docs.select("doc_id", F.length(F.regexp_replace("text", r"(?U)\s", "")).alias("n_chars"), F.size(lines).alias("n_paragraphs"))
+    dense = docs.select("doc_id", F.translate("text", X.WHITE, "").alias("t"))  # line feeds stay
+    size = dense.select("doc_id", F.length(F.replace("t", F.lit("\n"))).alias("n_chars"), F.size(F.array_remove(F.split("t", "\n"), "")).alias("n_paragraphs"))
     out = size.join(counts, "doc_id", "left").fillna(0)
     out = out.select("doc_id", "n_chars", "n_paragraphs", "n_high", "n_medium", "n_low", "n_affected")
     status = F.when((F.col("n_high") >= 2) | (F.col("n_high") + F.col("n_medium") >= 6), "needs_work")
