@@ -63,6 +63,7 @@ BOUNDS = {
     "<": ["低于", "小于", "less than", "fewer than", "below", "under"],
     "=": ["等于", "equal to", "exactly"],
     "~": ["大约", "约", "接近", "approximately", "about", "around", "roughly", "nearly"],
+    "only:": ["仅", "只有", "only"],
 }
 # Comparisons and equations in signs, and verbs of going together and of causing.
 COMPARATOR = r"(?:<=|>=|≤|≥|＜|＞|≦|≧|<|>)\s*(?:[+\-−]?\d+(?:[.,]\d+)*\s*%?|[A-Za-z][A-Za-z0-9_]*)"
