@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clause_words as W
 from ..functions import markers as M
 from ..operators import clauses as C
+from ..operators import moves as V
 from ..operators import prose as P
 from ..sources.tables import table
 
@@ -27,6 +28,14 @@ def clause_bindings(spark, d):
     return rows.select("doc_id", "at", *lists, F.size("terms").alias("n_terms"), "skeleton")
 
 
+def moved_sentences(spark, d):
+    lines = F.reverse(F.split(F.lower(F.regexp_replace("text", r"\. ", "! ")), "\n"))
+    loose = F.transform(lines, lambda x, i: F.when(i % 6 == 2, F.regexp_replace(F.regexp_replace(x, "(th|en)([a-z])([a-z])", "$1$3"), "ion", "o")).otherwise(x))
+    later = F.array_join(loose, "\n")
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return V.moved_sentences(docs.select("doc_id", F.regexp_replace("text", r"\. ", "! ").alias("text"), later.alias("later")), ["doc_id"], "text", "later")
+
+
 NOT = "[^\\p{L}\\p{N}_]"
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
@@ -121,5 +130,15 @@ SQL = {
     "clause_bindings": f"""WITH {_profiled("SELECT doc_id, 0 AS side, text FROM documents", "doc_id")}
         SELECT doc_id, CAST(pos AS INT) AS "at", array_to_string(numbers, '|') AS numbers, array_to_string(labels, '|') AS labels, array_to_string(bindings, '|') AS bindings, array_to_string(directed, '|') AS directed, array_to_string(bounds, '|') AS bounds,
             CAST(len(terms) AS INT) AS n_terms, skeleton FROM g WHERE sensitive""",
+    "moved_sentences": """WITH d AS (SELECT doc_id, regexp_replace(text, '[.] ', '! ', 'g') AS text, list_reverse(string_split(lower(regexp_replace(text, '[.] ', '! ', 'g')), chr(10))) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        v AS (SELECT doc_id, text, array_to_string(list_transform(l, lambda x, i: CASE WHEN i % 6 = 3 THEN regexp_replace(regexp_replace(x, '(th|en)([a-z])([a-z])', '\\1\\3', 'g'), 'ion', 'o', 'g') ELSE x END), chr(10)) AS later FROM d),
+        t AS (SELECT doc_id, 0 AS side, string_split_regex(text, chr(10) || '+') AS p FROM v UNION ALL SELECT doc_id, 1, string_split_regex(later, chr(10) || '+') FROM v),
+        p AS (SELECT doc_id, side, unnest(range(len(p))) AS para, unnest(p) AS text FROM t),
+        u AS (SELECT DISTINCT doc_id, side, para, unit FROM (SELECT doc_id, side, para, unnest(list_transform(regexp_extract_all(text, '[^\\n。！？!?]+'), lambda x: regexp_replace(lower(x), '[^\\x{4e00}-\\x{9fff}a-z0-9]', '', 'g'))) AS unit FROM p) WHERE len(unit) >= 6),
+        o AS (SELECT doc_id, unit, min(para) AS para FROM u WHERE side = 0 GROUP BY 1, 2 HAVING min(para) = max(para)),
+        x AS (SELECT o.doc_id, o.para, o.unit, bool_or(u.para = o.para AND levenshtein(o.unit, u.unit) * 100 <= greatest(len(o.unit), len(u.unit)) * 28) AS kept,
+            bool_or(u.para <> o.para AND (contains(o.unit, u.unit) OR contains(u.unit, o.unit) OR levenshtein(o.unit, u.unit) * 100 <= greatest(len(o.unit), len(u.unit)) * 18)) AS found
+            FROM o JOIN u ON u.doc_id = o.doc_id AND u.side = 1 GROUP BY 1, 2, 3)
+        SELECT doc_id, CAST(para AS INT) AS para, unit FROM x WHERE found AND NOT kept""",
 }
 QUERIES = {name: globals()[name] for name in SQL}
