@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import paged as G
 from ..sources.tables import table
 from ..streaming import orders as O
 
@@ -31,7 +32,27 @@ def order_entitlements(spark, d):
     return O.settled(payment_events(spark, d))
 
 
+SECRET = "of these queries only"
+_INNER, _OUTER = (bytes(b ^ x for b in SECRET.encode().ljust(64, b"\0")) for x in (0x36, 0x5C))
+
+
+def signed_events(spark, d):
+    """Events as signed bodies, of which some were changed, some have no header and some are old."""
+    body = F.concat_ws("|", "event_id", "event_type", "props")
+    at = F.unix_timestamp("ts").cast("string")
+    inner = F.unhex(F.sha2(F.concat(F.lit(_INNER), F.encode(F.concat_ws(".", at, body), "utf-8")), 256))
+    header = F.concat(F.lit("t="), at, F.lit(",v1="), F.sha2(F.concat(F.lit(_OUTER), inner), 256))
+    sent = F.when(F.col("event_id") % 5 == 1, F.concat(body, F.lit(" "))).otherwise(body)
+    now = F.unix_timestamp("ts") + F.when(F.col("event_id") % 7 == 2, 301).otherwise(300)
+    e = table(spark, d, "events").select("event_id", sent.alias("body"), F.when(F.col("event_id") % 11 != 3, header).alias("header"), now.alias("now"))
+    return e.select("event_id", G.signature(F.col("body"), F.col("header"), F.col("now"), ["former", SECRET]).alias("state"))
+
+
 SQL = {
+    "signed_events": f"""WITH e AS (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS t, concat_ws('|', event_id, event_type, props) AS body FROM events),
+        h AS (SELECT event_id, t, body, sha256(from_hex('{_OUTER.hex()}') || from_hex(sha256(from_hex('{_INNER.hex()}') || encode(t || '.' || body)))) AS sent FROM e),
+        g AS (SELECT *, sha256(from_hex('{_OUTER.hex()}') || from_hex(sha256(from_hex('{_INNER.hex()}') || encode(t || '.' || CASE WHEN event_id % 5 = 1 THEN body || ' ' ELSE body END)))) AS got FROM h)
+        SELECT event_id, CASE WHEN event_id % 11 = 3 THEN 'missing' WHEN sent <> got THEN 'invalid' WHEN event_id % 7 = 2 THEN 'stale' ELSE 'valid' END AS state FROM g""",
     "order_entitlements": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderkey AS n, CASE WHEN o_orderstatus = 'P' THEN 'expired' ELSE 'paid' END AS s, CAST(floor(o_totalprice * 100) AS BIGINT) AS c FROM orders),
         l AS (SELECT CAST(l_orderkey AS VARCHAR) AS k, l_returnflag AS f, l_linenumber AS i, CAST(floor(l_extendedprice * 100) AS BIGINT) AS c, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
         g AS (SELECT k, coalesce(sum(c) FILTER (f = 'R' AND i <> 2), 0) AS back, coalesce(sum(q) FILTER (f = 'A'), 0) AS used, count(*) FILTER (f = 'R') AS refunds FROM l GROUP BY k),
