@@ -269,11 +269,11 @@ def test_html(spark):
     assert {k: html_text.extract(k) for k in cases} == cases
     rows = [(i, "http://h.example/1", PAGE.format(n=i)) for i in range(4)] + [(9, None, None), (None, "x", ""), (10, "http://o.example", PAGE.format(n=7))]
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[2] == ("Head 2\nBody 2 & more\nSecond 2", 29) and got[9] == ("", 0) and got[10][0].startswith("Head 7\nShare")
+    assert got[2] == ("Head 2\nShare this page\nBody 2 & more\nSecond 2", 45) and got[9] == ("", 0) and got[10][0].startswith("Head 7\nShare")
 
 
 def test_template_counts_every_page(spark):
-    page = "<body><article>{x}<h1>Head {n}</h1>" + "<p>Own {n} words</p>" * 2 + "{more}</article></body>"
+    page = "<body><div>{x}<h1>Head {n}</h1>" + "<p>Own {n} words</p>" * 2 + "{more}</div></body>"
     notice, rare = "<p>Share this page</p>", "<p>Only some</p>"
     rows = [(i, "http://copies.example/", page.format(n=i % 4, x=notice, more="")) for i in range(40)]  # each page ten times
     rows += [(100 + i, "http://most.example/", page.format(n=i, x=notice if i % 8 else "", more="<p>Extra</p>" * (i % 3) + (rare if i % 9 < 4 else ""))) for i in range(72)]
@@ -293,6 +293,34 @@ def test_template_is_dropped_where_it_stands(spark):
     assert html_text.extract('<body><div>Menu</div><article class="post comment-open has-sidebar"><p>Real text</p></article></body>') == "Real text"
 
 
+def test_articles_keep_shared_blocks_and_names_must_fit(spark):
+    page = "<body><article><h2>Summary</h2><p>Own {n}</p></article><div><p>Shared</p></div></body>"
+    rows = [(i, "http://h.example/", page.format(n=i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Summary\nOwn {i}" for i in range(6)}
+    kept = '<div class="share-price">12 EUR</div><div id="reply-rates">high</div><p class="first notice-board-history">x</p>'
+    gone = '<div class="main-nav">a</div><div id="sidebar-right">b</div><div class="x ad-slot">c</div><ul class="related-posts"><li>d</li></ul><div id=cookie-banner>e</div><div class="site_footer">f</div>'
+    assert html_text.extract(f"<body>{kept}{gone}</body>") == "12 EUR\nhigh\nx"
+    deep = "<body><article>" + "<div>" * 3000 + "<nav>MENU</nav><p>Text" + "</div>" * 3000 + "<p>End</article>"
+    assert html_text.extract(deep) == "Text\nEnd"
+
+
+def test_slots_without_any_list(monkeypatch):
+    """With no element and no name taken for anything, what varies at aligned places is the text of pages of three hosts."""
+    monkeypatch.setattr(html_text, "OUTSIDE", set())
+    monkeypatch.setattr(html_text, "NAMES", set())
+    monkeypatch.setattr(html_text, "ROLES", set())
+    hosts = [
+        "<body><ul><li>Home</li><li>News</li></ul><div><h1>{t}</h1><p>{a}</p><p>{b}</p></div><div>Imprint</div></body>",
+        "<body><nav><a>Home</a></nav><table><tr><td>Links</td><td><p>{t}</p><p>{a}</p><p>{b}</p></td></tr></table><footer>All rights</footer></body>",
+        "<body><header>Brand</header><div><div>Advert</div><section><h2>{t}</h2>{a}<p>{b}</p></section></div><form>Search</form></body>",
+    ]
+    for h in hosts:
+        pages = [h.format(t=f"Title {i}", a=f"First {i}", b=f"Second {i}") for i in range(5)]
+        template = {html_text.block_key(path, t) for page in pages for path, t, _, _ in html_text.parse(page)[1] if t in html_text.induce(pages)}
+        assert [html_text.extract(page, template) for page in pages] == [f"Title {i}\nFirst {i}\nSecond {i}" for i in range(5)]
+
+
 def test_tree_matching_like_brute_force():
     rng = random.Random(7)
 
@@ -326,7 +354,8 @@ def test_deep_wide_and_empty_pages(spark):
     rows += [(20 + i, "http://empty.example/", h) for i, h in enumerate(["", None, "<p>x</p>", "<", "<p></p>"])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
-    assert got[1] == "Deep 1\nAfter 1" and got[11] == "\n".join(f"Line {i} of 1" for i in range(7500))
+    assert got[1] == "Deep 1\nShare\nAfter 1"  # an article keeps what all pages of the host share
+    assert got[11] == "\n".join(["Share"] * 300 + [f"Line {i} of 1\nSame {i}" for i in range(7500)])
     assert [got[20 + i] for i in range(5)] == ["", "", "x", "<", ""]
     assert html_text.main_text(df.where("false")).count() == 0
 
