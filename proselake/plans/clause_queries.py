@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clause_words as W
 from ..functions import markers as M
 from ..operators import clauses as C
+from ..operators import edit_table as T
 from ..operators import moves as V
 from ..operators import prose as P
 from ..sources.tables import table
@@ -36,6 +37,36 @@ def moved_sentences(spark, d):
     return V.moved_sentences(docs.select("doc_id", F.regexp_replace("text", r"\. ", "! ").alias("text"), later.alias("later")), ["doc_id"], "text", "later")
 
 
+#: Rules of the edit queries: two overlap, three count as low.
+EDITS = {"close": ("[%&]{1,2}[.]", "."), "gap": (" {2,}", " "), "mark": ("[#*$%&|<>]{3,}", ""), "pair": ("uthe|theou", "t"), "stop": ("[.]{2,}", "."), "word": ("outh", "oth")}
+LOW = ["gap", "mark", "stop"]
+
+
+def _edited(spark, d):
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    terms = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]*outh[a-z]*"), F.lit(0))), 1, 5)
+    found = T.edits_of(docs.withColumn("terms", terms), EDITS, ["doc_id", "terms"])
+    kept = F.coalesce(T.within_budget(F.col("edits"), F.col("text"), LOW), F.col("edits"))
+    kept = found.withColumn("edits", kept).withColumn("edits", T.keeping_terms(F.col("edits"), F.col("text"), F.col("terms")))
+    return kept.withColumn("edits", T.without_overlaps(F.col("edits"))).withColumn("result", T.applied(F.col("text"), F.col("edits")))
+
+
+def edited_documents(spark, d):
+    return _edited(spark, d).select("doc_id", F.size("edits").alias("n_edits"), F.md5("result").alias("result"))
+
+
+def document_edits(spark, d):
+    return _edited(spark, d).select("doc_id", F.explode("edits").alias("e")).select("doc_id", "e.start", "e.end", "e.rule", "e.new")
+
+
+def followed_words(spark, d):
+    """Words in capitals, found in the old text, at their places in the new one."""
+    made = _edited(spark, d)
+    found = made.select("doc_id", F.explode(T.found_edits(F.col("text"), "[A-Z][a-z]{3,}", "", "name")).alias("e")).select("doc_id", "e.start", "e.end")
+    there = T.followed(found, made, ["doc_id"]).join(made.select("doc_id", "result"), "doc_id")
+    return there.select("doc_id", "start", "new_start", F.substr("result", F.col("new_start") + 1, F.col("new_end") - F.col("new_start")).alias("word"))
+
+
 NOT = "[^\\p{L}\\p{N}_]"
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
@@ -123,7 +154,37 @@ _REASONS = [
     "CASE WHEN len(terms) >= 2 AND terms <> b.terms AND list_sort(terms) = list_sort(b.terms) THEN 'order' END",
 ]
 
+def _spans(pattern: str, name: str) -> str:
+    """(doc_id, start, end, name) of every match, by the lengths of what stands between matches."""
+    m, b = f"regexp_extract_all(text, '{pattern}')", f"string_split_regex(text, '{pattern}')"
+    return f"""SELECT doc_id, '{name}' AS name, CAST(sum(len(b) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) - len(m) AS INT) AS a, CAST(sum(len(b) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS z
+        FROM (SELECT doc_id, unnest({m}) AS m, unnest({b}[1:len({m})]) AS b, unnest(range(len({m}))) AS i FROM d)"""
+
+
+_LOWS = ", ".join(map(repr, LOW))
+_NEWS = "CASE name " + " ".join(f"WHEN '{k}' THEN '{new}'" for k, (_, new) in EDITS.items()) + " END"
+_EDITED = f"""WITH RECURSIVE d AS (SELECT doc_id, text, list_distinct([]::VARCHAR[]) AS none FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        f AS ({" UNION ALL ".join(_spans(p, k) for k, (p, _) in EDITS.items())}),
+        n AS (SELECT doc_id, name, count(*) AS n FROM f WHERE name IN ({_LOWS}) GROUP BY 1, 2),
+        l AS (SELECT n.*, sum(n) OVER (PARTITION BY doc_id) AS total, sum(n) OVER (PARTITION BY doc_id ORDER BY n, name) AS upto, greatest(1, round_even(len(text) / 1000 * 3, 0)) AS budget FROM n JOIN d USING (doc_id)),
+        x AS (SELECT doc_id, name FROM l WHERE total <= budget OR total - upto >= budget),
+        t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]*outh[a-z]*')) AS t, generate_subscripts(regexp_extract_all(text, '[a-z]*outh[a-z]*'), 1) AS i FROM d),
+        u AS (SELECT doc_id, t FROM (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS k FROM t GROUP BY 1, 2) WHERE k <= 5),
+        g AS (SELECT f.*, {_NEWS} AS new FROM f ANTI JOIN x ON x.doc_id = f.doc_id AND x.name = f.name),
+        o AS (SELECT doc_id, name, string_agg(text[a + 1:z], chr(10) ORDER BY a) AS old, string_agg(new, chr(10) ORDER BY a) AS put FROM g JOIN d USING (doc_id) GROUP BY 1, 2),
+        y AS (SELECT DISTINCT o.doc_id, o.name FROM o JOIN u USING (doc_id) JOIN d USING (doc_id) WHERE len(string_split(old, t)) >= len(string_split(text, t)) AND NOT contains(put, t)),
+        h AS (SELECT g.*, row_number() OVER (PARTITION BY g.doc_id ORDER BY a, z DESC, g.name) AS k FROM g ANTI JOIN y ON y.doc_id = g.doc_id AND y.name = g.name),
+        r AS (SELECT doc_id, k, z AS upto, true AS kept FROM h WHERE k = 1
+            UNION ALL SELECT h.doc_id, h.k, CASE WHEN h.a >= r.upto THEN h.z ELSE r.upto END, h.a >= r.upto FROM r JOIN h ON h.doc_id = r.doc_id AND h.k = r.k + 1),
+        e AS (SELECT h.doc_id, a, z, name, new, lag(z, 1, 0) OVER (PARTITION BY h.doc_id ORDER BY a) AS y FROM h JOIN r ON r.doc_id = h.doc_id AND r.k = h.k AND kept),
+        p AS (SELECT e.doc_id, count(*) AS n, string_agg(text[y + 1:a] || new, '' ORDER BY a) || any_value(text)[max(z) + 1:] AS result FROM e JOIN d USING (doc_id) GROUP BY 1)"""
+
 SQL = {
+    "edited_documents": f"""{_EDITED} SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS n_edits, md5(coalesce(result, text)) AS result FROM d LEFT JOIN p ON p.doc_id = d.doc_id""",
+    "document_edits": f"""{_EDITED} SELECT doc_id, a AS start, z AS "end", name AS rule, new FROM e""",
+    "followed_words": f"""{_EDITED}, w AS ({_spans("[A-Z][a-z]{3,}", "word")}),
+        m AS (SELECT w.doc_id, w.a, w.z, coalesce(sum(len(e.new) - (e.z - e.a)) FILTER (e.z <= w.a), 0) AS shift, coalesce(bool_or(e.a < w.z AND w.a < e.z), false) AS touched FROM w LEFT JOIN e ON e.doc_id = w.doc_id GROUP BY 1, 2, 3)
+        SELECT doc_id, a AS start, CAST(a + shift AS INT) AS new_start, text[a + 1:z] AS word FROM m JOIN d USING (doc_id) WHERE NOT touched""",
     "clause_alignment": f"""{_BEST} SELECT conv_id, turn, CAST(pos AS INT) AS "at", CAST("to" AS INT) AS "to", round(score, 9) AS score FROM r WHERE k = 1""",
     "local_changes": f"""{_BEST}, z AS (SELECT conv_id, turn, pos, "to", CASE WHEN "to" IS NULL THEN 'missing' ELSE concat_ws(', ', {", ".join(_REASONS)}) END AS reasons FROM r WHERE k = 1)
         SELECT conv_id, turn, CAST(pos AS INT) AS "at", CAST("to" AS INT) AS "to", reasons FROM z WHERE reasons <> ''""",
