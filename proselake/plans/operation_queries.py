@@ -216,14 +216,14 @@ def money_text(spark, d):
 
 
 def guarded_saves(spark, d):
-    return O.guarded_saves(_events(spark, d).select((F.col("user_id") % 50).alias("doc_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("expected"), F.col("event_type").alias("text")))
+    return O.guarded_saves(_events(spark, d).select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("expected"), F.col("event_type").alias("text")))
 
 
 def order_states(spark, d):
     e = table(spark, d, "events").withColumn("k", F.floor(F.col("event_id") / 2))
     kind = F.expr("CASE WHEN k % 3 = 0 THEN 'payment' ELSE 'refund' END")
     status = F.expr("CASE WHEN k % 3 = 0 THEN CASE k % 4 WHEN 2 THEN 'expired' WHEN 3 THEN 'failed' ELSE 'paid' END ELSE CASE WHEN k % 5 < 3 THEN 'succeeded' ELSE 'failed' END END")
-    e = e.select(F.col("k").cast("string").alias("event_id"), (F.col("k") % 300).cast("string").alias("order_id"), kind.alias("kind"), status.alias("status"), (F.col("user_id") % 2 * 100 + 50).cast("long").alias("amount"), F.concat(F.lit("r"), F.col("k") % 7).alias("ref"), F.timestamp_seconds("event_id").alias("ts"))
+    e = e.select(F.col("k").cast("string").alias("event_id"), F.floor(F.col("k") / 7).cast("string").alias("order_id"), kind.alias("kind"), status.alias("status"), (F.col("user_id") % 2 * 100 + 50).cast("long").alias("amount"), F.concat(F.lit("r"), F.col("k") % 7).alias("ref"), F.timestamp_seconds("event_id").alias("ts"))
     return S.orders_batch(e)
 
 
@@ -333,7 +333,7 @@ SQL = {
     "model_bench": f"""WITH r AS (SELECT event_type AS model, avg(CAST(cents % 50 AS DOUBLE)) AS "drop", avg(CAST(user_id % 2 = 0 AS DOUBLE)) AS accept, avg(CAST(event_id % 3 AS DOUBLE)) AS lost, avg(CAST(event_id % 5 AS DOUBLE)) AS new,
             avg(CAST(event_id % 4 AS DOUBLE)) AS ratio, CAST(sum(cents) AS BIGINT) AS tokens FROM ({EVENTS}) GROUP BY 1)
         SELECT *, CASE model WHEN 'click' THEN CAST(2 AS DOUBLE) WHEN 'view' THEN CAST(4 AS DOUBLE) END AS price_per_million, tokens * CASE model WHEN 'click' THEN CAST(2 AS DOUBLE) WHEN 'view' THEN CAST(4 AS DOUBLE) END / 1000000 AS cost FROM r""",
-    "order_states": """WITH e AS (SELECT event_id AS n, event_id // 2 AS k, event_id // 2 % 300 AS o, CASE WHEN event_id // 2 % 3 = 0 THEN 'payment' ELSE 'refund' END AS kind,
+    "order_states": """WITH e AS (SELECT event_id AS n, event_id // 2 AS k, event_id // 2 // 7 AS o, CASE WHEN event_id // 2 % 3 = 0 THEN 'payment' ELSE 'refund' END AS kind,
             CASE WHEN event_id // 2 % 3 = 0 THEN CASE event_id // 2 % 4 WHEN 2 THEN 'expired' WHEN 3 THEN 'failed' ELSE 'paid' END ELSE CASE WHEN event_id // 2 % 5 < 3 THEN 'succeeded' ELSE 'failed' END END AS status,
             user_id % 2 * 100 + 50 AS amount, event_id // 2 % 7 AS ref FROM events),
         f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS i, first_value(amount) OVER (PARTITION BY k ORDER BY n) AS first FROM e),
@@ -343,7 +343,7 @@ SQL = {
         x AS (SELECT p.*, CASE WHEN paid IS NULL THEN 0 ELSE coalesce(back, 0) END AS refunded FROM p LEFT JOIN t ON t.o = p.o)
         SELECT CAST(o AS VARCHAR) AS order_id, CASE WHEN paid IS NULL THEN coalesce(closed, 'pending') WHEN refunded >= paid THEN 'refunded' WHEN refunded > 0 THEN 'partially_refunded' ELSE 'paid' END AS status,
             CAST(coalesce(paid, 0) AS BIGINT) AS amount, CAST(refunded AS BIGINT) AS refunded, duplicates, conflicts FROM x""",
-    "guarded_saves": """WITH RECURSIVE e AS (SELECT user_id % 50 AS doc_id, event_id AS seq, event_id % 3 AS expected, event_type AS t, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS n FROM events),
+    "guarded_saves": """WITH RECURSIVE e AS (SELECT user_id AS doc_id, event_id AS seq, event_id % 3 AS expected, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
         f AS (SELECT doc_id, 0 AS n, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS rev, CAST(NULL AS VARCHAR) AS t, false AS taken FROM e WHERE n = 1
             UNION ALL SELECT e.doc_id, e.n, e.seq, CASE WHEN e.expected = f.rev AND e.t IS DISTINCT FROM f.t THEN f.rev + 1 ELSE f.rev END, CASE WHEN e.expected = f.rev THEN e.t ELSE f.t END, e.expected = f.rev FROM f JOIN e ON e.doc_id = f.doc_id AND e.n = f.n + 1)
         SELECT doc_id, seq, rev AS revision, taken FROM f WHERE n > 0""",

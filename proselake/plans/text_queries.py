@@ -74,7 +74,7 @@ def effect_weights(spark, d):
 def purity(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 31).alias("variant"), F.col("event_type").alias("rule"), "event_id")
     before = e.where("event_id % 2 = 0").groupBy("variant", "rule").agg(F.count("*").alias("n"))
-    after = e.where("event_id % 3 = 0").groupBy("variant", "rule").agg(F.count("*").alias("n"))
+    after = e.where("event_id % 2 = 1").groupBy("variant", "rule").agg(F.count("*").alias("n"))
     return X.purity(before, after, e.groupBy("variant").agg(F.min("rule").alias("target")))
 
 
@@ -143,7 +143,7 @@ def first_occurrences(spark, d):
 
 def ordered_items(spark, d):
     p = P.turn_pairs(table(spark, d, "conversations"))
-    p = p.withColumn("items", F.slice(F.regexp_extract_all("src", F.lit("[A-Z][a-z]"), F.lit(0)), 1, 3))
+    p = p.withColumn("items", F.regexp_extract_all("src", F.lit("[A-Z][a-z]"), F.lit(0)))
     return p.select("conv_id", "turn", A.in_order("items", "out").alias("ordered"))
 
 
@@ -204,13 +204,14 @@ SQL = {
         SELECT b.detector, bases, all_variants, coalesce(rules, 0) AS rules, coalesce(thin, 0) AS thin, CASE WHEN bases >= 5 AND all_variants >= 5 AND coalesce(thin, 0) * 2 <= coalesce(rules, 0) THEN 'final' ELSE 'draft' END AS status FROM b LEFT JOIN p ON p.detector = b.detector""",
     "first_occurrences": f"""WITH f AS (({_spans('a', '[0-9]+')}) UNION ALL ({_spans('b', '[0-9]')})), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY start, "end", rule) AS n FROM f)
         SELECT doc_id, rule, start, "end", matched FROM r WHERE n = 1""",
-    "ordered_items": """WITH p AS (SELECT conv_id, turn, out, regexp_extract_all(src, '[A-Z][a-z]')[1:3] AS i FROM (SELECT conv_id, turn, text AS src, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS out FROM conversations) WHERE out IS NOT NULL),
-        a AS (SELECT *, CASE WHEN len(i) < 1 THEN 1 ELSE strpos(out, i[1]) END AS x FROM p), b AS (SELECT *, CASE WHEN len(i) < 2 THEN 1 WHEN x = 0 THEN 0 ELSE strpos(substr(out, x + 2), i[2]) END AS y FROM a),
-        c AS (SELECT *, CASE WHEN len(i) < 3 THEN 1 WHEN x = 0 OR y = 0 THEN 0 ELSE strpos(substr(out, x + y + 3), i[3]) END AS z FROM b) SELECT conv_id, turn, x > 0 AND y > 0 AND z > 0 AS ordered FROM c""",
+    "ordered_items": """WITH RECURSIVE p AS (SELECT conv_id, turn, out, regexp_extract_all(src, '[A-Z][a-z]') AS i FROM (SELECT conv_id, turn, text AS src, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS out FROM conversations) WHERE out IS NOT NULL),
+        r AS (SELECT conv_id, turn, i, 0 AS k, out AS rest, true AS ok FROM p
+            UNION ALL SELECT conv_id, turn, i, k + 1, substr(rest, strpos(rest, i[k + 1]) + 2), ok AND strpos(rest, i[k + 1]) > 0 FROM r WHERE k < len(i))
+        SELECT conv_id, turn, ok AS ordered FROM r WHERE k = len(i)""",
     "grant_recalc_live": """SELECT o_orderkey AS grant_id, CASE WHEN o_orderstatus = 'P' OR (o_orderkey % 3 = 0 AND o_orderkey <= 900) THEN 7 ELSE CAST(greatest(0, 200 - o_orderkey % 50 - coalesce(used, 0)) AS BIGINT) END AS remaining FROM orders
         LEFT JOIN (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS used FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) ON l_orderkey = o_orderkey""",
     "purity": """WITH e AS (SELECT user_id % 31 AS variant, event_type AS rule, event_id FROM events), t AS (SELECT variant, min(rule) AS target FROM e GROUP BY variant),
-        b AS (SELECT variant, rule, count(*) FILTER (event_id % 2 = 0) AS a, count(*) FILTER (event_id % 3 = 0) AS b FROM e GROUP BY variant, rule),
+        b AS (SELECT variant, rule, count(*) FILTER (event_id % 2 = 0) AS a, count(*) FILTER (event_id % 2 = 1) AS b FROM e GROUP BY variant, rule),
         s AS (SELECT variant, CAST(sum(CASE WHEN rule = target THEN greatest(0, a - b) ELSE 0 END) AS BIGINT) AS target_drop, CAST(sum(CASE WHEN rule = target THEN 0 ELSE abs(a - b) END) AS BIGINT) AS collateral
             FROM b JOIN t USING (variant) WHERE a + b > 0 GROUP BY variant)
         SELECT *, coalesce(target_drop / nullif(target_drop + collateral, 0), 0) AS purity FROM s""",
