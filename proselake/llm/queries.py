@@ -58,7 +58,7 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every text, learned from rows that are not held out."""
+    """Scores of every text, learned from rows that are not held out; nulls, empty, long and repeated texts as in toxicity_scores."""
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
@@ -68,17 +68,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row by the law ``bytes``."""
+    """Shard and slot of every row by the law ``bytes``; nulls, empty tables and repeats as in shard_documents."""
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document; null sources and texts, empty tables and repeats as in mix_documents."""
     return mix_documents(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of every page by the rules, else by trees learned from the URLs of url_seeds."""
+    """Verdicts of every page by the rules, else by trees learned from the URLs of url_seeds; null and odd urls as in judge_urls."""
     labelled = spark.createDataFrame(seeds(), "url string, blocked int")
     return judge_urls(_table(spark, sf_dir, "pages"), labelled, URL_RULES)
 
