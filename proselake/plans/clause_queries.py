@@ -10,6 +10,7 @@ from ..operators import clauses as C
 from ..operators import edit_table as T
 from ..operators import moves as V
 from ..operators import prose as P
+from ..operators import runs as R
 from ..sources.tables import table
 
 
@@ -67,6 +68,23 @@ def followed_words(spark, d):
     return there.select("doc_id", "start", "new_start", F.substr("result", F.col("new_start") + 1, F.col("new_end") - F.col("new_start")).alias("word"))
 
 
+def _mixed(spark, d):
+    """Documents whose every third line gets a Chinese one behind it, every ninth of these with Latin in it."""
+    line = lambda x, i: F.when(i % 9 == 2, F.concat(x, F.lit("\n本文研究 BERT 方法的结果。"))).when(i % 3 == 2, F.concat(x, F.lit("\n\n我们分析了研究结果，方法有效。"))).otherwise(x)
+    text = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text.alias("text"))
+
+
+def text_runs(spark, d):
+    found = _mixed(spark, d).select("doc_id", F.posexplode(R.runs(F.col("text"))).alias("run", "r"))
+    return found.select("doc_id", "run", "r.lane", "r.start", F.length("r.text").alias("length"), F.md5("r.text").alias("text"))
+
+
+def lane_edits(spark, d):
+    done = R.edited_runs(F.col("text"), {"en": lambda x: F.translate(x, "aeion", "AEION"), "zh": lambda x: F.concat(F.lit("["), x, F.lit("]"))})
+    return _mixed(spark, d).select("doc_id", F.md5(done).alias("text"))
+
+
 NOT = "[^\\p{L}\\p{N}_]"
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
@@ -179,7 +197,19 @@ _EDITED = f"""WITH RECURSIVE d AS (SELECT doc_id, text, list_distinct([]::VARCHA
         e AS (SELECT h.doc_id, a, z, name, new, lag(z, 1, 0) OVER (PARTITION BY h.doc_id ORDER BY a) AS y FROM h JOIN r ON r.doc_id = h.doc_id AND r.k = h.k AND kept),
         p AS (SELECT e.doc_id, count(*) AS n, string_agg(text[y + 1:a] || new, '' ORDER BY a) || any_value(text)[max(z) + 1:] AS result FROM e JOIN d USING (doc_id) GROUP BY 1)"""
 
+_RUNS = """WITH d AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 9 = 2 THEN x || chr(10) || '本文研究 BERT 方法的结果。' WHEN (i - 1) % 3 = 2 THEN x || chr(10) || chr(10) || '我们分析了研究结果，方法有效。' ELSE x END), chr(10)) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\n]+\\n*|\\n+')) AS t, generate_subscripts(regexp_extract_all(text, '[^\\n]+\\n*|\\n+'), 1) AS i FROM d),
+        c AS (SELECT *, regexp_replace(t, '\\n+$', '') AS x FROM l),
+        h AS (SELECT *, len(regexp_extract_all(x, '[\\x{4e00}-\\x{9fff}]')) AS h, len(regexp_extract_all(x, '[A-Za-z]')) AS e FROM c),
+        p AS (SELECT *, CASE WHEN t[1] = chr(10) THEN 'raw' WHEN h > 0 AND regexp_matches(x, '[A-Za-z]+([ \\t]+[A-Za-z]+){2,}') THEN 'mixed' WHEN h + e = 0 OR (h >= 4 AND regexp_matches(x, '[，。！？；]|本文|研究|方法|结果|分析|探讨')) OR h / (h + e) > 0.3 THEN CASE WHEN e > 0 THEN 'protected' ELSE 'zh' END ELSE 'en' END AS lane FROM h),
+        g AS (SELECT *, coalesce(CAST(lane <> lag(lane) OVER (PARTITION BY doc_id ORDER BY i) AS INT), 0) AS new FROM p),
+        q AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run, sum(len(t)) OVER (PARTITION BY doc_id ORDER BY i) - len(t) AS start FROM g),
+        r AS (SELECT doc_id, run, any_value(lane) AS lane, min(start) AS start, string_agg(t, '' ORDER BY i) AS text FROM q GROUP BY 1, 2)"""
+
 SQL = {
+    "text_runs": f"""{_RUNS} SELECT doc_id, CAST(run AS INT) AS run, lane, CAST(start AS INT) AS start, CAST(len(text) AS INT) AS length, md5(text) AS text FROM r""",
+    "lane_edits": f"""{_RUNS}, z AS (SELECT doc_id, run, CASE lane WHEN 'en' THEN translate(text, 'aeion', 'AEION') WHEN 'zh' THEN '[' || regexp_replace(text, '\\n+$', '') || ']' || regexp_extract(text, '\\n*$') ELSE text END AS t FROM r)
+        SELECT d.doc_id, md5(coalesce(t, '')) AS text FROM d LEFT JOIN (SELECT doc_id, string_agg(t, '' ORDER BY run) AS t FROM z GROUP BY 1) y ON y.doc_id = d.doc_id""",
     "edited_documents": f"""{_EDITED} SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS n_edits, md5(coalesce(result, text)) AS result FROM d LEFT JOIN p ON p.doc_id = d.doc_id""",
     "document_edits": f"""{_EDITED} SELECT doc_id, a AS start, z AS "end", name AS rule, new FROM e""",
     "followed_words": f"""{_EDITED}, w AS ({_spans("[A-Z][a-z]{3,}", "word")}),

@@ -12,7 +12,7 @@ from ..operators import prose as P
 from ..sources.tables import table
 from .prose_queries import PARAS, _docs, _found, _found_sql
 from .prose_queries import SQL as PROSE
-from .review_queries import TEXTS, values
+from .review_queries import TEXTS, values, with_documents, with_documents_sql
 from .rule_queries import EN, POLICY, POLICY_EXPECTED, LATER
 
 
@@ -43,12 +43,12 @@ RAW = [
 
 
 def cleaned_outputs(spark, d):
-    t = spark.createDataFrame(list(enumerate(RAW)), "id long, raw string")
+    t = with_documents(spark, d, RAW, "id", "raw")
     return t.select("id", A.cleaned_output(F.col("raw")).alias("text"))
 
 
 def plain_bases(spark, d):
-    t = spark.createDataFrame(list(enumerate(RAW)), "id long, raw string")
+    t = with_documents(spark, d, RAW, "id", "raw")
     return t.select("id", A.plain_base(F.col("raw")).alias("text"))
 
 
@@ -177,13 +177,13 @@ SQL = {
         c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[.](?:\\s*[.])+', '.', 'g'), ',(?:\\s*,)+', ',', 'g'), ';(?:\\s*;)+', ';', 'g'), ':(?:\\s*:)+', ':', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM b),
         d AS (SELECT doc_id, regexp_extract(t, '^(?:(?:[-*•]|[0-9]+[.)])\\s)?') AS b, t FROM c), e AS (SELECT doc_id, b, string_split(regexp_replace(substr(t, len(b) + 1), '([.!?]\\s)([a-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM d)
         SELECT doc_id, md5(b || array_to_string(list_transform(l, lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), '')) AS text FROM e""",
-    "cleaned_outputs": f"""WITH t(id, raw) AS (VALUES {values(enumerate(RAW))}), a AS (SELECT id, {STRIP.format("regexp_replace(" + STRIP.format('raw') + ", '(?m)^[ \\t]*```[a-zA-Z0-9_-]*[ \\t]*$', '', 'g')")} AS t FROM t),
+    "cleaned_outputs": f"""WITH t AS (SELECT * FROM {with_documents_sql(RAW, 'id', 'raw')}), a AS (SELECT id, {STRIP.format("regexp_replace(" + STRIP.format('raw') + ", '(?m)^[ \\t]*```[a-zA-Z0-9_-]*[ \\t]*$', '', 'g')")} AS t FROM t),
         b AS (SELECT id, {STRIP.format("CASE WHEN regexp_matches(t, '(?is)^<(" + A.TAGS + ")>.*</(" + A.TAGS + ")>$') THEN regexp_replace(t, '(?is)^<[a-z]+>|</[a-z]+>$', '', 'g') ELSE t END")} AS t FROM a),
         l AS (SELECT id, string_split(t, chr(10)) AS l FROM b), f AS (SELECT id, l, list_position(list_transform(l, lambda x: {ABOUT} OR {BLANK}), false) AS a,
             len(l) + 1 - list_position(list_transform(list_reverse(l), lambda x: {ABOUT} OR {BLANK} OR regexp_matches(x, '^\\s*[（(].{{0,80}}[）)]\\s*$')), false) AS z FROM l),
         k AS (SELECT id, {STRIP.format("array_to_string(CASE WHEN a IS NULL OR z IS NULL OR a = 0 OR z > len(l) OR z < a THEN l[len(l):len(l)] ELSE l[a:z] END, chr(10))")} AS t FROM f)
         SELECT CAST(id AS BIGINT) AS id, CASE WHEN len(t) > 2 AND regexp_matches(t, '(?s)^[「“"''].*[」”"'']$') THEN {STRIP.format('substr(t, 2, len(t) - 2)')} ELSE t END AS text FROM k""",
-    "plain_bases": f"""WITH t(id, raw) AS (VALUES {values(enumerate(RAW))}), a AS (SELECT id, regexp_replace(trim(raw), '(?m)^```[a-zA-Z]*\\n?|```$', '', 'g') AS t FROM t),
+    "plain_bases": f"""WITH t AS (SELECT * FROM {with_documents_sql(RAW, 'id', 'raw')}), a AS (SELECT id, regexp_replace(trim(raw), '(?m)^```[a-zA-Z]*\\n?|```$', '', 'g') AS t FROM t),
         b AS (SELECT id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT starts_with(ltrim(x), '#')), chr(10)) AS t FROM a)
         SELECT CAST(id AS BIGINT) AS id, {STRIP.format("regexp_replace(regexp_replace(t, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM b""",
     "typical_widths": f"""SELECT doc_id, CAST(list_sort(s)[len(s) // 2 + 1] AS INT) AS width FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: len({STRIP.format('x')})), lambda n: n > 0) AS s FROM documents)""",

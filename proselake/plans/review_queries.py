@@ -27,8 +27,22 @@ TEXTS = [
 ]
 
 
-def texts(spark):
-    return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+#: Ids of own rows are below it, those of documents behind it.
+OWN_ROWS = 1000
+
+
+def with_documents(spark, d, rows: list[str], key: str = "doc_id", column: str = "text"):
+    """Own rows and the texts of all documents."""
+    own = spark.createDataFrame(list(enumerate(rows)), f"{key} long, {column} string")
+    return own.unionByName(table(spark, d, "documents").select((F.col("doc_id") + OWN_ROWS).alias(key), F.col("text").alias(column)))
+
+
+def with_documents_sql(rows: list[str], key: str = "doc_id", column: str = "text") -> str:
+    return f"(SELECT CAST({key} AS BIGINT) AS {key}, {column} FROM (VALUES {values(enumerate(rows))}) AS own({key}, {column}) UNION ALL SELECT doc_id + {OWN_ROWS}, text FROM documents)"
+
+
+def texts(spark, d):
+    return with_documents(spark, d, TEXTS)
 
 
 def values(rows) -> str:
@@ -38,7 +52,7 @@ def values(rows) -> str:
 
 
 def traditional(spark, d):
-    return texts(spark).select("doc_id", V.is_traditional(F.col("text")).alias("traditional"))
+    return texts(spark, d).select("doc_id", V.is_traditional(F.col("text")).alias("traditional"))
 
 
 def text_notices(spark, d):
@@ -48,15 +62,15 @@ def text_notices(spark, d):
 
 
 def mask_han(spark, d):
-    return texts(spark).select("doc_id", X.mask(F.col("text")).alias("masked"))
+    return texts(spark, d).select("doc_id", X.mask(F.col("text")).alias("masked"))
 
 
 def report_checks(spark, d):
-    return texts(spark).select("doc_id", V.checks_of(F.col("text")).alias("checks"))
+    return texts(spark, d).select("doc_id", V.checks_of(F.col("text")).alias("checks"))
 
 
 def metrics_zh(spark, d):
-    return P.metrics_zh(texts(spark), rounded=False)
+    return P.metrics_zh(texts(spark, d), rounded=False)
 
 
 def metrics_zh_whole(spark, d):
@@ -238,7 +252,7 @@ def report_text(spark, d):
     return V.report_text(P.document_summary(_docs(spark, d), _found(spark, d), {"NUM": "low", "F02": "medium", "F04": "low", "RPT": "high"}))
 
 
-T = f"(VALUES {values(enumerate(TEXTS))}) AS t(doc_id, text)"
+T = f"{with_documents_sql(TEXTS)} AS t"
 HAN = "[\\x{4e00}-\\x{9fff}]"
 MARKS = "[" + "".join(dict.fromkeys(V.TRADITIONAL)) + "]"
 ZH_SENTS = "list_filter(list_transform(regexp_extract_all({}, '[^。！？；\\n]*[。！？；\\n]|[^。！？；\\n]+$'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: len(x) > 0)"

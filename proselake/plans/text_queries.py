@@ -14,7 +14,7 @@ from ..operators import relational as R
 from ..sources.pdf_lines import merged_lines as merged
 from ..sources.tables import table
 from .prose_queries import _spans
-from .review_queries import TEXTS, texts, values
+from .review_queries import TEXTS, texts, values, with_documents, with_documents_sql
 from .rule_queries import EN, ZH
 
 
@@ -79,18 +79,18 @@ def purity(spark, d):
 
 
 def product_lang(spark, d):
-    return texts(spark).select("doc_id", A.product_language(F.col("text")).alias("lang"), A.lane(F.col("text")).alias("lane"))
+    return texts(spark, d).select("doc_id", A.product_language(F.col("text")).alias("lang"), A.lane(F.col("text")).alias("lane"))
 
 
 def latin_islands(spark, d):
-    return texts(spark).select("doc_id", A.islands(F.col("text")).alias("islands"))
+    return texts(spark, d).select("doc_id", A.islands(F.col("text")).alias("islands"))
 
 
 LOOSE = ["好，。", "好，，的", "好。！？", "，开头", "结尾，", "a  b", "好，、。后", "一、二，三", "。、开\n；头，", "", "两行，\n。第二"]
 
 
 def tidied_zh(spark, d):
-    t = spark.createDataFrame(list(enumerate(LOOSE)), "id long, text string")
+    t = with_documents(spark, d, LOOSE, "id")
     return t.select("id", G.tidy(F.col("text")).alias("text"))
 
 
@@ -100,7 +100,7 @@ SAMPLES = [*ZH, *EN, "围绕三个问题展开分析。通过访谈完成了收
 
 
 def ablations(spark, d):
-    t = spark.createDataFrame(list(enumerate(SAMPLES)), "id long, text string")
+    t = with_documents(spark, d, SAMPLES, "id")
     out = None
     for name in PLAIN:
         new, n = G.transform(F.col("text"), G.REGISTRY[name])
@@ -163,17 +163,17 @@ def _ablation_sql() -> str:
             n.append(f"len(regexp_extract_all({text}, '{q(pattern)}'))")
             text = f"regexp_replace({text}, '{q(pattern)}', '{q(new.replace('$', chr(92)))}', 'g')"
         parts.append(f"SELECT id, '{name}' AS rule, {text} AS text, CAST({' + '.join(n)} AS INT) AS n FROM t")
-    return f"WITH t(id, text) AS (VALUES {values(enumerate(SAMPLES))}) SELECT CAST(id AS BIGINT) AS id, rule, text, n FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+    return f"WITH t AS (SELECT * FROM {with_documents_sql(SAMPLES, 'id')}) SELECT id, rule, text, n FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
 
 
 def _tidy_sql() -> str:
     text = "text"
     for pattern, new in G.TIDY:
         text = f"regexp_replace({text}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
-    return f"WITH t(id, text) AS (VALUES {values(enumerate(LOOSE))}) SELECT CAST(id AS BIGINT) AS id, trim({text}, ' ') AS text FROM t"
+    return f"SELECT id, trim({text}, ' ') AS text FROM {with_documents_sql(LOOSE, 'id')} AS t"
 
 
-TEXT_T = f"(VALUES {values(enumerate(TEXTS))}) AS t(doc_id, text)"
+TEXT_T = f"{with_documents_sql(TEXTS)} AS t"
 SCORES = """SELECT * FROM (SELECT event_type AS detector, event_id % 900 AS base, CASE WHEN event_id % 9 = 0 THEN 'base' ELSE 'v' || event_id END AS variant, CASE event_id % 4 WHEN 0 THEN 'ALL' ELSE 'R' || (event_id % 40) END AS rule,
     CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS score, event_id, row_number() OVER (PARTITION BY event_type, event_id % 900, CASE WHEN event_id % 9 = 0 THEN 'base' ELSE 'v' || event_id END ORDER BY event_id) AS k FROM events) WHERE k = 1"""
 DELTA = f"SELECT v.event_id, v.detector, v.base, v.rule, b.score - v.score AS delta FROM ({SCORES}) v JOIN ({SCORES}) b ON b.detector = v.detector AND b.base = v.base AND b.variant = 'base' WHERE v.variant <> 'base'"
