@@ -12,7 +12,7 @@ from ..functions import lexicon as L
 from ..functions import rules as T
 from ..operators import diagnose as D
 from ..operators import prose as P
-from .review_queries import values
+from .review_queries import OWN_ROWS, values, with_documents, with_documents_sql
 
 ZH = [
     "保证了数据安全性、隐私性和可靠性，研究。",
@@ -132,12 +132,18 @@ def _hits(found, name: str):
     return found.groupBy("doc_id", F.col(name).alias("rule")).agg(F.count("*").alias("hits"))
 
 
+def _everywhere(spark, d, rows):
+    """Hits of all rules over own rows and over all documents; what a finder decides (English S01) is compared over own rows only."""
+    found = D.diagnose(with_documents(spark, d, rows)).where("rule NOT LIKE 'V-%'")
+    return _hits(found.where((F.col("doc_id") < OWN_ROWS) | ~((F.col("lang") == "en") & (F.col("rule") == "S01"))), "rule")
+
+
 def rule_hits_zh(spark, d):
-    return _hits(D.diagnose(_texts(spark, ZH)).where("rule NOT LIKE 'V-%'"), "rule")
+    return _everywhere(spark, d, ZH)
 
 
 def rule_hits_en(spark, d):
-    return _hits(D.diagnose(_texts(spark, EN)).where("rule NOT LIKE 'V-%'"), "rule")
+    return _everywhere(spark, d, EN)
 
 
 def policy_hits(spark, d):
@@ -171,10 +177,11 @@ def _hedges(words: list[str], column: str) -> str:
     return f"SELECT doc_id, 'S09' AS rule, CASE WHEN {seen} >= 2 THEN 1 ELSE 0 END AS hits FROM t"
 
 
-def _sql(texts: list[str], rules: dict[str, str], expected: list[tuple], more: list[str] = ()) -> str:
+def _sql(texts: list[str], rules: dict[str, str], expected: list[tuple], more: list[str] = (), everywhere: bool = False) -> str:
     parts = [_count(rule, p) for rule, p in rules.items() if rule not in {r for _, r, _ in expected}] + list(more)
     parts.append(f"SELECT * FROM (VALUES {values(expected)}) AS x(doc_id, rule, hits)")
-    return f"WITH t(doc_id, text) AS (VALUES {values(enumerate(texts))}) SELECT CAST(doc_id AS BIGINT) AS doc_id, rule, CAST(hits AS BIGINT) AS hits FROM ({' UNION ALL '.join(parts)}) WHERE hits > 0"
+    source = with_documents_sql(texts) if everywhere else f"(VALUES {values(enumerate(texts))})"
+    return f"WITH t(doc_id, text) AS (SELECT * FROM {source}) SELECT CAST(doc_id AS BIGINT) AS doc_id, rule, CAST(hits AS BIGINT) AS hits FROM ({' UNION ALL '.join(parts)}) WHERE hits > 0"
 
 
 def _patterns(rows) -> dict[str, str]:
@@ -182,8 +189,8 @@ def _patterns(rows) -> dict[str, str]:
 
 
 SQL = {
-    "rule_hits_zh": _sql(ZH, _patterns([*T.ZH, *T.FORMAT]), ZH_EXPECTED, [_hedges(L.HEDGES_ZH, "text")]),
-    "rule_hits_en": _sql(EN, _patterns(T.EN), EN_EXPECTED, [_hedges(L.HEDGES_EN, "lower(text)")] + [_count(r, p) for r, p in _patterns(T.FORMAT).items() if r != "F01"]),
+    "rule_hits_zh": _sql(ZH, _patterns([*T.ZH, *T.FORMAT]), ZH_EXPECTED, [_hedges(L.HEDGES_ZH, "text")], everywhere=True),
+    "rule_hits_en": _sql(EN, _patterns(T.EN), EN_EXPECTED, [_hedges(L.HEDGES_EN, "lower(text)")] + [_count(r, p) for r, p in _patterns(T.FORMAT).items() if r != "F01"], everywhere=True),
     "policy_hits": _sql(POLICY[:31], {c.check: c.pattern for c in T.POLICY if c.pattern and c.check not in LATER}, POLICY_EXPECTED),
 }
 
