@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clause_words as W
 from ..functions import markers as M
+from ..functions import numbers as N
 from ..operators import clauses as C
 from ..operators import edit_table as T
 from ..operators import moves as V
@@ -85,6 +86,15 @@ def lane_edits(spark, d):
     return _mixed(spark, d).select("doc_id", F.md5(done).alias("text"))
 
 
+def number_atoms(spark, d):
+    """Numbers of all documents, and of lines that write some of their figures otherwise."""
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    told = F.concat_ws(" ", F.lit("in"), F.concat(F.lit("-"), F.col("doc_id"), F.lit(".50 mg,")), F.concat("doc_id", F.lit("e-2;")), F.concat(F.lit("p < 0."), F.col("doc_id"), F.lit(",")), F.concat(F.lit("1×10^"), F.col("doc_id") % 9, F.lit(" kg; 10⁻³,")), F.concat(F.lit("3-"), F.col("doc_id"), F.lit("th, 1,0")), F.lit("007 %"))
+    text = F.concat_ws("\n", "text", told)
+    found = docs.select("doc_id", F.posexplode(N.atoms(text)).alias("at", "x"))
+    return found.select("doc_id", "at", "x.written", N.value(F.col("x")).alias("value"))
+
+
 NOT = "[^\\p{L}\\p{N}_]"
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
@@ -206,7 +216,18 @@ _RUNS = """WITH d AS (SELECT doc_id, array_to_string(list_transform(string_split
         q AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run, sum(len(t)) OVER (PARTITION BY doc_id ORDER BY i) - len(t) AS start FROM g),
         r AS (SELECT doc_id, run, any_value(lane) AS lane, min(start) AS start, string_agg(t, '' ORDER BY i) AS text FROM q GROUP BY 1, 2)"""
 
+_FLAT = f"regexp_replace(replace(translate(x[7] || x[8] || x[9], '{N.RAISED}', '{N.FLAT}'), '−', '-'), '^\\^?[+]?', '')"
+_ATOMS = f"""WITH d AS (SELECT doc_id, concat_ws(chr(10), text, 'in -' || doc_id || '.50 mg, ' || doc_id || 'e-2; p < 0.' || doc_id || ', 1×10^' || doc_id % 9 || ' kg; 10⁻³, 3-' || doc_id || 'th, 1,0 007 %') AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        r AS (SELECT doc_id, list_zip({", ".join(f"list_transform(regexp_extract_all(text, '{N.ATOM}', {i}), lambda x: coalesce(x, ''))" for i in range(14))}) AS l FROM d),
+        a AS (SELECT doc_id, unnest(list_filter(l, lambda x: x[13] = '')) AS x, generate_subscripts(list_filter(l, lambda x: x[13] = ''), 1) - 1 AS i FROM r),
+        b AS (SELECT doc_id, i, x, CASE WHEN x[9] <> '' AND x[6] = '10' THEN '1' ELSE replace(x[6], ',', '') END AS bare, CASE WHEN x[7] || x[8] || x[9] = '' THEN 0 ELSE coalesce(TRY_CAST({_FLAT} AS INT), 0) END AS e FROM a),
+        c AS (SELECT *, regexp_replace(replace(bare, '.', ''), '^0+([0-9])', '\\1') AS w, len(regexp_extract(bare, '[.]([0-9]*)$', 1)) AS places FROM b),
+        z AS (SELECT *, CASE WHEN regexp_matches(w, '^0+$') THEN '0' ELSE regexp_replace(w, '0+$', '') END AS s FROM c)"""
+
 SQL = {
+    "number_atoms": f"""{_ATOMS} SELECT doc_id, CAST(i AS INT) AS "at", substr(x[1], len(x[2]) + 1) AS written,
+            CASE WHEN x[9] <> '' AND x[6] <> '10' THEN 'power' WHEN x[3] <> '' THEN 'p' || x[4] WHEN x[10] <> '' THEN 'ordinal' ELSE 'number' END || ':' || CASE WHEN x[5] IN ('-', '−') AND s <> '0' THEN '-' ELSE '' END || s || 'e'
+            || CASE WHEN s = '0' THEN 0 ELSE e - places + len(w) - len(s) END || ' ' || x[11] AS value FROM z""",
     "text_runs": f"""{_RUNS} SELECT doc_id, CAST(run AS INT) AS run, lane, CAST(start AS INT) AS start, CAST(len(text) AS INT) AS length, md5(text) AS text FROM r""",
     "lane_edits": f"""{_RUNS}, z AS (SELECT doc_id, run, CASE lane WHEN 'en' THEN translate(text, 'aeion', 'AEION') WHEN 'zh' THEN '[' || regexp_replace(text, '\\n+$', '') || ']' || regexp_extract(text, '\\n*$') ELSE text END AS t FROM r)
         SELECT d.doc_id, md5(coalesce(t, '')) AS text FROM d LEFT JOIN (SELECT doc_id, string_agg(t, '' ORDER BY run) AS t FROM z GROUP BY 1) y ON y.doc_id = d.doc_id""",
