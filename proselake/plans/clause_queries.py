@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clause_words as W
 from ..functions import markers as M
 from ..functions import numbers as N
+from ..functions import transforms as G
 from ..operators import clauses as C
 from ..operators import edit_table as T
 from ..operators import moves as V
@@ -95,6 +96,11 @@ def number_atoms(spark, d):
     return found.select("doc_id", "at", "x.written", N.value(F.col("x")).alias("value"))
 
 
+def flattened_documents(spark, d):
+    text, n = G.flattened(F.col("text"), ends=".!?", pause=",", stop=".")
+    return table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", n.alias("n"), F.md5(text).alias("text"))
+
+
 NOT = "[^\\p{L}\\p{N}_]"
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
@@ -224,7 +230,16 @@ _ATOMS = f"""WITH d AS (SELECT doc_id, concat_ws(chr(10), text, 'in -' || doc_id
         c AS (SELECT *, regexp_replace(replace(bare, '.', ''), '^0+([0-9])', '\\1') AS w, len(regexp_extract(bare, '[.]([0-9]*)$', 1)) AS places FROM b),
         z AS (SELECT *, CASE WHEN regexp_matches(w, '^0+$') THEN '0' ELSE regexp_replace(w, '0+$', '') END AS s FROM c)"""
 
+_HEAD = "substr(s, 1, CAST(floor(len(s) / 2) AS BIGINT) + 10)"
 SQL = {
+    "flattened_documents": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        s AS (SELECT doc_id, i, unnest(p) AS s, generate_subscripts(p, 1) AS j FROM (SELECT doc_id, i, list_filter(string_split(regexp_replace(x, '([.!?])', '\\1' || chr(1), 'g'), chr(1)), lambda y: regexp_matches(y, '\\S')) AS p FROM l WHERE regexp_matches(x, '\\S'))),
+        a AS (SELECT *, CASE WHEN contains({_HEAD}, ',') THEN len({_HEAD}) - strpos(reverse({_HEAD}), ',') ELSE -1 END AS at_ FROM s),
+        c AS (SELECT doc_id, i, j, len(s) > 45 AND at_ > 12 AS cut, unnest(CASE WHEN len(s) > 45 AND at_ > 12 THEN [substr(s, 1, at_) || '.', substr(s, at_ + 2)] ELSE [s] END) AS s, unnest(CASE WHEN len(s) > 45 AND at_ > 12 THEN [1, 2] ELSE [1] END) AS h FROM a),
+        g AS (SELECT *, len(s) < 18 AS short, sum(CAST(len(s) >= 18 AS INT)) OVER (PARTITION BY doc_id, i ORDER BY j, h) AS k FROM c),
+        m AS (SELECT doc_id, i, k, short, CASE WHEN short THEN regexp_replace(string_agg(regexp_replace(s, '[.!?]+$', '') || ',', '' ORDER BY j, h), ',+$', '') || '.' ELSE any_value(s) END AS t, sum(CAST(short AS INT) + CAST(cut AND h = 2 AS INT)) AS n FROM g GROUP BY 1, 2, 3, 4),
+        p AS (SELECT doc_id, i, string_agg(t, '' ORDER BY k, short) AS t, sum(n) AS n FROM m GROUP BY 1, 2)
+        SELECT l.doc_id, CAST(coalesce(sum(p.n), 0) AS INT) AS n, md5(string_agg(coalesce(p.t, l.x), chr(10) ORDER BY l.i)) AS text FROM l LEFT JOIN p ON p.doc_id = l.doc_id AND p.i = l.i GROUP BY 1""",
     "number_atoms": f"""{_ATOMS} SELECT doc_id, CAST(i AS INT) AS "at", substr(x[1], len(x[2]) + 1) AS written,
             CASE WHEN x[9] <> '' AND x[6] <> '10' THEN 'power' WHEN x[3] <> '' THEN 'p' || x[4] WHEN x[10] <> '' THEN 'ordinal' ELSE 'number' END || ':' || CASE WHEN x[5] IN ('-', '−') AND s <> '0' THEN '-' ELSE '' END || s || 'e'
             || CASE WHEN s = '0' THEN 0 ELSE e - places + len(w) - len(s) END || ' ' || x[11] AS value FROM z""",

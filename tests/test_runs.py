@@ -35,3 +35,40 @@ def test_runs_like_a_loop(spark):
             new = core.upper() if r.lane == "en" else f"<{core}>" if r.lane == "zh" and not core.startswith("研究") else core
             want += (new if r.lane != "raw" else core) + r.text[len(core) :]
         assert got[i].done == want
+
+
+def plain_flat(text):
+    import re
+
+    n, out = 0, []
+    for para in text.split("\n"):
+        if not para.strip():
+            out.append(para)
+            continue
+        parts = []
+        for s in filter(str.strip, re.split("(?<=[。！？])", para)):
+            at = s.rfind("，", 0, len(s) // 2 + 10)
+            parts += [s[:at] + "。", s[at + 1 :]] if len(s) > 45 and at > 12 else [s]
+            n += len(s) > 45 and at > 12
+        done, held = "", ""
+        for s in parts:
+            if len(s) < 18:
+                held, n = held + s.rstrip("。！？") + "，", n + 1
+            else:
+                done, held = done + (held.rstrip("，") + "。" if held else "") + s, ""
+        out.append(done + (held.rstrip("，") + "。" if held else ""))
+    return "\n".join(out), n
+
+
+def test_flattened_like_a_loop(spark):
+    from proselake.functions import transforms as G
+
+    rng = random.Random(5)
+    texts = ["", "\n \n", "短。", "甲" * 50 + "，乙。", "甲" * 20 + "，" + "乙" * 40 + "。短！"]
+    texts += ["".join(rng.choice(["字" * rng.randrange(1, 30), "，", "。", "！", "\n", " "]) for _ in range(rng.randrange(40))) for _ in range(150)]
+    text, n = G.flattened(F.col("text"))
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "id long, text string").select("id", text.alias("text"), n.alias("n"))
+    got = {r.id: (r.text, r.n) for r in df.collect()}
+    assert got.pop(999) == (None, 0)
+    assert got == {i: plain_flat(t) for i, t in enumerate(texts)}
+    assert sum(x for _, x in got.values()) > 200
