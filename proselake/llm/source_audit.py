@@ -36,6 +36,15 @@ _IN_TERM = np.zeros(256, bool)
 _IN_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def _edges(inside: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``inside`` that no edge of a text cuts through."""
+    before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    before[edge[:-1][edge[:-1] < len(inside)]] = False
+    after[edge[1:][edge[1:] > 0] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows ``lang, source, text`` the counts of each block of texts; equal terms are told by their bytes, not by hashes."""
     for batch in batches:
@@ -49,12 +58,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = LOWER[data[at[a] : at[b]]]
             edge = at[a : b + 1] - at[a]
             inside = _IN_TERM[held]
-            first = np.zeros(len(held), bool)
-            first[1:] = inside[:-1]
-            first[edge[:-1][edge[:-1] < len(held)]] = False
-            starts = np.flatnonzero(inside & ~first)
+            starts, ends = _edges(inside, edge)
             held = held[inside]
-            offsets = np.append((np.cumsum(inside) - 1)[starts], len(held)).astype(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
             text = np.searchsorted(edge[1:], starts, side="right")
             terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(held.tobytes())).dictionary_encode()
             code, width = terms.indices.to_numpy().astype(np.int64), max(1, len(terms.dictionary))
