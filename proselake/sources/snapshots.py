@@ -35,8 +35,17 @@ def verify_snapshot(spark: SparkSession, path: str, names: list[str]) -> DataFra
     return verify_receipts(_files(spark, path, names), read_receipts(spark, path))
 
 
-def restore(spark: SparkSession, path: str, names: list[str], options: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The tables of a snapshot whose files all have the digests of their receipts; else an error that names some."""
+def missing_tables(spark: SparkSession, path: str, required: list[str]) -> list[str]:
+    """Of ``required`` the tables that a snapshot has no receipt for."""
+    there = read_receipts(spark, path).select(F.element_at(F.split("path", "/"), -2).alias("name")).distinct()
+    wanted = spark.createDataFrame([(n,) for n in required], "name string")
+    return sorted(r.name for r in wanted.join(there, "name", "left_anti").collect())
+
+
+def restore(spark: SparkSession, path: str, names: list[str], options: dict[str, str] | None = None, required: list[str] = ()) -> dict[str, DataFrame]:
+    """The tables of a snapshot whose files all have the digests of their receipts, and that holds all ``required`` tables; else an error that names some."""
+    if required and (gone := missing_tables(spark, path, list(required))):
+        raise ValueError(f"the snapshot lacks {gone}")
     bad = [tuple(r) for r in verify_snapshot(spark, path, names).where("state <> 'ok'").limit(5).collect()]
     if bad:
         raise ValueError(f"the snapshot does not verify: {bad}")

@@ -118,7 +118,9 @@ def test_snapshots(spark, tmp_path):
     tables_ = {"a": spark.range(100).withColumn("x", F.col("id") % 7).repartition(3), "b": spark.range(3)}
     receipts = snapshots.write_snapshot(tables_, path)
     assert receipts.count() >= 4 and {r.state for r in snapshots.verify_snapshot(spark, path, ["a", "b"]).collect()} == {"ok"}
-    back = snapshots.restore(spark, path, ["a", "b"])
+    back = snapshots.restore(spark, path, ["a", "b"], required=["b", "a"])
+    with pytest.raises(ValueError, match="lacks \\['c'\\]"):
+        snapshots.restore(spark, path, ["a"], required=["a", "c"])
     assert sorted(map(tuple, back["a"].collect())) == [(i, i % 7) for i in range(100)]
     part = next((tmp_path / "snap" / "a").glob("part-*"))
     part.write_bytes(part.read_bytes() + b"x")
