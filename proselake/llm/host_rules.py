@@ -26,7 +26,7 @@ LOW, HIGH = 0.01, 0.5
 #: What a host's documents are judged by; a true value is a failure.
 HOST_RULES = {
     "symbols": "10 * n_symbols > n_words",
-    "lines": "100 * n_dup_lines > 30 * n_lines",
+    "lines": "2 * n_dup_lines > n_lines",
     "lengths": "word_chars > 10 * n_words OR word_chars < 3 * n_words",
 }
 _WORD = r"[^\x20\x09-\x0D]+"

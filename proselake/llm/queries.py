@@ -157,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
                 CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(p.n, 0) AS n_repeat_words FROM d LEFT JOIN p ON p.r = d.r),
             e AS (SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(bad AS INT)) AS DOUBLE) AS f FROM (
-                SELECT host, unnest(['symbols', 'lines', 'lengths']) AS rule, unnest([10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines, word_chars > 10 * n_words OR word_chars < 3 * n_words]) AS bad
+                SELECT host, unnest(['symbols', 'lines', 'lengths']) AS rule, unnest([10 * n_symbols > n_words, 2 * n_dup_lines > n_lines, word_chars > 10 * n_words OR word_chars < 3 * n_words]) AS bad
                 FROM m WHERE host IS NOT NULL) GROUP BY host, rule),
             g AS (SELECT rule, count(*) AS h, sum(n) AS n, sum(f) / sum(n) AS m, sum(f * f / n) AS s, sum(n * n) AS n2 FROM e GROUP BY rule),
             c AS (SELECT rule, n, m, CASE WHEN m * (1 - m) > 0 AND n - n2 / n - (h - 1) > 0 THEN (s - n * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (n - n2 / n - (h - 1))) ELSE 0 END AS c FROM g),
@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
             v AS (SELECT host, max(x) > 0.5 AS rejected, bool_or(x >= 0.01 AND rule = 'symbols') AS a1, bool_or(x >= 0.01 AND rule = 'lines') AS a2, bool_or(x >= 0.01 AND rule = 'lengths') AS a3
                 FROM (SELECT e.host, e.rule, (e.f + b.m * b.z) / (e.n + b.z) AS x FROM e JOIN b ON b.rule = e.rule) GROUP BY host),
             z AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(v.rejected, false) AS host_rejected,
-                coalesce((a1 AND 10 * n_symbols > n_words) OR (a2 AND 100 * n_dup_lines > 30 * n_lines) OR (a3 AND (word_chars > 10 * n_words OR word_chars < 3 * n_words)), false) AS breaks FROM m LEFT JOIN v ON v.host = m.host)
+                coalesce((a1 AND 10 * n_symbols > n_words) OR (a2 AND 2 * n_dup_lines > n_lines) OR (a3 AND (word_chars > 10 * n_words OR word_chars < 3 * n_words)), false) AS breaks FROM m LEFT JOIN v ON v.host = m.host)
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR host_rejected OR breaks) AS kept, host, host_rejected FROM z""",
         "op13_source_audit": """
             WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
