@@ -23,9 +23,11 @@ _POWER = r"(?:\^[+\-−]?[0-9]+|[⁺⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+)"
 _UNIT = r"[A-Za-zμµΩ%‰℃℉][A-Za-z0-9μµΩ·⋅*/^⁻¹²³]{0,23}"
 _ZH = "〇零一二两三四五六七八九十百千万亿"
 #: What stands before a number, by which it is told from a part of a word or of another number; then sign, digits, power and unit.
-ATOM = (
-    rf"(^|[^A-Za-z0-9._])(?:([pP])\s*([<>=])\s*)?([+\-−]?)(?:({_PLAIN})(?:\s*[×xX·⋅]\s*10({_POWER})|[eE]([+\-−]?[0-9]+)|({_POWER}))?(?:(st|nd|rd|th)|[ ]?({_UNIT}|{ZH_UNIT}))?|(第?)([{_ZH}]+)({ZH_UNIT})?)"
+BODY = (
+    rf"(?:([pP])\s*([<>=])\s*)?([+\-−]?)(?:({_PLAIN})(?:\s*[×xX·⋅]\s*10({_POWER})|[eE]([+\-−]?[0-9]+)|({_POWER}))?(?:(st|nd|rd|th)|[ ]?({_UNIT}|{ZH_UNIT}))?|(第?)([{_ZH}]+)({ZH_UNIT})?)"
 )
+BEFORE = "[^A-Za-z0-9._]"
+ATOM = f"(^|{BEFORE}){BODY}"
 KINDS = "struct<kind:string,sign:string,digits:string,exponent:int,unit:string,written:string>"
 
 
@@ -60,9 +62,10 @@ def _normal(digits: Column, exponent: Column) -> tuple[Column, Column]:
 
 def atoms(text: Column) -> Column:
     """Array of a text's numbers in order; null texts have none."""
-    part = lambda i: F.regexp_extract_all(text, F.lit(ATOM), F.lit(i))
-    names = ["before", "p", "sign_of_p", "sign", "digits", "times", "e", "power", "th", "unit", "nth", "zh", "zh_unit"]
-    rows = F.arrays_zip(part(0).alias("all"), *[part(i + 1).alias(n) for i, n in enumerate(names)])
+    names = ["p", "sign_of_p", "sign", "digits", "times", "e", "power", "th", "unit", "nth", "zh", "zh_unit"]
+    whole = F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(f"{BEFORE}(?:{BODY})"), F.lit(0)), lambda m: F.substr(m, F.lit(2)))
+    parts = lambda m: F.struct(m.alias("all"), *[F.regexp_extract(m, f"^{BODY}", i + 1).alias(n) for i, n in enumerate(names)])
+    rows = F.transform(whole, parts)  # a text is searched once, its numbers are taken apart by themselves
 
     def one(x: Column) -> Column:
         power = F.regexp_replace(F.translate(F.concat(x["times"], x["e"], x["power"]), RAISED, FLAT), "−", "-")
@@ -73,7 +76,7 @@ def atoms(text: Column) -> Column:
         kind = F.when((x["power"] != "") & ~ten, "power").when(x["p"] != "", F.concat(F.lit("p"), x["sign_of_p"])).when((x["th"] != "") | (x["nth"] != ""), "ordinal").otherwise("number")
         sign = F.when(x["sign"].isin("-", "−") & (digits != "0"), "-").otherwise("")
         unit = F.concat(x["unit"], x["zh_unit"])
-        return F.struct(kind.alias("kind"), sign.alias("sign"), digits.alias("digits"), shift.alias("exponent"), unit.alias("unit"), F.substr(x["all"], F.length(x["before"]) + 1).alias("written")).cast(KINDS)
+        return F.struct(kind.alias("kind"), sign.alias("sign"), digits.alias("digits"), shift.alias("exponent"), unit.alias("unit"), x["all"].alias("written")).cast(KINDS)
 
     single = lambda x: (x["zh"] == "") | (F.length(x["zh"]) > 1) | (x["nth"] != "") | (x["zh_unit"] != "")  # noqa: E731  one character alone is a word
     return F.coalesce(F.transform(F.filter(rows, single), one), F.array().cast(f"array<{KINDS}>"))

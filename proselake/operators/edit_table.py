@@ -74,16 +74,19 @@ def keeping_terms(edits: Column, text: Column, terms: Column) -> Column:
 
     A term is lost to a rule if all its occurrences in the text stand in what the rule's edits take away, and none in what they put there.
     """
-    count = lambda t, x: F.size(F.split(t, F.concat(F.lit(r"\Q"), x, F.lit(r"\E")), -1)) - 1
+    count = lambda t, x: F.try_divide(F.length(t) - F.length(F.replace(t, x, F.lit(""))), F.length(x))
+    present = F.filter(F.transform(terms, lambda x: F.struct(x.alias("term"), count(text, x).alias("n"))), lambda x: x["n"] > 0)
 
-    def losing(rule: Column) -> Column:
+    def losing(rule: Column, there: Column) -> Column:
         own = F.filter(edits, lambda e: e["rule"] == rule)
         old = F.array_join(F.transform(own, lambda e: F.substr(text, e["start"] + 1, e["end"] - e["start"])), "\n")
         new = F.array_join(F.transform(own, lambda e: e["new"]), "\n")
-        return F.exists(terms, lambda x: (count(text, x) > 0) & (count(old, x) >= count(text, x)) & (count(new, x) == 0))
+        both = F.array(F.struct(old.alias("old"), new.alias("new")))
+        return F.exists(both, lambda b: F.exists(there, lambda x: (count(b["old"], x["term"]) >= x["n"]) & ~F.contains(b["new"], x["term"])))
 
     rules = F.array_distinct(F.transform(edits, lambda e: e["rule"]))
-    return _once(F.filter(rules, losing), lambda gone: F.filter(edits, lambda e: ~F.array_contains(gone, e["rule"])))
+    lost = _once(present, lambda there: F.filter(rules, lambda r: losing(r, there)))
+    return _once(lost, lambda gone: F.filter(edits, lambda e: ~F.array_contains(gone, e["rule"])))
 
 
 def applied(text: Column, edits: Column) -> Column:
