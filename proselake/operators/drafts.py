@@ -86,10 +86,14 @@ def with_source_breaks(source: Column, output: Column) -> Column:
 
 
 def tidy_en(text: Column) -> Column:
-    """English after deletions: no blanks before marks, no doubled marks or blanks, capitals where a sentence begins."""
+    """English after deletions: no blanks before marks, no doubled marks or blanks, capitals where a sentence begins.
+
+    A capital is one letter: ß has its own, and letters whose upper case is several stay.
+    """
     t = F.regexp_replace(text, r"\s+([.,;:!?])", "$1")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"([.,;:])(?:\s*\1)+", "$1"), r"\s+", " "))
-    capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
+    letter = lambda x: F.when(x == "ß", "\u1e9e").when(F.length(F.upper(x)) > 1, x).otherwise(F.upper(x))
+    capital = lambda x: F.concat(letter(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
     bullet = F.regexp_extract(t, r"^(?:(?:[-*•]|[0-9]+[.)])\s)?", 0)
     body = F.split(F.substr(t, F.length(bullet) + 1), r"(?<=[.!?]\s)(?=[a-z])", -1)
     return F.concat(bullet, F.array_join(F.transform(body, capital), ""))

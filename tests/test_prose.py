@@ -1,4 +1,4 @@
-"""Sentences against the SQL of their queries, over texts that the small tables lack."""
+"""Sentences and tidying against the SQL of their queries, over texts that the small tables lack."""
 
 import duckdb
 import pytest
@@ -6,9 +6,10 @@ import pytest
 import __spark_entry__ as entry
 
 TEXTS = ["Éê. Óó! Çé ñ. Üü.", "Éç. Éç. Éç.\nÉç. Öö?", "12. 34! 56.", "One two. Three.", "(É. Í. Ó.)"]
+LOOSE = ["ßen alt.  ßo neu ,", "- ßa und. ǰa", "a. b. ß. c", "éa. éb"]
 
 
-@pytest.mark.parametrize(("name", "texts"), [("sentence_segments", TEXTS), ("short_sentence_runs", TEXTS), ("same_opener_runs", TEXTS)])
+@pytest.mark.parametrize(("name", "texts"), [("sentence_segments", TEXTS), ("short_sentence_runs", TEXTS), ("same_opener_runs", TEXTS), ("tidied_en", LOOSE)])
 def test_letters_beyond_ascii(spark, tmp_path, name, texts):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
