@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +78,25 @@ def test_language_like_columns(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r.lang for r in df.select("i", X.language(F.col("text")).alias("lang")).collect()}
     assert got == {i: D.language(t) for i, t in enumerate(texts)}
+
+
+def test_policy_matches_like_the_patterns():
+    rng = random.Random(4)
+    from proselake.plans.rule_queries import POLICY
+
+    words = [*POLICY, "——", "--", "-", "、", "，", "。", "\n", "a", "一", "不仅", "而是", "的", "背景下", "是", "**", "研究"]
+    for _ in range(400):
+        text = "".join(x[(k := rng.randrange(len(x) + 1)) : k + rng.randrange(1, 60)] if rng.random() < 0.5 else x for x in rng.choices(words, k=rng.randrange(1, 12)))
+        want = {(c.check, *m.span()) for c in T.POLICY if c.pattern for m in re.finditer(c.pattern, text)}
+        assert {(check, *m.span()) for check, m in D.policy_matches(text)} == want
+
+
+def test_time_follows_long_lines():
+    def seconds(n):
+        text = "word -- " + "ward " * n
+        t = time.perf_counter()
+        assert D.policy_text(text) == []
+        return time.perf_counter() - t
+
+    seconds(100)
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.005)
