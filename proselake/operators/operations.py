@@ -129,12 +129,20 @@ def plans_of(grants: DataFrame, plans: DataFrame, strengths: dict[str, int]) ->
 
 
 def either_rate(events: DataFrame, keys: list[str], seconds: int, most: int) -> DataFrame:
-    """Events whose any key had more than ``most`` events in the ``seconds`` up to it; null keys count for none."""
+    """Events whose any key had more than ``most`` events in the ``seconds`` up to it; null keys count for none.
+
+    Rows of one time count for each other. More than ``most`` of a sorted key's rows are near if the one ``most`` places before the last of
+    that time is, so each row looks at one other and not at all that are near. Rows without a time only count for each other.
+    """
     over = F.lit(False)
-    for k in keys:
-        frame = Window.partitionBy(k).orderBy("at").rangeBetween(-seconds, 0)
-        over = over | (F.col(k).isNotNull() & (F.count("*").over(frame) > most))
-    return events.withColumn("limited", over)
+    for i, k in enumerate(keys):
+        own = [k, F.when(F.col(k).isNull(), F.hash("at"))]  # rows without a key need not meet
+        events = events.withColumn(f"__back{i}", F.lag("at", most).over(Window.partitionBy(*own).orderBy("at")))
+        peers = Window.partitionBy(*own, "at")
+        near = F.when(F.col("at").isNull(), F.count("*").over(peers) > most).otherwise(F.coalesce(F.max(f"__back{i}").over(peers) >= F.col("at") - seconds, F.lit(False)))
+        events = events.withColumn(f"__over{i}", F.col(k).isNotNull() & near)
+        over = over | F.col(f"__over{i}")
+    return events.withColumn("limited", over).drop(*[f"__{c}{i}" for c in ("back", "over") for i in range(len(keys))])
 
 
 def all_time(daily: DataFrame) -> DataFrame:
