@@ -70,3 +70,13 @@ def test_budget_and_terms(spark):
 
 def test_no_texts(spark):
     assert T.edited(spark.createDataFrame([], "doc_id long, text string"), RULES, ["doc_id"]).count() == 0
+
+
+def test_time_follows_the_edits(spark):
+    """A text of many edits: each step of a fold used to copy all edits so far."""
+    import time
+
+    df = spark.createDataFrame([(1, "##a—b  " * 30_000)], "doc_id long, text string")
+    t = time.perf_counter()
+    row = T.edited(df, RULES, ["doc_id"]).select(F.size("edits").alias("n"), F.md5("result").alias("m"), F.length("result").alias("l")).first()
+    assert (row.n, row.l) == (90_000, 150_000) and time.perf_counter() - t < 20
