@@ -26,6 +26,7 @@ _PROSE_ZH = re.compile("[，。！？；]|本文|本研究|研究|方法|结果|
 _CLAUSE = re.compile(r"[^，。；：！？\n]+")
 _JOINED = re.compile("[且和以及与并]")
 _THREE = re.compile(r"\b(\w+(?:\s\w+){0,2}),\s(\w+(?:\s\w+){0,2}),\s+and\s(\w+(?:\s\w+){0,2})\b")
+_LAST = re.compile(r",\s+and\s")
 _ENDING = re.compile(r"(?:\s(?:for|in|on|to|with|of|at|by|from|and|or|as|that|which|who|when|while))+$", re.I)
 
 
@@ -71,6 +72,14 @@ def parallel_items(text: str) -> Iterator[Hit]:
                 yield m.span()
 
 
+def lowered(text: str) -> str:
+    """The text with each letter in lower case by itself; letters whose lower case is several stay."""
+    low = text.lower()
+    if len(low) == len(text) and "Σ" not in text:  # a sigma depends on what stands around it
+        return low
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 class Terms:
     """All places of many terms in a text, in one pass; ``words``: only between word bounds, upper case like lower case."""
 
@@ -81,7 +90,7 @@ class Terms:
         self.tree.make_automaton()
 
     def find(self, text: str) -> Iterator[Hit]:
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text) if self.words else text
+        low = lowered(text) if self.words else text
         inside = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
         for last, size in self.tree.iter(low):
             start, end = last + 1 - size, last + 1
@@ -117,7 +126,7 @@ def ordinal_headings(text: str) -> list[Hit]:
 
 def rule_of_three(text: str) -> Iterator[Hit]:
     """``a, b, and c`` of like length in words; what only leads on from c is not counted, and lists of names are none."""
-    for m in _THREE.finditer(text):
+    for m in _THREE.finditer(text) if _LAST.search(text) else ():
         third = _ENDING.sub("", m[3])
         sizes = [len(x.split()) for x in (m[1], m[2], third)]
         named = m[2][0].isupper() and third[0].isupper()
@@ -156,9 +165,32 @@ class Vocabulary:
                 yield (start, end, *self.of[text[start:end].lower()])
 
 
+#: What a text must hold, one of each, in lower case for English, for a rule to match anywhere in it (key: language and rule).
+_RULES_NEED = {
+    ("en", "S03"): ("not just", "not only", "not merely", "not simply", "it's not", "it is not", "it was not", "it not", "rather than"),
+    ("en", "S04"): (" as", "represent", "boast", "refers to"), ("en", "S05"): ("ing",), ("en", "S08"): (" role", "testament", "underscor", "highlight", "mark", "paving the way", "open"),
+    ("en", "S07"): ("argue", "suggest", "note", "contend", "have cited", "have argued", "believe", "point out", "show", "indicate", "accepted", "acknowledged"),
+    ("en", "S09"): tuple(L.HEDGES_EN), ("en", "S11"): ("it was", "it is", "it has been", "it should be", "it must be", "it can be"), ("en", "S12"): ("according to",), ("en", "S02"): ("first", "on the one hand"),
+    ("en", "P02"): ("in conclusion", "in summary", "overall", "taken together", "in essence"), ("en", "P03"): ("despite", "challenges", "future"),
+}
+
+
+def _possible(text: str, kit: dict) -> dict:
+    """The kit's rules that may match in a text: looking for what they need is far cheaper than each rule in each sentence."""
+    low = text.lower().replace("ſ", "s").replace("ı", "i").replace("i\u0307", "i")  # what patterns hold for the same letter
+    han = _HAN.search(text) is not None
+
+    def may(rule: T.Rule) -> bool:
+        if rule.lang == "zh" and rule.scope != "document" and not rule.pattern.startswith("="):
+            return han  # all of them name Han characters
+        return any(x in low for x in _RULES_NEED.get((rule.lang, rule.rule), ("",)))
+
+    return {k: [x for x in kit[k] if may(x[0])] for k in kit if k[0] != "vocabulary"}
+
+
 def diagnose_text(text: str, kit: dict) -> list[tuple]:
     """(rule, lang, severity, weight, handling, para, sent, start, end, matched) of one text, by start."""
-    out, langs = [], []
+    out, langs, able = [], [], _possible(text, kit)
     paras = list(spans(text, "\n"))
     for pi, (a, b) in enumerate(paras):
         lang = language(text[a:b])
@@ -167,12 +199,12 @@ def diagnose_text(text: str, kit: dict) -> list[tuple]:
             own = text[a + s : a + e]
             for x, y, tier, weight in kit["vocabulary", lang].find(own):
                 out.append((f"V-{tier}", lang, {"T1": "high", "T2": "medium"}[tier], weight, "", pi, si, a + s + x, a + s + y))
-            for rule, find in kit["sentence", lang]:
+            for rule, find in able["sentence", lang]:
                 out += [(rule.rule, lang, rule.severity, rule.weight, rule.handling, pi, si, a + s + x, a + s + y) for x, y in find(own)]
-        for rule, find in kit["paragraph", lang]:
+        for rule, find in able["paragraph", lang]:
             out += [(rule.rule, lang, rule.severity, rule.weight, rule.handling, pi, None, a + x, a + y) for x, y in find(text[a:b])]
     starts = [a for a, _ in paras]
-    for rule, find in kit["document", "zh"]:
+    for rule, find in able["document", "zh"]:
         for x, y in find(text):
             pi = bisect_right(starts, x) - 1
             out.append((rule.rule, langs[pi] if pi >= 0 and y <= paras[pi][1] else "zh", rule.severity, rule.weight, rule.handling, -1, None, x, y))

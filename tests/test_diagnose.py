@@ -100,3 +100,36 @@ def test_time_follows_long_lines():
 
     seconds(100)
     assert seconds(40_000) < 20 * max(seconds(4_000), 0.005)
+
+
+def test_rules_that_are_left_out_match_nothing():
+    from proselake.plans import rule_queries as Q
+
+    rng, kit = random.Random(8), D.toolkit()
+    words = [*Q.EN, *Q.ZH, EN, ZH, "K ſome reſearch ſhowſ ", "It İs NOT JUST fast but ", " It ıs belIeved ", " arguably ", "\n", ". ", "。"]
+    left_out = 0
+    for _ in range(400):
+        parts = (x if rng.random() < 0.6 else rng.choice([x.upper(), x[rng.randrange(len(x)) :]]) for x in rng.choices(words, k=rng.randrange(1, 4)))
+        text = "".join(parts)
+        able = D._possible(text, kit)
+        for k, rules in able.items():
+            for rule, find in kit[k]:
+                if rule not in [r for r, _ in rules]:
+                    left_out += 1
+                    assert not list(find(text)) and not any(list(find(text[a:b])) for a, b in D.sentences(text, k[1])), (text, rule)
+    assert left_out > 1000
+
+
+def test_time_of_texts_without_hits():
+    text = "Wolen garu teb miso lanter foud. " * 6000
+    kit = D.toolkit()
+    D.diagnose_text(text, kit)
+    t = time.perf_counter()
+    every = {k: v for k, v in kit.items()}
+    for rule, find in (x for k in (("sentence", "en"), ("paragraph", "en")) for x in every[k]):
+        for a, b in D.sentences(text, "en"):
+            list(find(text[a:b]))
+    whole = time.perf_counter() - t
+    t = time.perf_counter()
+    assert D.diagnose_text(text, kit) == []
+    assert time.perf_counter() - t < whole
