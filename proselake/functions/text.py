@@ -156,8 +156,12 @@ def sentences_zh(paragraph: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """``zh`` for four Han characters and a marker of Chinese prose, or more than 0.3 Han of all letters, or no letter."""
-    zh, en = F.regexp_count(text, F.lit(HAN)), F.regexp_count(text, F.lit("[A-Za-z]"))
+    """``zh`` for four Han characters and a marker of Chinese prose, or more than 0.3 Han of all letters, or no letter.
+
+    Letters are counted by what is left without their runs; counting matches would list every letter.
+    """
+    count = lambda kind: F.length(text) - F.length(F.regexp_replace(text, f"{kind}+", ""))
+    zh, en = count(HAN), count("[A-Za-z]")
     marked = (zh >= 4) & text.rlike("[，。！？；]|本文|本研究|研究|方法|结果|分析|探讨")
     share = F.try_divide(zh, zh + en)
     return F.when((zh + en == 0) | marked | (share > 0.30), "zh").otherwise("en")

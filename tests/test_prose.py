@@ -23,3 +23,15 @@ def test_han_is_cut_as_chinese(spark):
 
     docs = spark.createDataFrame([(1, "研究。方法！Éa. 结果")], "doc_id long, text string")
     assert [r["text"] for r in P.sentence_segments(docs).collect()] == ["研究。", "方法！", "Éa. 结果"]
+
+
+def test_language_lists_no_letters(spark):
+    from pyspark.sql import functions as F
+
+    from proselake.functions import text as X
+    from proselake.operators import diagnose as D
+
+    texts = ["", "。", "abc 研究", "研究方法 abc, d", "研究", "é", "😀研a", "本文a bcdefgh", "的的的的abc。", "A" * 7 + "的" * 3, "A" * 6 + "的" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", X.language(F.col("text")).alias("lang"))
+    assert [r["lang"] for r in df.collect()] == [D.language(t) for t in texts]
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
