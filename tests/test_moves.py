@@ -84,5 +84,16 @@ def test_alike_pairs_lose_none(spark):
         assert got == {(a, b) for a in every for b in every if alike(a, b, least)}
 
 
+def test_blocks_of_long_texts_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 4)  # a text of more sentences is dealt to several blocks, each pair in one
+    rng = random.Random(8)
+    words = ["the", "and", "ing", "ion", "her", "ent"]  # frequent pieces, so that all sentences share some
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(4, 9))) for _ in range(40)]
+    later = [x.replace("ion", "io", 1) for x in reversed(lines)]
+    df = spark.createDataFrame([(1, "\n".join(lines), "\n".join(later))], "id long, src string, out string")
+    got = sorted((r["para"], r["unit"]) for r in V.moved_sentences(df, ["id"], "src", "out").collect())
+    assert got == sorted(plain("\n".join(lines), "\n".join(later))) and len(got) > 20
+
+
 def test_no_texts(spark):
     assert V.moved_sentences(spark.createDataFrame([], "id long, src string, out string"), ["id"], "src", "out").count() == 0
