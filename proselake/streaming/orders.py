@@ -63,20 +63,24 @@ def settled(events: DataFrame) -> DataFrame:
     fails later gives them back, but never what is used. Refunds without a payment wait. More refunded than paid is a mismatch that leaves no
     credits. Rows without event id or payment take no part.
     """
-    rows = events.where("event_id IS NOT NULL AND payment IS NOT NULL").withColumn("digest", digest())
-    own = Window.partitionBy("payment", "event_id")
-    first = F.row_number().over(own.orderBy("ts", "digest"))
-    rows = rows.withColumns({"place": first, "own": F.first("digest").over(own.orderBy("ts", "digest"))})
-    odd = rows.groupBy("payment").agg(F.count_if((F.col("place") > 1) & (F.col("digest") == F.col("own"))).alias("duplicates"), F.count_if(F.col("digest") != F.col("own")).alias("conflicts"))
-    once = rows.where("place = 1")
-    late = F.struct("ts", "event_id")
-    by_ref = once.where("kind <> 'payment'").groupBy("payment", "kind", "ref").agg(F.max_by("status", late).alias("status"), F.max_by("amount", late).alias("amount"))
-    amount = lambda kind, *states: F.coalesce(F.sum(F.when((F.col("kind") == kind) & F.col("status").isin(*states), F.col("amount"))), F.lit(0))
-    sums = by_ref.groupBy("payment").agg(amount("refund", "succeeded").alias("back"), amount("use", *USED).alias("used"), F.count_if(F.col("kind") == "refund").alias("refunds"))
-    paid = F.when((F.col("kind") == "payment") & (F.col("status") == "paid"), late)
-    closed = F.when((F.col("kind") == "payment") & (F.col("status") != "paid"), late)
-    pay = once.groupBy("payment").agg(F.min_by(F.struct("order_id", "amount", "credits"), paid).alias("p"), F.max_by(F.struct("order_id", "status"), closed).alias("c"))
-    all_ = pay.join(sums, "payment", "left").join(odd, "payment").fillna(0, ["back", "used", "refunds"])
+    # one shuffle by payment serves the window and both groupings; digests are made behind it
+    rows = events.where("event_id IS NOT NULL AND payment IS NOT NULL").repartition("payment").withColumn("digest", digest())
+    own = Window.partitionBy("payment", "event_id").orderBy("ts", "digest")
+    rows = rows.select("*", (F.row_number().over(own) == 1).alias("once"), (F.col("digest") == F.first("digest").over(own)).alias("same"))
+    at = lambda of: F.when(F.col("once") & of, F.struct("ts", "event_id"))
+    named = F.col("kind") != "payment"
+    rows = rows.select("*", F.when(named, F.col("kind")).alias("what"), F.when(named, F.col("ref")).alias("name"))  # payments make one group
+    paid, closed = (at((F.col("kind") == "payment") & is_) for is_ in (F.col("status") == "paid", F.col("status") != "paid"))
+    each = rows.groupBy("payment", "what", "name").agg(
+        F.max_by(F.struct("status", "amount"), at(named)).alias("last"), F.count_if("once").alias("n"),
+        F.min_by(F.struct("order_id", "amount", "credits"), paid).alias("p"), F.max_by(F.struct("order_id", "status"), closed).alias("c"),
+        F.count_if(~F.col("once") & F.col("same")).alias("duplicates"), F.count_if(~F.col("same")).alias("conflicts"),
+    )
+    amount = lambda kind, *states: F.coalesce(F.sum(F.when((F.col("what") == kind) & F.col("last.status").isin(*states), F.col("last.amount"))), F.lit(0))
+    all_ = each.groupBy("payment").agg(
+        F.first("p", True).alias("p"), F.first("c", True).alias("c"), amount("refund", "succeeded").alias("back"), amount("use", *USED).alias("used"),
+        F.count_if((F.col("what") == "refund") & (F.col("n") > 0)).alias("refunds"), F.sum("duplicates").alias("duplicates"), F.sum("conflicts").alias("conflicts"),
+    )
     has, whole = F.col("p").isNotNull(), F.col("back") >= F.col("p.amount")
     gone = F.when(whole, F.col("p.credits")).otherwise(F.expr("p.credits * back div nullif(p.amount, 0)"))
     status = F.when(F.col("back") > F.col("p.amount"), "mismatch").when(whole, "refunded").when(F.col("back") > 0, "partially_refunded").otherwise("paid")

@@ -40,6 +40,11 @@ def test_batch_values(spark):
     assert O.settled(frame(spark, E[:0])).count() == 0
 
 
+def test_batch_shuffles_events_once(spark):
+    plan = O.settled(frame(spark, E))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_stream_equals_batch_in_any_order(spark, tmp_path, seed):
     rng = random.Random(seed)
