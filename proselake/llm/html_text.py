@@ -5,7 +5,9 @@ of its pages, and a share of ``SHARE`` of them all, show it. Two of those (of le
 trees and aligned by simple tree matching: nodes pair under equal names while keeping parents and order, so that the pairs share
 the most blocks. Candidates that they have at paired nodes are constant, the template; everything else varies, the slots. Only
 pairs of nodes that share a block below them can add to a matching, so only those are visited, deepest first, and the children of
-a pair are aligned as a heaviest increasing sequence: time and memory follow the blocks, not their product. A block is the
+a pair are aligned as a heaviest increasing sequence: time and memory follow the blocks, not their product. Where blocks stand at so many
+places that their pairs are too many to list, nodes of one tree meet all of the other at once, a row at a time, and an alignment is
+found by halves: every partner is tried, time follows the product, memory one page. A block is the
 path of elements to it and its text; what is never content is no candidate, it goes in any case.
 Every page then loses what stands in parts that are never content by element or by name (menus, headers, footers, sidebars,
 notices, adverts, forms, comments). Where it marks an article, the rest of that is the text, whatever other pages share with it; where
@@ -20,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,10 @@ from .url_filter import url_host
 ENOUGH, SHARE = 3, (4, 5)
 #: What a shared block counts in an alignment, against one for a pair of nodes.
 SHARED = 1 << 32
-#: Pairs of places of one block beyond which its places in two pages pair in order only, from either end.
-MOST_PLACES = 1 << 14
+#: Pairs of places of all blocks of two pages up to which they are listed; beyond, nodes meet row by row, with the same result.
+MOST_PLACES = 1 << 17
+#: Cells of an alignment of two lists of nodes that are held at once, and rows of weights that are kept.
+MOST_CELLS, KEPT = 1 << 20, 8
 #: Elements of a path, and depth of a tree's nodes: what is nested deeper stands where its outermost DEEPEST elements do.
 DEEPEST = 512
 #: Hosts up to which a table of them is broadcast.
@@ -228,21 +233,136 @@ def _heaviest(pairs: list[tuple[int, int, int]]) -> list[int]:
     return out[::-1]
 
 
+class _Rows:
+    """The trees' nodes that hold a block of both, or stand above one, in order; a node's children, and all nodes of a depth, are neighbours."""
+
+    def __init__(self, x: _Flat, y: _Flat):
+        both = x.holders.keys() & y.holders.keys()
+        self.ids, self.kids, names = [], [], []
+        for flat in (x, y):
+            kept = {0}
+            for block in both:
+                for u in flat.holders[block]:
+                    while u not in kept:
+                        kept.add(u)
+                        u = flat.parent[u]
+            ids = sorted(kept)
+            first = np.searchsorted([flat.parent[u] for u in ids], [*ids, len(flat.nodes)])
+            self.ids.append(ids)
+            self.kids.append(np.maximum(first, 1))  # children of i: from its number to the next one's
+            names.append([flat.nodes[u].name for u in ids])
+        number = {name: i for i, name in enumerate(dict.fromkeys(names[0] + names[1]))}
+        self.names = [np.array([number[n] for n in own]) for own in names]
+        self.blocks = [[b for b in set(x.nodes[u].blocks) if b in both] for u in self.ids[0]]
+        self.holders = {b: np.searchsorted(self.ids[1], y.holders[b]) for b in both}
+        self.shared = min(len(own) for own in self.ids) + 1  # what a shared block counts, more than all pairs of nodes
+        self.most = self.shared * (sum(map(len, self.holders.values())) + 1)  # more than any weight
+        self.kept: dict[tuple, np.ndarray] = {}  # weights of the last different nodes without children
+
+    def weights(self, u: int, low: int, high: int) -> np.ndarray:
+        """The weight of u's pairing with each of some neighbours of its depth; 0: none."""
+        leaf = self.kids[0][u] == self.kids[0][u + 1]
+        key = (self.names[0][u], low, high, *self.blocks[u])
+        if leaf and key in self.kept:
+            return self.kept[key]
+        out = np.zeros(high - low, np.int64)
+        for block in self.blocks[u]:
+            at = self.holders[block]
+            out[at[np.searchsorted(at, low) : np.searchsorted(at, high)] - low] += self.shared
+        kids = self.kids[1][low : high + 1]
+        if not leaf and kids[0] < kids[-1]:
+            some = np.flatnonzero(kids[:-1] < kids[1:])
+            row = self.row(range(self.kids[0][u], self.kids[0][u + 1]), kids[0], kids[-1], kids[some] - kids[0])
+            out[some] += row[kids[some + 1] - 1 - kids[0]]
+        out += out >= self.shared
+        out[(out < self.shared) | (self.names[1][low:high] != self.names[0][u])] = 0
+        if leaf:
+            if len(self.kept) >= KEPT:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[key] = out
+        return out
+
+    def row(self, us: range, low: int, high: int, starts: np.ndarray, back: bool = False, rows: list | None = None) -> np.ndarray:
+        """The best alignment of some nodes with the neighbours up to each one, those from ``starts`` on apart; ``back``: from the last one on."""
+        fits = self.most * len(starts) < 1 << 62  # else parts are told apart one by one
+        base = np.arange(len(starts)) * (self.most if fits else 0)
+        best = np.repeat(base, np.diff([*starts, high - low]))  # parts one above the other
+        for u in reversed(us) if back else us:
+            w = self.weights(u, low, high)
+            w = w[::-1] if back else w
+            one_more = w.copy()
+            one_more[1:] += best[:-1]
+            one_more[starts] = w[starts] + base
+            np.maximum(best, one_more, out=one_more)
+            best = np.maximum.accumulate(one_more) if fits else np.concatenate([np.maximum.accumulate(own) for own in np.split(one_more, starts[1:])])
+            if rows is not None:
+                rows.append(best)
+        return best - np.repeat(base, np.diff([*starts, high - low])) if len(starts) > 1 else best
+
+    def aligned(self, u: int, v: int) -> list[tuple[int, int]]:
+        """The pairs of children of a pair, in order."""
+        out, start = [], np.zeros(1, np.int64)
+        stack = [(self.kids[0][u], self.kids[0][u + 1], self.kids[1][v], self.kids[1][v + 1])]
+        while stack:
+            a, b, low, high = map(int, stack.pop())
+            if a == b or low == high:
+                continue
+            if u and b - a == high - low == 1 and not self.own(u, v):  # what the pair shares is below these two
+                out.append((a, low))
+            elif b - a == 1 or (b - a) * (high - low) <= MOST_CELLS:
+                rows = [np.zeros(high - low, np.int64)]
+                self.row(range(a, b), low, high, start, rows=rows)
+                i, j, found = b - a, high - low - 1, []
+                while i and j >= 0 and rows[i][j]:
+                    if rows[i][j] == rows[i - 1][j]:
+                        i -= 1
+                    elif j and rows[i][j] == rows[i][j - 1]:
+                        j -= 1
+                    else:
+                        found.append((a + i - 1, low + j))
+                        i, j = i - 1, j - 1
+                out += found[::-1]
+            else:
+                half = (a + b) // 2
+                one = np.concatenate(([0], self.row(range(a, half), low, high, start)))
+                other = np.concatenate(([0], self.row(range(half, b), low, high, start, back=True)))[::-1]
+                k = low + int(np.argmax(one + other))
+                stack += [(half, b, k, high), (a, half, low, k)]
+        return out
+
+    def own(self, u: int, v: int) -> bool:
+        """Whether two nodes share a block themselves."""
+        return any(v in self.holders[block] for block in self.blocks[u])
+
+
+def _match_rows(x: _Flat, y: _Flat) -> list[tuple[int, int]]:
+    """The pairs of nodes of the best matching of two trees of one name, by rows."""
+    rows = _Rows(x, y)
+    if not rows.holders:
+        return [(0, 0)]
+    out, stack = [], [(0, 0)]
+    while stack:
+        u, v = stack.pop()
+        out.append((rows.ids[0][u], rows.ids[1][v]))
+        stack += rows.aligned(u, v)[::-1]
+    return out
+
+
 def tree_match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
     """Simple tree matching: how many nodes of two trees pair under equal names, parents and order, in the matching whose
     pairs share the most blocks (and of these in one of the most nodes); adds the pairs. Nodes below which two trees share nothing don't pair."""
     x, y = _Flat(a), _Flat(b)
     if a.name != b.name:
         return 0
+    if sum(len(one) * len(y.holders.get(block, ())) for block, one in x.holders.items()) > MOST_PLACES:
+        found = _match_rows(x, y)
+        if pairs is not None:
+            pairs += [(x.nodes[u], y.nodes[v]) for u, v in found]
+        return len(found)
     children: dict[tuple[int, int], list[tuple[int, int]]] = {}
     known: dict[tuple[int, int], bool] = {}
     for block, one in x.holders.items():
-        other = y.holders.get(block, ())
-        if len(one) * len(other) <= MOST_PLACES:
-            tried = [(u, v) for u in one for v in other]
-        else:
-            tried = [*zip(one, other, strict=False), *zip(one[::-1], other[::-1], strict=False)]
-        for pair in tried:
+        for pair in [(u, v) for u in one for v in y.holders.get(block, ())]:
             up = []
             while pair not in known and min(pair) > 0 and x.nodes[pair[0]].name == y.nodes[pair[1]].name and x.depth[pair[0]] == y.depth[pair[1]]:
                 up.append(pair)

@@ -347,6 +347,35 @@ def test_tree_matching_like_brute_force():
         assert all(up.get(id(c)) in {id(x) for x in u.children} | {None} for u, v in pairs for c in v.children)
 
 
+@pytest.mark.parametrize(("places", "cells"), [(1 << 17, 1 << 20), (0, 1 << 20), (0, 1), (0, 20)])
+def test_a_block_of_many_places_meets_all_of_them(monkeypatch, places, cells):
+    """Shares between two anchors stand at places that counting from neither end pairs; listed, by rows, and by halves."""
+    page = lambda outer: "<ul>" + "<li>S</li>" * outer + "<li>M</li>" + "<li>S</li>" * 100 + "<li>N</li>" + "<li>S</li>" * outer + "</ul>"
+    monkeypatch.setattr(html_text, "MOST_PLACES", places)
+    monkeypatch.setattr(html_text, "MOST_CELLS", cells)
+    a, b = (html_text.parse(page(n))[0] for n in (50, 150))
+    pairs = []
+    assert html_text.tree_match(a, b, pairs) == len(pairs) == 204
+    assert sum(len(set(u.blocks) & set(v.blocks)) for u, v in pairs) == 202
+    test_tree_matching_like_brute_force()
+
+
+def test_matching_by_rows_pairs_as_many_nodes_as_by_lists(monkeypatch):
+    rng = random.Random(3)
+
+    def tree(depth):
+        return "<div>" + "".join(tree(depth - 1) if depth and rng.random() < 0.5 else f"<{rng.choice(['p', 'ul'])}>{rng.randrange(3)}</div>" for _ in range(rng.randrange(5))) + "</div>"
+
+    for _ in range(200):
+        a, b = (html_text.parse(tree(4) + tree(4))[0] for _ in range(2))
+        got = []
+        for places in (1 << 40, 0):
+            monkeypatch.setattr(html_text, "MOST_PLACES", places)
+            pairs = []
+            got.append((html_text.tree_match(a, b, pairs), sum(len(set(u.blocks) & set(v.blocks)) for u, v in pairs)))
+        assert got[0] == got[1]
+
+
 def test_deep_wide_and_empty_pages(spark):
     deep = "<body><article>" + "<div>" * 5000 + "Deep {n}<p>Share</p>" + "</div>" * 5000 + "<p>After {n}</p></article><nav>menu</nav></body>"
     wide = "<body><article>" + "<p>Share</p>" * 300 + "".join(f"<p>Line {i} of {{n}}</p><p>Same {i}</p>" for i in range(7500)) + "</article></body>"
