@@ -28,6 +28,9 @@ ODD_SPACE = r"[\x{2000}-\x{200A}\x{202F}\x{205F}]"
 #: Unicode's white space but for the line feed.
 WHITE = "\t\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
+#: Texts of a batch that are Python objects at once; the rest of it, and what was found, stays Arrow's.
+HELD = 64
+
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -39,7 +42,7 @@ def _lists(found: list[list[tuple] | None], columns: dict[str, pa.DataType]) ->
     np.cumsum([len(x) if x else 0 for x in found], out=at[1:])
     flat = list(zip(*(row for x in found if x for row in x), strict=True)) or [()] * len(columns)
     held = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, columns.values(), strict=True)], names=list(columns))
-    return pa.ListArray.from_arrays(pa.array(at), held, mask=pa.array([x is None for x in found]))
+    return pa.ListArray.from_arrays(pa.array(at), held, mask=pa.array([x is None for x in found], pa.bool_()))
 
 
 _SPAN = {"start": pa.int32(), "end": pa.int32(), "matched": pa.string()}
@@ -50,7 +53,8 @@ def _each(text: Column, kind: str, columns: dict[str, pa.DataType], work: Callab
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        return _lists([None if t is None else work(t) for t in texts.to_pylist()], columns)
+        parts = (texts.slice(i, HELD).to_pylist() for i in range(0, max(1, len(texts)), HELD))
+        return pa.concat_arrays([_lists([None if t is None else work(t) for t in own], columns) for own in parts])
 
     return run(text)
 

@@ -1,9 +1,11 @@
 """Sentences and tidying against the SQL of their queries, over texts that the small tables lack."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from proselake.functions import text as X
 
 TEXTS = ["Éê. Óó! Çé ñ. Üü.", "Éç. Éç. Éç.\nÉç. Öö?", "12. 34! 56.", "One two. Three.", "(É. Í. Ó.)"]
 LOOSE = ["ßen alt.  ßo neu ,", "- ßa und. ǰa", "a. b. ß. c", "éa. éb"]
@@ -35,3 +37,15 @@ def test_language_lists_no_letters(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", X.language(F.col("text")).alias("lang"))
     assert [r["lang"] for r in df.collect()] == [D.language(t) for t in texts]
     assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_few_texts_of_a_batch_are_python_objects_at_once(spark, monkeypatch):
+    """All texts of a large batch are read, null and empty ones too; what is held beside the batch does not grow with it."""
+    made = []
+    monkeypatch.setattr(X, "_lists", lambda found, columns, own=X._lists: made.append(len(found)) or own(found, columns))
+    monkeypatch.setattr(X.F, "arrow_udf", lambda kind: lambda run: run)
+    texts = [None if i % 7 == 3 else "" if i % 7 == 4 else f" a{i}\n\nb " for i in range(1000)]
+    got = X.paragraphs(pa.array(texts)).to_pylist()
+    assert got == [None if t is None else [dict(zip(("start", "end", "matched"), s, strict=True)) for s in X.line_spans(t)] for t in texts]
+    assert sum(made) == 1000 and max(made) <= 64
+    assert X.paragraphs(pa.array([], pa.string())).to_pylist() == []
