@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,13 @@ def test_fifo_meets_what_is_required(spark):
     need = spark.createDataFrame([("a", 12), ("b", 5)], "account string, required long")
     got = relational.fifo_allocation(grants, need, "account", [F.col("expires").asc_nulls_last(), F.col("id")]).collect()
     assert {r.id: r["take"] for r in got} == {3: 9, 2: 3, 1: 0, 4: 1}
+
+
+def test_units_of_many_texts_like_one_by_one(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aZ9é '’’''\u0301\u200b\ufe0f中〇，.\n\U0001f600\u212bßя-_\x00") for _ in range(rng.randrange(12))) for _ in range(4000)] + ["", "'", "a'", "'a", "a", "\u0301"]
+    got = E.units_of(texts).T.tolist()
+    assert got == [list(E.billable_units(t).values()) for t in texts] and E.units_of([]).shape == (4, 0)
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id long, text string")
+    rows = {r.id: r.u for r in df.select("id", E.billable_units_udf("text").alias("u")).collect()}
+    assert rows[-1].total == 0 and [rows[i].total for i in range(len(texts))] == [g[3] for g in got]
