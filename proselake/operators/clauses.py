@@ -34,7 +34,8 @@ def clauses_of(text: Column) -> Column:
 def clause_rows(texts: DataFrame, keys: list[str], column: str, *more: Column) -> DataFrame:
     """``keys, more, n, at, clause``: the clauses of each text with their number and place."""
     held = texts.select(*keys, *more, clauses_of(F.col(column)).alias("__own")).withColumn("n", F.size("__own"))  # else each clause carries all of them
-    return held.select(*[c for c in held.columns if c != "__own"], F.posexplode("__own").alias("at", "clause"))
+    rows = held.select(*[c for c in held.columns if c != "__own"], F.posexplode_outer("__own").alias("at", "clause"))
+    return rows.where("at IS NOT NULL")  # outer: no filter that cuts each text once more
 
 
 def _class_pattern(name: str) -> str:
@@ -131,13 +132,25 @@ def profiles(clauses: DataFrame) -> DataFrame:
     return out.select(*cols, *facts, "bindings", "directed", "classes", "terms", "skeleton", some.alias("sensitive"))
 
 
-#: What every clause with facts has: a digit, a one-letter label, a sign, or a word of a class.
-HINT = "|".join([r"\d|[<>=≤≥＜＞≦≧≠≈≃∝]|(?<![\p{L}\d])[A-Z甲乙丙丁戊己庚辛壬癸](?![\p{L}\d])|[甲乙丙丁戊己庚辛壬癸]|(?i:\bgroup\b)|et\s+al", *map(_class_pattern, CLASSES), *_TIED.values()])
+_HAN = r"[\x{4e00}-\x{9fff}]"
+_ZH_TIED, _EN_TIED = zip(*(p.split("|(?i:") for p in _TIED.values()), strict=True)
+#: What every clause with facts has: a digit, a sign, a one-letter label, or a word of a class. Han words are tried at Han characters and English ones where a word
+#: begins, so that other places cost one look.
+HINT = "|".join(
+    [
+        r"[\d<>=≤≥＜＞≦≧≠≈≃∝甲乙丙丁戊己庚辛壬癸]",
+        r"[A-Z](?<![^\P{L}\x{4e00}-\x{9fff}][A-Z])(?![^\P{L}\x{4e00}-\x{9fff}])",  # a label may stand beside Han characters
+        rf"(?={_HAN})(?:{'|'.join([*M.ZH.values(), *_ZH_TIED])})",
+        rf"(?<![A-Za-z])(?=[A-Za-z])(?i:group\b|et\s+al|{'|'.join([*M.EN.values(), *(p[:-1] for p in _EN_TIED)])})",
+    ]
+)
 
 
 def with_facts(clauses: DataFrame) -> DataFrame:
     """The profiles of clauses with facts; one pattern tells most of the others before anything is profiled."""
-    return profiles(clauses.where(F.col("clause").rlike(HINT))).where("sensitive")
+    held = profiles(clauses.where(F.col("clause").rlike(HINT)))
+    told = held.withColumn("__sure", F.explode(F.array("sensitive")))  # a generator, lest the filter be pushed below it and profile all clauses once more
+    return told.where("__sure").drop("__sure")
 
 
 def edit_share(a: Column, b: Column) -> Column:

@@ -103,3 +103,23 @@ def test_long_text_stays_narrow(spark):
 def test_no_pairs(spark):
     df = spark.createDataFrame([], "id long, src string, out string")
     assert C.local_changes(df, ["id"], "src", "out").count() == 0
+
+
+def test_hint_loses_no_clause_with_facts(spark):
+    rng = random.Random(3)
+    words = ["Group", "control", "group", "A", "B", "x", "Smith et al", "未来", "未见", "不仅", "不对", "仅", "导致", "相关", "甲", "，", "not", "NOT", "only", "no", "is", "expected to", "will", "at least", "fewer than", "<=", "≠", "3", "a few", "caused", "linked with"]
+    words += ["results showed", "according to", "the same as", "nothing", "notable", "canopy", "3rd", "é", "élan", "_may", "may", "in progress", "drove", "however", "of"]
+    rows = [(i, "".join(rng.choice(words) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(1, 5)))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, clause string").localCheckpoint()
+    told = lambda d: {(r.id, tuple(r.numbers), tuple(r.bounds), tuple(r.classes), r.skeleton) for r in d.collect()}
+    all_of = C.profiles(df).localCheckpoint().where("sensitive")
+    assert told(C.with_facts(df)) == told(all_of) and 0 < all_of.count() < len(rows)
+
+
+def test_facts_are_profiled_once(spark):
+    df = spark.createDataFrame([(1, "It has 3 parts, not 4."), (2, None)], "id int, text string")
+    rows = C.with_facts(C.clause_rows(df, ["id"], "text"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter" in x]
+    assert filters and not any("regexp_extract_all" in x or "split(" in x for x in filters)
+    assert [r.clause for r in rows.orderBy("at").collect()] == ["It has 3 parts", "not 4"]
