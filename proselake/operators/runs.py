@@ -17,13 +17,19 @@ def _once(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
+def _lane(line: Column) -> Column:
+    """The lane of a line. ASCII has no Han: with letters it is en, without them what an empty line is."""
+    bare = F.when(F.octet_length(line) == F.length(line), F.when(line.rlike("[A-Za-z]"), "a").otherwise("")).otherwise(F.rtrim(line, F.lit("\n")))
+    return _once(bare, lambda x: _once(A.product_language(x), lambda lang: F.when((lang == "zh") & x.rlike("[A-Za-z]"), "protected").otherwise(lang)))
+
+
 def runs(text: Column) -> Column:
     """Array of ``lane, start, text``: neighbouring lines of one lane with the line feeds behind them; the texts concatenate to the text.
 
     Line feeds before the first line are a run of lane ``raw``. Lanes are those of ``lane``: zh, en, mixed and protected. A null text has no array, an empty
     one an empty array.
     """
-    lines = F.transform(F.regexp_extract_all(text, F.lit(r"[^\n]+\n*|\n+"), F.lit(0)), lambda x: F.struct(F.when(x.startswith("\n"), "raw").otherwise(A.lane(F.regexp_replace(x, r"\n+$", ""))).alias("lane"), x.alias("text")))
+    lines = F.transform(F.regexp_extract_all(text, F.lit(r"[^\n]+\n*|\n+"), F.lit(0)), lambda x: F.struct(F.when(x.startswith("\n"), "raw").otherwise(_lane(x)).alias("lane"), x.alias("text")))
 
     def islands(own: Column) -> Column:
         new = lambda i: (i == 0) | (F.get(own, i)["lane"] != F.get(own, i - 1)["lane"])
@@ -45,13 +51,15 @@ def edited_runs(text: Column, edits: dict[str, Callable[[Column], Column]]) -> C
     An edit that comes out null or blank leaves its run as it was.
     """
 
+    def put(own: Column, edit: Callable[[Column], Column]) -> Column:
+        ends = lambda core: F.substr(own, F.length(core) + 1)
+        said = lambda core, new: F.when(F.length(F.trim(new)) > 0, F.concat(new, ends(core))).otherwise(own)
+        return _once(F.rtrim(own, F.lit("\n")), lambda core: _once(edit(core), lambda new: said(core, new)))
+
     def one(r: Column) -> Column:
-        ends = F.regexp_extract(r["text"], r"(?s)\n*\z", 0)
-        core = F.substr(r["text"], F.lit(1), F.length(r["text"]) - F.length(ends))
         out = r["text"]
         for lane, edit in edits.items():
-            new = edit(core)
-            out = F.when((r["lane"] == lane) & F.coalesce(F.length(F.trim(new)) > 0, F.lit(False)), F.concat(new, ends)).otherwise(out)
+            out = F.when(r["lane"] == lane, put(r["text"], edit)).otherwise(out)
         return out
 
     return F.array_join(F.transform(runs(text), one), "")

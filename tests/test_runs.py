@@ -72,3 +72,14 @@ def test_flattened_like_a_loop(spark):
     assert got.pop(999) == (None, 0)
     assert got == {i: plain_flat(t) for i, t in enumerate(texts)}
     assert sum(x for _, x in got.values()) > 200
+
+
+def test_a_line_is_judged_once(spark):
+    lines = ["", " ", "abc", "12.", "abc def ghi", "研究方法", "研究 BERT", "研究 one two three 方法", "abcdefgh 研", "é", "é à", "。", "a\r", "\r", "x\u2028", "甲乙丙丁。", "\u0130k"]
+    df = spark.createDataFrame([("\n".join([a, b] * 2),) for a in lines for b in lines], "t string")
+    lane = lambda x: A.lane(F.regexp_replace(x, r"\n+$", ""))
+    want = F.transform(F.filter(F.split("t", "\n", -1), lambda x: x != ""), lane)
+    told = F.transform(F.filter(F.regexp_extract_all("t", F.lit(r"[^\n]+\n*|\n+"), F.lit(0)), lambda x: ~x.startswith("\n")), R._lane)
+    assert df.where(want != told).count() == 0
+    plan = df.select(R.edited_runs(F.col("t"), {"en": F.upper, "zh": F.lower}).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Za-z]+(?:") == 1
