@@ -198,3 +198,12 @@ def test_units_of_many_texts_like_one_by_one(spark):
     df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id long, text string")
     rows = {r.id: r.u for r in df.select("id", E.billable_units_udf("text").alias("u")).collect()}
     assert rows[-1].total == 0 and [rows[i].total for i in range(len(texts))] == [g[3] for g in got]
+
+
+def test_diff_runs_hold_few_texts_at_once():
+    import pyarrow as pa
+
+    before, after = ["", None, "a b", *(f"one {i} two" for i in range(200))], ["", "x", None, *(f"one {i} three" for i in range(200))]
+    got = E.diff_runs_udf.func(pa.array(before), pa.array(after)).to_pylist()
+    assert got == [[{"kind": k, "text": t} for k, t in E.diff_runs(a or "", b or "")] for a, b in zip(before, after, strict=True)]
+    assert len(E.diff_runs_udf.func(pa.array([], pa.string()), pa.array([], pa.string()))) == 0
