@@ -19,7 +19,8 @@ SAFE = ["zh:L01", "zh:L05", "zh:L07", "zh:L09", "zh:F01", "zh:F02"]
 
 
 def _steps(name: str) -> list[tuple[re.Pattern, str]]:
-    return [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", new)) for p, new in T.REGISTRY[name]]
+    python = lambda p: p.replace(T.SPACE, r"\s").replace("(?md)", "(?m)")
+    return [(re.compile(python(p)), re.sub(r"\$(\d)", r"\\\1", new)) for p, new in T.REGISTRY[name]]
 
 
 def codefix(text: str, rules: list[str] = SAFE) -> tuple[str, list[tuple[str, int]]]:
